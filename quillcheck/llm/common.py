@@ -7,6 +7,7 @@ few vectorised passes and the memory of a task depends on the block size, not on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,13 +132,27 @@ def spread(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-def shared_dir(spark: SparkSession, name: str) -> None:
-    """Make sure that a checkpoint folder is set: the cluster's own, or one for tests where there is none."""
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder: the cluster's own, or one for tests where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", "")
         if not where:
             import tempfile
 
-            where = tempfile.mkdtemp(prefix=f"{name}-checkpoint-")
+            where = tempfile.mkdtemp(prefix="quillcheck-checkpoint-")
         sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stash(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the checkpoint folder and read back, and the table's path."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def unstash(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stash`` has written and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, ppm, transport, url_filter
+from . import bpe, license_scan, mixing, ppm, probminhash, simhash, toxicity, transport, url_filter, warc_fixity
 
 QUERIES = {
+    "op1_warc_fixity": warc_fixity.op1_warc_fixity,
     "op2_ppm_language": ppm.op2_ppm_language,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_simhash": simhash.op4_simhash,
     "op5_transport_stream": transport.op5_transport_stream,
+    "op6_near_duplicates": probminhash.op6_near_duplicates,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_mix_sources": mixing.op10_mix_sources,
+}
+ORACLES = {
+    "op1_warc_fixity": warc_fixity.OP1_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
+    "op10_mix_sources": mixing.OP10_SQL,
 }
-ORACLES = {"op8_url_filter": url_filter.OP8_SQL}
