@@ -21,7 +21,7 @@ equal weights is the Jaccard similarity of the sets.
 
 A pair that shares several buckets is compared in the first of them only. Nothing is capped or sampled. Null texts and
 texts without words are similar to nothing and are classes of their own. Repeated rows with one id are one
-document.
+document; rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -297,7 +297,7 @@ def open_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each id: id, class_id (the least id of its class), representative (the least id with the same words)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     sketched, _ = stash(rows.select("id", sketch(F.col("text")).alias("s")).select("id", "s.*").groupBy("id").agg(F.min(F.struct("hi", "lo", "bands")).alias("s")).select("id", "s.*"))
     groups, _ = stash(sketched.where("bands is not null").groupBy("hi", "lo").agg(F.min(F.struct("id", "bands")).alias("r")).select("hi", "lo", "r.id", "r.bands"))
     members = groups.select("id", F.posexplode("bands").alias("band", "bucket"))
