@@ -37,18 +37,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near duplicates."""
+    """Keeps the document of least id of each class of near duplicates, once. Rows without an id stay."""
     quillcheck.ship(spark)
     classes = probminhash.near_classes(docs)
     copies = classes.where("id <> class_id").select(F.col("id").alias("doc_id"))
-    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    kept = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 2 times)."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
-    return docs.join(taken, "doc_id").select(*COLUMNS, copies.alias("_copy")).select(COLUMNS)
+    """Each document as often as the mix takes it (0 to 2 times); rows of one id are taken alike."""
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
