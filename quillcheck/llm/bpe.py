@@ -13,6 +13,7 @@ Null texts encode as empty lists. The rank file's path is a parameter; the file
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import blocks, flat, table
 
 #: Pieces that a worker remembers, and their longest size in bytes.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
 #: Tree nodes that are merged in step, and pieces of a width below which each is merged alone.
 NODES, FEW = 1 << 21, 24
 #: Bytes of text whose pieces are merged together.
@@ -317,12 +318,17 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
     """Array of token ids of a text column."""
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        bpe, parts = _tables(path, pattern), []
-        for i, j in blocks(flat(texts)[1], TEXT_BYTES):
-            ids, starts = bpe.encode(texts.slice(i, j - i).to_pylist())
-            parts.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = _tables(path, pattern)
+        try:
+            for texts in batches:
+                parts = []
+                for i, j in blocks(flat(texts)[1], TEXT_BYTES):
+                    ids, starts = bpe.encode(texts.slice(i, j - i).to_pylist())
+                    parts.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())))
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+        finally:
+            bpe.memory = ({}, {})  # a worker that goes on to other tasks keeps the tables only
 
     return encode(text)
 

@@ -31,6 +31,8 @@ ORDER = 4
 #: Training texts of a language at most.
 MAX_DOCS = 500
 UNIT = 1 << 16
+#: Bytes of text that are scored at once; a byte takes about 100 bytes of memory meanwhile.
+SCORE_BYTES = BLOCK_BYTES // 4
 RESULT = "struct<lang:string,score:double,bits:double,bytes:bigint>"
 
 
@@ -112,13 +114,13 @@ class Model:
     def lengths(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code lengths (in 2^-16 bit) of texts, by language."""
         out = np.zeros((len(offsets) - 1, len(self.langs)), np.int64)
-        for i, j in blocks(offsets):
-            if offsets[j] - offsets[i] <= 2 * BLOCK_BYTES:
+        for i, j in blocks(offsets, SCORE_BYTES):
+            if offsets[j] - offsets[i] <= 2 * SCORE_BYTES:
                 own = offsets[i : j + 1] - offsets[i]
                 out[i:j] = self._sums(body[offsets[i] : offsets[j]], own[:-1], own)
             else:  # one long text, in blocks that know the bytes before them
-                for a in range(offsets[i], offsets[j], BLOCK_BYTES):
-                    b = min(a + BLOCK_BYTES, offsets[j])
+                for a in range(offsets[i], offsets[j], SCORE_BYTES):
+                    b = min(a + SCORE_BYTES, offsets[j])
                     lead = min(ORDER, a - offsets[i])
                     out[i] += self._sums(body[a - lead : b], np.array([0] if not lead else [], np.int64), np.array([lead, b - a + lead]))[0]
         return out
