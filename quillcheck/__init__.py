@@ -9,9 +9,15 @@ import zipfile
 __version__ = "0.1.0"
 
 
+#: Rows of an Arrow batch at most; texts may be long, and a batch is in memory several times.
+BATCH_ROWS = 1000
+
+
 def ship(spark) -> None:
-    """Send this package to the executors' Python workers, once in a Spark application."""
+    """Send this package to the executors' Python workers, once in a Spark application, and bound the session's Arrow batches."""
     sc = spark.sparkContext
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_quillcheck_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
