@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, table
+from .common import blocks, flat, table, tidy
 
 #: Pieces that a worker remembers, and their longest size in bytes.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+REMEMBERED, REMEMBERED_BYTES = 100_000, 64
 #: Tree nodes that are merged in step, and pieces of a width below which each is merged alone.
-NODES, FEW = 1 << 21, 24
+NODES, FEW = 1 << 19, 24
 #: Bytes of text whose pieces are merged together.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 
 
 #: The pattern of runs (contractions; letters, digits or other characters after at most one space; white space)
@@ -329,6 +329,7 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
                 yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
         finally:
             bpe.memory = ({}, {})  # a worker that goes on to other tasks keeps the tables only
+            tidy()
 
     return encode(text)
 

@@ -7,6 +7,7 @@ few vectorised passes and the memory of a task depends on the block size, not on
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -132,6 +133,15 @@ def spread(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
+def tidy() -> None:
+    """Give a Python worker's unused memory back; idle workers live on beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder: the cluster's own, or one for tests where none is set."""
     sc = spark.sparkContext

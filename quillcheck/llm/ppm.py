@@ -16,6 +16,7 @@ labelled row. Repeated rows are scored alike; other columns are left alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLOCK_BYTES, flat, blocks, id_remainder, table
+from .common import BLOCK_BYTES, flat, blocks, id_remainder, table, tidy
 
 ORDER = 4
 #: Training texts of a language at most.
@@ -138,8 +139,10 @@ def _has_letter(body: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.nd
 
     letter = np.zeros(256, bool)
     letter[65:91] = letter[97:123] = True
-    counts = np.concatenate([[0], np.cumsum(letter[body])])
-    out = counts[offsets[1:]] > counts[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, bool)
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    if len(some):
+        out[some] = np.logical_or.reduceat(letter[body], offsets[:-1][some])
     pattern = regex.compile(r"\p{L}")
     for i in np.flatnonzero(~out & (np.diff(offsets) > 1)):
         out[i] = pattern.search(texts[int(i)].as_py()) is not None
@@ -185,9 +188,7 @@ def language(spark: SparkSession, text: Column, model: Model) -> Column:
     """Struct of the predicted language, a score (its posterior under equal priors), the code's bits and the bytes."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf(RESULT)
-    def identify(texts: pa.Array) -> pa.Array:
-        m = sent.value
+    def identify(m: Model, texts: pa.Array) -> pa.Array:
         body, offsets = flat(texts)
         n = len(texts)
         lengths = m.lengths(body, offsets)
@@ -201,7 +202,13 @@ def language(spark: SparkSession, text: Column, model: Model) -> Column:
         langs = [m.langs[k] if y else "und" for k, y in zip(best, ok)]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(bits), pa.array(np.diff(offsets))], ["lang", "score", "bits", "bytes"])
 
-    return identify.asNondeterministic()(text)  # so that it is computed once, before any filter on it
+    @F.arrow_udf(RESULT)
+    def identify_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield identify(sent.value, texts)
+        tidy()
+
+    return identify_all.asNondeterministic()(text)  # so that it is computed once, before any filter on it
 
 
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,12 +26,14 @@ document; rows without an id are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, flat, mix64, shared_dir, spread, stash, table, unstash, word_hashes
+from .common import BLOCK_BYTES, blocks, flat, mix64, shared_dir, spread, stash, table, tidy, unstash, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -107,7 +109,7 @@ def sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest, band keys and whether there are words, for each text."""
     body, offsets = flat(texts)
     digests, bands, some = np.zeros((len(texts), 2), np.uint64), np.zeros((len(texts), BANDS), np.uint64), np.zeros(len(texts), bool)
-    for i, j in blocks(offsets, BLOCK_BYTES):
+    for i, j in blocks(offsets, BLOCK_BYTES // 2):
         code, weight, owner, digests[i:j] = shingles(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         some[i:j][owner] = True
         kept = registers(code, weight, owner, j - i).reshape(j - i, BANDS, ROWS)
@@ -121,13 +123,18 @@ def sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sketch(text: Column) -> Column:
     """Digest of the words and band keys of a text (null without words)."""
 
-    @F.arrow_udf(SKETCH)
     def make(texts: pa.Array) -> pa.Array:
         digests, bands, some = sketches(texts)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
         return pa.StructArray.from_arrays([pa.array(digests[:, 0].view(np.int64)), pa.array(digests[:, 1].view(np.int64)), lists], ["hi", "lo", "bands"], mask=pa.array(~some))
 
-    return make(text)
+    @F.arrow_udf(SKETCH)
+    def make_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield make(texts)
+        tidy()
+
+    return make_all(text)
 
 
 def probability_jaccard(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> float:

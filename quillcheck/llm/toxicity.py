@@ -16,6 +16,7 @@ with several label rows has the largest of them. Texts of any length are taken w
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, flat, id_remainder, shared_dir, table
+from .common import blocks, flat, id_remainder, shared_dir, table, tidy
 
 #: Labelled rows of each class, and features, that the fit takes at most.
 MAX_DOCS, FEATURES = 3000, 400
@@ -139,7 +140,7 @@ class Restorer:
         found = self.memory.get(core)
         if found is None:
             found = tuple(restore(core, self.costs).split())
-            if len(self.memory) > 100_000:
+            if len(self.memory) > 30_000:
                 self.memory.clear()
             self.memory[core] = found
         return found
@@ -257,17 +258,23 @@ def toxicity(spark: SparkSession, text: Column, model: Model) -> Column:
     """Struct of the score and the words restored from noisy tokens."""
     sent = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf(RESULT)
-    def judge(texts: pa.Array) -> pa.Array:
-        m = sent.value
-        restorer, scores, found = Restorer(m.costs), [], []
+    def judge(m: Model, restorer: Restorer, texts: pa.Array) -> pa.Array:
+        scores, found = [], []
         for i in range(len(texts)):
             words, restored = restorer.words(texts[i].as_py() or "")
             scores.append(m.score(words))
             found.append(sorted(restored & m.whole.keys()))
         return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["score", "restored"])
 
-    return judge.asNondeterministic()(text)  # so that it is computed once, before any filter on it
+    @F.arrow_udf(RESULT)
+    def judge_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        restorer = Restorer(sent.value.costs)
+        for texts in batches:
+            yield judge(sent.value, restorer, texts)
+        del restorer
+        tidy()
+
+    return judge_all.asNondeterministic()(text)  # so that it is computed once, before any filter on it
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
