@@ -14,9 +14,9 @@ from . import lookup
 TOOL = "quillcheck"
 
 
-def _check(field: str, status: Column | str, detail: Column, source: str) -> Column:
-    status = F.lit(status) if isinstance(status, str) else status
-    return F.struct(F.lit(field).alias("field"), status.alias("status"), detail.alias("detail"), F.lit(source).alias("source"))
+def _check(field: str, status: Column | str, detail: Column, source: Column | str) -> Column:
+    status, source = (F.lit(x) if isinstance(x, str) else x for x in (status, source))
+    return F.struct(F.lit(field).alias("field"), status.alias("status"), detail.alias("detail"), source.alias("source"))
 
 
 def phantoms(entries: DataFrame) -> DataFrame:
@@ -43,20 +43,35 @@ def gather(entries: DataFrame, catalog: DataFrame) -> DataFrame:
     return out
 
 
-def _source_checks(source: str) -> list[Column]:
-    rec = F.col(f"rec_{source}")
-    has = rec.isNotNull()
-    out = [("title", M.match_title(F.col("title"), rec["title"])), ("authors", M.match_authors(F.col("author"), rec["authors"])), ("year", M.match_year(F.col("year"), rec["year"]))]
-    as_check = lambda n, m: T.let({"m": m}, lambda v: _check(n, v["m"]["status"], v["m"]["detail"], source))
-    checks = [F.when(has, as_check(n, m)) for n, m in out]
-    if source != "arxiv":
-        m = M.match_venue(F.col("venue"), rec["venue"])
-        checks.append(F.when(has & T.filled(rec["venue"]), as_check("venue", m)))
-    if source in ("crossref", "openalex"):
-        checks.append(F.when(has & F.coalesce(rec["is_retracted"], F.lit(False)), _check("retraction", "FAIL", F.lit("RETRACTED PAPER!"), source)))
-    if source in ("s2", "openalex"):
-        checks.append(F.when(rec["citation_count"].isNotNull(), _check("citations", "OK", F.concat(F.lit("citation count: "), rec["citation_count"].cast("string")), source)))
-    return checks
+#: Places of the checks of each source among an entry's checks; phantoms stand at 2 and 3.
+_PLACES = {"arxiv": 0, "crossref": 1, "dblp": 4, "s2": 5, "openalex": 6}
+
+
+def source_checks(gathered: DataFrame) -> DataFrame:
+    """Per entry, the checks of all sources with a record, softened where the source is confirmed: id, by_source (array of place,
+    source, confirmed, checks).
+
+    Records become rows, so that each matcher stands in the plan once.
+    """
+    found = F.array_compact(F.array(*(F.when(F.col(f"rec_{s}").isNotNull(), F.struct(F.lit(k).alias("place"), F.lit(s).alias("source"), F.col(f"rec_{s}").alias("rec"))) for s, k in _PLACES.items())))
+    rows = gathered.select("id", "title", "author", "year", "venue", F.explode(found).alias("f")).select("id", "title", "author", "year", "venue", "f.*")
+    rec, source = F.col("rec"), F.col("source")
+    rows = rows.select("id", "place", "source", "rec", M.match_title(F.col("title"), rec["title"]).alias("mt"), M.match_authors(F.col("author"), rec["authors"]).alias("ma"), M.match_year(F.col("year"), rec["year"]).alias("my"), M.match_venue(F.col("venue"), rec["venue"]).alias("mv"))
+    sure = (F.col("mt.status") == "OK") & F.col("ma.status").isin("OK", "WARN")
+    far, one = sure & (F.col("my.status") == "FAIL"), sure & (F.col("my.status") == "WARN") & F.col("my.detail").contains("off by 1")
+    status = F.when(far, "WARN").when(one, "OK").otherwise(F.col("my.status"))
+    detail = F.when(far, F.concat("my.detail", F.lit(" (downgraded: title+author confirmed)"))).when(one, F.concat("my.detail", F.lit(" (accepted: confirmed match)"))).otherwise(F.col("my.detail"))
+    checks = F.array_compact(
+        F.array(
+            _check("title", F.col("mt.status"), F.col("mt.detail"), source),
+            _check("authors", F.col("ma.status"), F.col("ma.detail"), source),
+            _check("year", status, detail, source),
+            F.when((source != "arxiv") & T.filled(rec["venue"]), _check("venue", F.col("mv.status"), F.col("mv.detail"), source)),
+            F.when(source.isin("crossref", "openalex") & F.coalesce(rec["is_retracted"], F.lit(False)), _check("retraction", "FAIL", F.lit("RETRACTED PAPER!"), source)),
+            F.when(source.isin("s2", "openalex") & rec["citation_count"].isNotNull(), _check("citations", "OK", F.concat(F.lit("citation count: "), rec["citation_count"].cast("string")), source)),
+        )
+    )
+    return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "source", sure.alias("confirmed"), checks.alias("checks")))).alias("by_source"))
 
 
 def _phantom(kind: str, name: str, what: str, source: str) -> Column:
@@ -77,30 +92,11 @@ def fold(gathered: DataFrame) -> DataFrame:
         none & article,
         _check("verification", "FAIL", F.concat(F.lit("NO API MATCH -- paper may be hallucinated or title differs significantly (tried: "), F.array_join("sources_tried", ", "), F.lit(")")), ""),
     ).when(none, _check("verification", "WARN", F.concat(F.lit("No API match for @"), "type", F.lit(" entry -- non-article types have limited API coverage")), ""))
-    checks = [
-        *_source_checks("arxiv"),
-        *_source_checks("crossref"),
-        _phantom("doi", "DOI", "doesn't resolve", "crossref"),
-        _phantom("arxiv", "arXiv ID", "doesn't exist", "arxiv"),
-        *_source_checks("dblp"),
-        *_source_checks("s2"),
-        *_source_checks("openalex"),
-        unmatched,
-    ]
-    g = cut(g.withColumn("checks", F.array_compact(F.array(*checks))))
-    has = lambda s, f, states: F.exists("checks", lambda c: (c["source"] == s) & (c["field"] == f) & c["status"].isin(*states))
-    sure = F.array_compact(F.array(*(F.when(has(s, "title", ("OK",)) & has(s, "authors", ("OK", "WARN")), s) for s in CATALOGS)))
-    g = g.withColumn("confirmed", sure)
-
-    def soften(c: Column) -> Column:
-        own = F.array_contains(F.col("confirmed"), c["source"]) & (c["field"] == "year")
-        far = own & (c["status"] == "FAIL")
-        one = own & (c["status"] == "WARN") & c["detail"].contains("off by 1")
-        status = F.when(far, "WARN").when(one, "OK").otherwise(c["status"])
-        detail = F.when(far, F.concat(c["detail"], F.lit(" (downgraded: title+author confirmed)"))).when(one, F.concat(c["detail"], F.lit(" (accepted: confirmed match)"))).otherwise(c["detail"])
-        return F.struct(c["field"].alias("field"), status.alias("status"), detail.alias("detail"), c["source"].alias("source"))
-
-    g = g.withColumn("checks", F.transform("checks", soften))
+    own = source_checks(g)
+    g = g.join(own, "id", "left").withColumn("by_source", F.coalesce("by_source", F.filter(F.array(F.struct(F.lit(0).alias("place"), F.lit("").alias("source"), F.lit(False).alias("confirmed"), F.array(_check("", "", F.lit(""), "")).alias("checks"))), lambda x: F.lit(False))))
+    part = lambda low, high: F.flatten(F.transform(F.filter("by_source", lambda x: x["place"].between(low, high)), lambda x: x["checks"]))
+    checks = F.concat(part(0, 1), F.array_compact(F.array(_phantom("doi", "DOI", "doesn't resolve", "crossref"), _phantom("arxiv", "arXiv ID", "doesn't exist", "arxiv"))), part(4, 6), F.array_compact(F.array(unmatched)))
+    g = cut(g.withColumn("checks", checks).withColumn("confirmed", F.transform(F.filter("by_source", lambda x: x["confirmed"]), lambda x: x["source"])))
     counted = F.filter("checks", lambda c: (F.size("confirmed") == 0) | F.array_contains(F.col("confirmed"), c["source"]))
     any_of = lambda state: F.exists(counted, lambda c: c["status"] == state)
     g = g.withColumn("overall", F.when(any_of("FAIL"), "FAIL").when(any_of("WARN"), "WARN").otherwise("OK"))
