@@ -5,26 +5,24 @@ term's hash votes on every bit of the fingerprint with its weight as a sign; a b
 positive. Likeness is the share of equal bits. Votes of parts of a text add up, so long texts are taken in
 pieces cut at word boundaries, and memory stays bounded.
 
-``neighbours`` finds all fingerprints within a Hamming radius by permuted block tables: the bits are cut into
-``radius + spare`` blocks, and by the pigeonhole principle two fingerprints within the radius agree on at least
-``spare`` blocks, so each table keyed by one choice of ``spare`` blocks holds them side by side. Equal
-fingerprints are one entry. Query entries are searched against all entries of their table row in bounded chunks
-that are spread over tasks, and no pair is dropped.
+``near_pairs`` finds all fingerprints within a Hamming radius by block tables: the bits are cut into so many blocks that,
+by the pigeonhole principle, two fingerprints within the radius differ by one bit at most in some block. Every
+fingerprint enters each table under its own block, and one that asks looks there under its block and under each
+block of one other bit. Rows of a table are compared in bounded chunks that are spread over tasks, and no pair is
+dropped. Equal fingerprints are one entry, a class, with its least id as representative and its number of documents.
 
 A text without words (or a null) has the fingerprint 0; equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLOCK_BYTES, WORD_BYTE, flat, blocks, mix64, table, word_hashes
+from .common import BLOCK_BYTES, WORD_BYTE, flat, blocks, mix64, stash, table, word_hashes
 
 BITS = 128
 _PAIR_WEIGHT = 2
@@ -119,58 +117,70 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - distance(a, b) / float(BITS)
 
 
-def neighbours(fps: DataFrame, fp: str = "fp", asks: str = "asks", radius: int = 3, spare: int = 2, chunk: int = 2000) -> DataFrame:
-    """For each distinct fingerprint with a true ``asks``: its number ``n`` of other distinct fingerprints within ``radius``.
+def near_pairs(classes: DataFrame, radius: int, chunk: int = 20_000) -> DataFrame:
+    """For each class that asks, every other class within ``radius``: fp, and the other's representative, docs and distance.
 
-    Every fingerprint enters one row of each block table. Rows of a table that hold more than ``chunk`` entries
-    are cut into chunks by hash; those that ask go to each chunk of their row. A pair that meets in several
-    tables counts in the first of them only, so that the counts of all chunks and tables add up.
+    ``classes`` has distinct ``fp``, ``asks``, ``representative`` and ``docs``. Rows of a table that hold more than
+    ``chunk`` entries are cut into chunks by hash; those that ask go to each chunk of their row. A pair that meets in
+    several tables counts in the first of them only.
     """
-    blocks_ = radius + spare
-    cuts = [BITS * k // blocks_ for k in range(blocks_ + 1)]
-    choices = list(combinations(range(blocks_), spare))
-    masks = [sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << (BITS - cuts[b + 1]) for b in c) for c in choices]
-    low = (1 << 64) - 1
+    half = radius // 4 + 1  # blocks of each 64 bits, so that radius < 2 * blocks
+    cuts = [64 * k // half for k in range(half + 1)]
+    spans = [(word, 64 - cuts[k + 1], cuts[k + 1] - cuts[k]) for word in ("hi", "lo") for k in range(half)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    distinct = fps.groupBy(F.col(fp).alias("fp")).agg(F.max(F.col(asks)).alias("asks"))
     w = _words(F.col("fp"))
-    both = distinct.select("asks", F.shiftleft(w[0], 32).bitwiseOR(w[1]).alias("hi"), F.shiftleft(w[2], 32).bitwiseOR(w[3]).alias("lo"))
-    keys = F.array(*(F.xxhash64(F.lit(t), F.col("hi").bitwiseAND(F.lit(signed(m >> 64))), F.col("lo").bitwiseAND(F.lit(signed(m & low)))) for t, m in enumerate(masks)))
-    rows = both.select("asks", "hi", "lo", F.posexplode(keys).alias("table", "key"))
-    own = Window.partitionBy("table", "key")
-    met = rows.withColumn("size", F.count("*").over(own)).withColumn("asked", F.max("asks").over(own)).where("size > 1 and asked")
-    parts = F.ceil(F.col("size") / chunk).cast("int")
-    place = F.pmod(F.xxhash64("hi", "lo"), parts.cast("long")).cast("int")
-    entries = F.array(F.struct(place.alias("part"), F.lit(False).alias("ask")))
-    asking = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(k.alias("part"), F.lit(True).alias("ask")))
-    dealt = met.select("table", "key", "hi", "lo", F.explode(F.when(F.col("asks"), F.concat(entries, asking)).otherwise(entries)).alias("at"))
-    dealt = dealt.select("table", "key", "hi", "lo", "at.*").repartition("table", "key", "part")
-    groups = dealt.groupBy("table", "key", "part").agg(F.collect_list(F.struct("hi", "lo", "ask")).alias("rows"))
-
-    @F.arrow_udf("array<struct<hi:bigint,lo:bigint,n:bigint>>")
-    def count(tables: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
+    both = classes.select("asks", "representative", "docs", F.shiftleft(w[0], 32).bitwiseOR(w[1]).alias("hi"), F.shiftleft(w[2], 32).bitwiseOR(w[3]).alias("lo"))
+    own = [F.shiftrightunsigned(F.col(word), shift).bitwiseAND(F.lit(signed((1 << width) - 1))) for word, shift, width in spans]
+    row = lambda t, block, ask: F.struct(F.lit(t).alias("table"), block.alias("block"), F.lit(ask).alias("ask"))
+    flips = lambda width: F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << k)).cast("long") for k in range(width)))
+    look = lambda t: F.transform(flips(spans[t][2]), lambda m: row(t, own[t].bitwiseXOR(m), True))
+    entries = F.array(*(row(t, block, False) for t, block in enumerate(own)))
+    near = [look(t) for t in range(len(spans))]
+    large = both.select(F.explode(entries).alias("at")).groupBy("at.table", "at.block").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    large = large.select("table", "block", F.ceil(F.col("n") / chunk).cast("long").alias("parts"))
+    dealt = both.select("representative", "docs", "hi", "lo", F.explode(F.when(F.col("asks"), F.concat(entries, *near)).otherwise(entries)).alias("at")).select("representative", "docs", "hi", "lo", "at.*")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    place = F.when(F.col("ask"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("hi", "lo"), parts)))
+    dealt = dealt.join(large, ["table", "block"], "left").withColumn("part", F.explode(place)).drop("parts").repartition("table", "block", "part")
+    groups = dealt.groupBy("table", "block", "part").agg(F.collect_list(F.struct("hi", "lo", "ask", "representative", "docs")).alias("rows"), F.max("ask").alias("asked")).where("asked")
+
+    kind = pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("representative", pa.int64()), ("docs", pa.int64()), ("distance", pa.int32())])
+
+    @F.arrow_udf("array<struct<hi:bigint,lo:bigint,representative:bigint,docs:bigint,distance:int>>")
+    def compare(tables: pa.Array, lists: pa.Array) -> pa.Array:
+        out, ends, total = [], [0], 0
         for table_, rows_ in zip(tables.to_pylist(), lists):
             values = rows_.values
             hi, lo = (values.field(k).to_numpy().view(np.uint64) for k in ("hi", "lo"))
             ask = values.field("ask").to_numpy(zero_copy_only=False)
-            found = []
-            for q in np.flatnonzero(ask):
-                x, y = hi[~ask] ^ hi[q], lo[~ask] ^ lo[q]
-                near = np.bitwise_count(x).astype(int) + np.bitwise_count(y) <= radius
-                near &= (x | y) != 0
-                n = 0
-                for a, b in zip(x[near].tolist(), y[near].tolist()):
-                    whole = a << 64 | b
-                    n += next(t for t, m in enumerate(masks) if not whole & m) == table_
-                if n:
-                    found.append({"hi": int(hi[q].view(np.int64)), "lo": int(lo[q].view(np.int64)), "n": n})
-            out.append(found)
-        return pa.array(out, pa.list_(pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])))
-
-    counts = groups.select(F.explode(count("table", "rows")).alias("c")).groupBy("c.hi", "c.lo").agg(F.sum("c.n").alias("n"))
+            own, asking = np.flatnonzero(~ask), np.flatnonzero(ask)
+            step = max(1, (1 << 18) // max(1, len(own)))
+            for start in range(0, len(asking), step):
+                q = asking[start : start + step]
+                distance = np.bitwise_count(hi[q][:, None] ^ hi[own]) + np.bitwise_count(lo[q][:, None] ^ lo[own])
+                i, j = np.nonzero((distance <= radius) & (distance > 0))
+                distance, i, j = distance[i, j], q[i], own[j]
+                first = np.ones(len(i), bool)
+                for word, shift, width in spans[:table_]:
+                    x = hi[i] ^ hi[j] if word == "hi" else lo[i] ^ lo[j]
+                    first &= np.bitwise_count(x >> np.uint64(shift) & np.uint64((1 << width) - 1)) > 1
+                i, j, distance = i[first], j[first], distance[first]
+                other = values.take(pa.array(j))
+                out.append(pa.StructArray.from_arrays([pa.array(hi[i].view(np.int64)), pa.array(lo[i].view(np.int64)), other.field("representative"), other.field("docs"), pa.array(distance.astype(np.int32))], ["hi", "lo", "representative", "docs", "distance"]))
+                total += len(i)
+            ends.append(total)
+        rows = pa.concat_arrays(out) if out else pa.array([], kind)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+    found = groups.select(F.explode(compare("table", "rows")).alias("c")).select("c.*")
     digits = F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (F.col("hi"), F.col("lo")))))
-    return counts.select(digits.alias(fp), "n")
+    return found.select(digits.alias("fp"), "representative", "docs", "distance")
+
+
+def neighbours(fps: DataFrame, fp: str = "fp", asks: str = "asks", radius: int = 3, chunk: int = 20_000) -> DataFrame:
+    """For each distinct fingerprint with a true ``asks``: its number ``n`` of other distinct fingerprints within ``radius``, where there are any."""
+    distinct = fps.groupBy(F.col(fp).alias("fp")).agg(F.max(F.col(asks)).alias("asks"), F.lit(None).cast("long").alias("representative"), F.lit(1).cast("long").alias("docs"))
+    return near_pairs(distinct, radius, chunk).groupBy(F.col("fp").alias(fp)).agg(F.sum("docs").alias("n"))
 
 
 def with_next(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -203,11 +213,17 @@ def with_next(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 #: One in so many documents is searched for near fingerprints by the registered query.
 ASK = 20
+#: Differing bits up to which the registered query takes fingerprints as near.
+RADIUS = 3
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text of ``documents`` and of its edited text, and their likenesses; for documents whose
-    id is divisible by 20, also how many other fingerprints of the table lie within 3 bits (else null)."""
+    """Fingerprints of every text of ``documents`` and of its edited text, and their likenesses.
+
+    ``representative`` is the least id with the same fingerprint: the document's class. A class asks if one of its
+    ids is divisible by 20; then the row of its representative lists all other classes within ``RADIUS`` bits in ``near`` (JSON:
+    distance, representative), nearest first. ``n_near`` of a document that asks is the number of other documents in
+    its own class (distance 0) and in those. Other rows have null there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.struct("text", fingerprint(F.col("text")).alias("fp")).alias("own"))
     pairs = with_next(docs, "doc_id", "own", "following")
@@ -216,7 +232,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.expr(f"concat(substring(text, 1, length(text) - {half}), substring(next_text, 1, {half}))")
     pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "fingerprint", fingerprint(edited).alias("edited_fingerprint"), "next_fingerprint")
     pairs = pairs.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint")))
+    pairs, _ = stash(pairs.drop("next_fingerprint"))  # two branches read it
     asks = F.coalesce(F.col("doc_id") % ASK == 0, F.lit(False))
-    counts = neighbours(docs.select("own.fp", asks.alias("asks"))).select(F.col("fp").alias("fingerprint"), "n")
-    pairs = pairs.join(counts, "fingerprint", "left")
-    return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(asks, F.coalesce("n", F.lit(0))).alias("n_near"))
+    classes = pairs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").cast("long").alias("representative"), F.count("*").alias("docs"), F.max(asks).alias("asks"))
+    classes, _ = stash(classes)
+    found = near_pairs(classes, RADIUS).groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("distance", "representative"))).alias("near"), F.sum("docs").alias("others"))
+    known = classes.join(found, "fp", "left").select(F.col("fp").alias("fingerprint"), "representative", F.col("docs") - 1 + F.coalesce("others", F.lit(0)), F.when(F.col("asks"), F.coalesce(F.to_json("near"), F.lit("[]")))).toDF("fingerprint", "representative", "n", "near")
+    out = pairs.join(known, "fingerprint")
+    listed = F.when(F.col("doc_id") == F.col("representative"), F.col("near"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(asks, F.col("n")).alias("n_near"), "representative", listed.alias("near"))

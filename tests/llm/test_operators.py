@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -264,6 +265,26 @@ def test_simhash(spark, odd):
             assert got.get(f"{f:032x}", 0) == sum(1 for x in {*fps} if 0 < (x ^ f).bit_count() <= 3)
 
 
+def test_simhash_matches(spark, tmp_path):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    bases = [" ".join(rng.choices(words, k=300)) for _ in range(12)]
+    texts = [b if k == 0 else b.upper().replace(" ", ", ") if k == 1 else b + " tail" * (k // 2) for b in bases for k in range(5)] + [bases[0]] * 45
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [int(x.tobytes().hex(), 16) for x in simhash.fingerprints(pa.array(texts))]
+    least = {}
+    for i, f in enumerate(fps):
+        least.setdefault(f, i)
+    asking = {f for i, f in enumerate(fps) if i % simhash.ASK == 0}
+    for r in simhash.op4_simhash(spark, str(tmp_path)).collect():
+        i, f = r["doc_id"], fps[r["doc_id"]]
+        near = sorted(((x ^ f).bit_count(), k) for x, k in least.items() if 0 < (x ^ f).bit_count() <= simhash.RADIUS)
+        assert r["representative"] == least[f]
+        assert r["n_near"] == (sum((x ^ f).bit_count() <= simhash.RADIUS for x in fps) - 1 if i % simhash.ASK == 0 else None)
+        assert (r["near"] and [(p["distance"], p["representative"]) for p in json.loads(r["near"])]) == (near if i == least[f] and f in asking else None)
+    assert fps.count(fps[0]) > 45 and any(0 < (x ^ fps[0]).bit_count() <= simhash.RADIUS for x in fps)
+
+
 def test_with_next(spark):
     rng = random.Random(5)
     data = [(rng.randrange(1000), f"t{i}") for i in range(200)] + [(7, "a"), (7, "b"), (7, "b"), (None, "n")]
