@@ -213,8 +213,9 @@ def with_next(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 
 #: One in so many documents is searched for near fingerprints by the registered query.
 ASK = 20
-#: Differing bits up to which the registered query takes fingerprints as near.
-RADIUS = 3
+#: Differing bits up to which the registered query takes fingerprints as near: a text of 100 words differs by about 8 when a word
+#: is replaced, and copies of shingle likeness 0.8 by about 12.
+RADIUS = 15
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,6 +285,23 @@ def test_simhash_matches(spark, tmp_path):
     assert fps.count(fps[0]) > 45 and any(0 < (x ^ fps[0]).bit_count() <= simhash.RADIUS for x in fps)
 
 
+def test_simhash_recall(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(150):  # a copy of 100 words with one replaced, and one of shingle likeness 0.8
+        base = rng.choices(words, k=100 if k < 75 else 135)
+        copy = list(base)
+        for i in rng.sample(range(len(base)), 1 if k < 75 else 3):
+            copy[i] = rng.choice(words)
+        texts += [" ".join(base), " ".join(copy)]
+    docs = [(20 * (i // 2) + i % 2, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    near = {r["doc_id"]: r["n_near"] for r in simhash.op4_simhash(spark, str(tmp_path)).where(f"doc_id % {simhash.ASK} = 0").collect()}
+    found = [near[20 * k] >= 1 for k in range(150)]
+    assert sum(found[:75]) >= 0.97 * 75 and sum(found[75:]) >= 0.9 * 75
+
+
 def test_with_next(spark):
     rng = random.Random(5)
     data = [(rng.randrange(1000), f"t{i}") for i in range(200)] + [(7, "a"), (7, "b"), (7, "b"), (None, "n")]
