@@ -41,6 +41,8 @@ REGISTERS = BANDS * ROWS
 #: Members of a bucket that are compared at once.
 CHUNK = 1000
 SKETCH = "struct<hi:bigint,lo:bigint,bands:array<bigint>>"
+#: Rounding of weighted sums; a ratio of two sizes that is not 0.8 is further from it.
+ROUNDING = 1e-9
 _UNIT = 1.0 / (1 << 53)
 
 
@@ -146,6 +148,8 @@ def probability_jaccard(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarr
     common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
+    if a.max() == 1 and b.max() == 1:  # sets: exact
+        return len(common) / (len(x) + len(y) - len(common))
     p, q = a[i].astype(float), b[j].astype(float)
     ratio = p / q
     order = np.argsort(ratio, kind="stable")
@@ -203,7 +207,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
     scored = both.select("a", "b", similarity(F.col("left"), F.col("right")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    return scored.where(F.col("similarity") >= threshold - ROUNDING)
 
 
 def block_links(ids, labels, asks, answers, bands, band, texts: pa.Array, threshold: float) -> list[tuple[int, int]]:
@@ -258,7 +262,7 @@ def block_links(ids, labels, asks, answers, bands, band, texts: pa.Array, thresh
 
     out = []
     even = plain[x[i]] & plain[y[j]]
-    hopeful = ~even | (score >= threshold)
+    hopeful = ~even | (score >= threshold - ROUNDING)
     for p, q, known, s in zip(x[i[hopeful]].tolist(), y[j[hopeful]].tolist(), even[hopeful].tolist(), score[hopeful].tolist()):
         u, v = find(int(labels[p])), find(int(labels[q]))
         if u == v:
@@ -266,7 +270,7 @@ def block_links(ids, labels, asks, answers, bands, band, texts: pa.Array, thresh
         if not known:
             a, b = slice(cut[p], cut[p + 1]), slice(cut[q], cut[q + 1])
             s = probability_jaccard(code[a], weight[a], code[b], weight[b])
-        if s >= threshold:
+        if s >= threshold - ROUNDING:
             parent[max(u, v)] = min(u, v)
             out.append((int(ids[p]), int(ids[q])))
     return out

@@ -245,6 +245,30 @@ def test_near_classes(spark, monkeypatch):
     assert [got[i] for i in range(len(docs))] == label
 
 
+def test_pairs_at_the_threshold(spark):
+    pairs, below = [], []
+    for m in range(1, 400):  # 4m of 5m shingles in common: the first text is the second's beginning
+        words = [f"{m}w{i}" for i in range(5 * m + 4)]
+        pairs.append((" ".join(words[: 4 * m + 4]), " ".join(words)))
+        below.append((" ".join(words[: 4 * m + 3]), " ".join(words)))
+    def kept(pairs):
+        texts = spark.createDataFrame([(2 * k + s, t) for k, p in enumerate(pairs) for s, t in enumerate(p)], "id long, text string")
+        found = probminhash.verified(spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(pairs))], "a long, b long"), texts, 0.8)
+        return found.count()
+    assert (kept(pairs), kept(below)) == (399, 0)
+    for m in (3, 12, 13, 15, 20, 7):  # each shingle twice, and in a block
+        x = np.sort(probminhash.mix64(np.arange(5 * m, dtype=np.uint64)))
+        two = np.full(5 * m, 2)
+        assert probminhash.probability_jaccard(x[: 4 * m], two[: 4 * m], x, two) >= 0.8 - probminhash.ROUNDING
+        doubled = [" ".join([t, *(f"gap{m}x{s}{i}" for i in range(0)), t]) for s, t in enumerate(pairs[m - 1])]
+        for texts in (pairs[m - 1], doubled):
+            sides = [probminhash.shingles(*flat(pa.array([t])))[:2] for t in texts]
+            want = probminhash.probability_jaccard(*sides[0], *sides[1]) >= 0.8 - probminhash.ROUNDING
+            yes = np.ones(2, bool)
+            got = probminhash.block_links(np.arange(2), np.arange(2), yes, yes, np.zeros((2, 1)), 0, pa.array(texts), 0.8)
+            assert bool(got) == want
+
+
 def test_simhash(spark, odd):
     texts = [EN * 50, "", None, "one", DE, EN * 50]
     whole = simhash.fingerprints(pa.array(texts))
