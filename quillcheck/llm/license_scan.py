@@ -3,8 +3,8 @@
 A text's words (runs of ASCII letters and digits, A-Z lower-cased, and non-ASCII characters) are joined by
 single spaces. Each notice may differ by a number of character edits. It is cut into one piece more than that:
 by the pigeonhole principle any match has one piece unchanged, so the exact places of pieces (seeds) give all
-candidates. The regex library's bounded-error matching then verifies each candidate window and yields spans with
-their edits. Spans must start and end at word boundaries. Phrases without allowed edits are sought the same way,
+candidates. The regex library's bounded-error matching then verifies each candidate window, and edit distances from each
+word start in reach give the spans that start and end at word boundaries, with their edits. Phrases without allowed edits are sought the same way,
 with one seed, and give all places where their words stand consecutively.
 
 Null texts count as empty: no words, no spans, no labels. Memory is a few times one text.
@@ -74,8 +74,26 @@ def notices(phrases=PHRASES, fuzzy=NOTICES, per: int = 10) -> tuple[Notice, ...]
 def _pattern(notice: Notice):
     import regex
 
-    edits = f"{{e<={notice.edits}}}" if notice.edits else ""
-    return regex.compile(b"(?:" + regex.escape(notice.words.encode(), special_only=True) + b")" + edits.encode(), regex.BESTMATCH if notice.edits else 0)
+    words = regex.escape(notice.words.encode(), special_only=True)
+    return regex.compile(b"(?:%b){e<=%d}" % (words, notice.edits))
+
+
+def _ends(words: bytes, text: bytes, most: int) -> list[tuple[int, int]]:
+    """Places of ``text`` before a space, and the edits (``most`` at most) that make ``words`` of all before the place."""
+    n, far = len(words), most + 1
+    row, out = [min(k, far) for k in range(n + 1)], []
+    for at, c in enumerate(text):
+        if c == 32 and at and row[n] <= most:
+            out.append((at, row[n]))
+        low, high = max(1, at + 1 - most), min(n, at + 1 + most)
+        new = [far] * (n + 1)
+        new[0] = min(at + 1, far)
+        for k in range(low, high + 1):
+            new[k] = min(row[k] + 1, new[k - 1] + 1, row[k - 1] + (words[k - 1] != c), far)
+        row = new
+        if min(row[low - 1 : high + 1], default=far) > most:
+            break
+    return out
 
 
 @lru_cache(maxsize=8)
@@ -112,20 +130,13 @@ def scan(text: bytes, sought: tuple[Notice, ...]) -> tuple[int, list[tuple[str,
         if not k:
             found = {(a, a + size, 0) for a in starts if joined[a - 1 : a] == b" " and joined[a + size : a + size + 1] == b" "}
         else:
-            done = -1
             pattern = _pattern(notice)
             for a in sorted({*starts}):
-                if a <= done:
-                    continue
-                low, high = max(1, a - k), min(len(joined) - 1, a + size + 2 * k)
-                # only windows that begin and end at word boundaries can match
-                m = pattern.search(joined, low, high)
-                if m:
-                    i, j = m.span()
-                    i, j = i + (joined[i : i + 1] == b" "), j - (joined[j - 1 : j] == b" ")
-                    if joined[i - 1 : i] == b" " and joined[j : j + 1] == b" ":
-                        found.add((i, j, sum(m.fuzzy_counts)))
-                        done = a + k
+                low, high = max(1, a - k), min(len(joined), a + size + k + 1)
+                if pattern.search(joined, low, high):
+                    for i in range(low, min(a + k + 1, high)):
+                        if joined[i - 1] == 32:  # a word starts
+                            found |= {(i, i + n, edits) for n, edits in _ends(notice.words.encode(), joined[i:high], k)}
         kept: list[tuple[int, int, int]] = []
         for i, j, edits in sorted(found):
             if k and kept and i < kept[-1][1]:

@@ -190,6 +190,40 @@ def test_license_scan():
     assert license_scan.scan(b"", sought) == (0, [])
 
 
+def test_license_edits_at_the_ends():
+    def least(words, phrase):
+        """Fewest edits between the phrase and any run of words."""
+        best = 99
+        for i in range(len(words)):
+            row = list(range(len(phrase) + 1))
+            text = " ".join(words[i:])
+            for n, c in enumerate(text, 1):
+                new = [n]
+                for k, p in enumerate(phrase, 1):
+                    new.append(min(row[k] + 1, new[-1] + 1, row[k - 1] + (c != p)))
+                row = new
+                if n == len(text) or text[n] == " ":
+                    best = min(best, row[-1])
+                if n > 2 * len(phrase):
+                    break
+        return best
+
+    sought = license_scan.notices()
+    names = lambda text: {s[1]: s[4] for s in license_scan.scan(text.encode(), sought)[1]}
+    assert names("It is licensed under the Apache Licenses today")["licensed under the apache license"] == 1
+    assert names("all rights reservedd")["all rights reserved"] == 1 and names("xall rights reserved")["all rights reserved"] == 1
+    rng = random.Random(6)
+    for _ in range(300):
+        notice = rng.choice([x for x in sought if x.edits])
+        text = list(notice.words)
+        for _ in range(rng.randint(0, notice.edits + 1)):
+            at = rng.choice((0, len(text), rng.randint(0, len(text)), rng.randint(0, len(text))))
+            text[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "s", " "])
+        words = f"we say {''.join(text)} and go on".split()
+        want = least(words, notice.words)
+        assert names(" ".join(words)).get(notice.words, 99) == (want if want <= notice.edits else 99), (notice.words, words)
+
+
 def test_probability_jaccard_and_sketches():
     def counted(t):
         w = t.lower().split()
