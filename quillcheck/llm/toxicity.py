@@ -1,9 +1,11 @@
 """Toxicity after noisy-channel deobfuscation.
 
-Restoring: a token that mixes letters with digits or signs, stretches a letter, or comes letter by letter is a noisy copy
-of what was meant. Its characters make a lattice: a sign or digit may stand for a letter (leetspeak), for nothing, or for
+Restoring: a token that mixes letters with digits or signs, consists of signs and digits that stand for letters, stretches a
+letter, doubles one where the letter model does not expect it, or comes letter by letter is a noisy copy of what was meant. Its characters make a lattice: a sign or digit may stand for a letter (leetspeak), for nothing, or for
 a break; a repeated letter may be one; a space or dot between single letters may be nothing. A character trigram model,
-counted over all documents, and the costs of the channel score every path, and Viterbi's algorithm finds the best.
+counted over all documents, and the costs of the channel score every path, and Viterbi's algorithm finds the best. Signs at the ends of a token that may stand for letters are steps of the
+lattice, too; where they may be decoration around a plain word, that word counts beside what was restored. Tokens
+without a letter are read as letters throughout, and dropped where the reading is unlikelier than letters at random.
 
 Scoring: restored texts become sets of words and word beginnings; a logistic regression on the features that go most with
 the label gives the score. It is fitted on at most ``max_docs`` labelled rows of each class (those of least hash), on whole
@@ -36,6 +38,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 # Costs of the channel, in nats.
 SWAP, GUESS, DROP, BREAK, JOIN, SHRINK = 0.5, 3.0, 3.5, 1.5, 0.2, 0.3
 
+# Cost from which a doubled letter is unexpected, and of a letter at random.
+ODD, RANDOM = 5.0, float(np.log(28))
+
 LETTERS = 28  # 0: no letter, 1-26: a-z, 27: bytes of other letters
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -82,22 +87,39 @@ def letter_costs(counts: np.ndarray) -> list:
 _INDEX = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz", 1)}
 
 
-def restore(noisy: str, costs: list) -> str:
-    """The most likely text behind a noisy one (lower case): letters, with spaces where it breaks."""
+def odd(token: str, at: int, costs: list) -> bool:
+    """Whether the letter at ``at`` repeats the one before in a run of three, or where the letter model does not expect it."""
+    c = token[at]
+    if not at or token[at - 1] != c:
+        return False
+    if token[at + 1 : at + 2] == c or at > 1 and token[at - 2] == c:
+        return True
+    k = _INDEX.get(c, 27)
+    before = token[at - 2] if at > 1 else ""
+    return costs[_INDEX.get(before, 27 if before.isalpha() else 0)][k][k] > ODD
+
+
+def decode(noisy: str, costs: list) -> tuple[float, str]:
+    """The most likely text behind a noisy one (lower case), letters with spaces where it breaks, and its cost.
+
+    Where there is no letter at all, signs and digits are not dropped."""
+    letters = any(c.isalpha() for c in noisy)
     # state: the last two classes and the last character put out; value: cost and text
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
     for at, c in enumerate(noisy):
         options: list[tuple[str, float]] = []
         if c.isalpha():
             options.append((c, 0.0))
-            if at and noisy[at - 1] == c:
+            if odd(noisy, at, costs):
                 options.append(("", SHRINK))
         elif c.isspace() or c in "._-~'":
             options += [("", JOIN), (" ", BREAK)]
         else:
             known = LEET.get(c, "")
             options += [(x, SWAP if len(known) < 3 else GUESS) for x in known]
-            options += [("", DROP), (" ", BREAK)]
+            options += [("", DROP)] * letters
+            if 0 < at < len(noisy) - 1:  # between others
+                options.append((" ", BREAK))
         new: dict[tuple[int, int, str], tuple[float, str]] = {}
         for (a, b, last), (cost, text) in states.items():
             for x, extra in options:
@@ -115,13 +137,21 @@ def restore(noisy: str, costs: list) -> str:
                 if have is None or total < have[0] or total == have[0] and out < have[1]:
                     new[key] = (total, out)
         states = new
-    return min((cost + (costs[a][b][0] if last not in ("", " ") else 0.0), text) for (a, b, last), (cost, text) in states.items())[1].strip()
+    return min((cost + (costs[a][b][0] if last not in ("", " ") else 0.0), text) for (a, b, last), (cost, text) in states.items())
+
+
+def restore(noisy: str, costs: list) -> str:
+    """The most likely text behind a noisy one."""
+    return decode(noisy, costs)[1].strip()
 
 
 _PLAIN = re.compile(r"[^\W\d_]+")
 _STRETCH = re.compile(r"(.)\1\1")
-#: Signs repeated at an end of a token, and punctuation there, are decoration.
+_DOUBLE = re.compile(r"(.)\1")
+#: Signs repeated at an end of a token, and punctuation there, may be decoration; what stands for no letter is.
 _FRILLS = re.compile(r"^(?:([^\w\s])\1+|[\"'(\[{<.,;:?-])+|(?:([^\w\s])\2+|[\"')\]}>.,;:?!-])+$")
+_OUTER = re.compile(r"^[\"'\[{.,;:?)\]}>~_-]+|[\"'\[{.,;:?)\]}>~_-]+$")
+_SIGNS = re.compile("[%s]+" % re.escape("".join(LEET)))
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\s]\s+){2,}[^\s](?=\s|$)")
 
 
@@ -131,29 +161,43 @@ class Restorer:
     def __init__(self, costs: list):
         self.costs, self.memory = costs, {}
 
-    def token(self, token: str) -> tuple[str, ...]:
-        core = _FRILLS.sub("", token)
-        if _PLAIN.fullmatch(core) and not _STRETCH.search(core):
-            return (core,)
-        if not any(c.isalpha() for c in core):
-            return ()
-        found = self.memory.get(core)
+    def plain(self, word: str) -> bool:
+        """Only letters, none of them repeated where that is unexpected."""
+        return bool(_PLAIN.fullmatch(word)) and not (_DOUBLE.search(word) and any(odd(word, at, self.costs) for at in range(1, len(word))))
+
+    def token(self, token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """Words as they are written, and restored ones."""
+        found = self.memory.get(token)
         if found is None:
-            found = tuple(restore(core, self.costs).split())
+            found = self._token(token)
             if len(self.memory) > 30_000:
                 self.memory.clear()
-            self.memory[core] = found
+            self.memory[token] = found
         return found
 
+    def _token(self, token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        core, inner = _OUTER.sub("", token), _FRILLS.sub("", token)
+        own = (inner,) if _PLAIN.fullmatch(inner) and not _STRETCH.search(inner) else ()
+        if core == inner and self.plain(core):
+            return own, ()
+        if any(c.isalpha() for c in core):
+            return own, tuple(w for w in restore(core, self.costs).split() if w not in own)
+        if not _SIGNS.fullmatch(core):
+            return own, ()
+        cost, text = decode(core, self.costs)
+        channel = sum(SWAP if len(LEET[c]) < 3 else GUESS for c in core)
+        return own, (text,) if text.isalpha() and cost - channel < RANDOM * (len(text) + 1) else ()
+
     def words(self, text: str) -> tuple[set[str], set[str]]:
         """Distinct words of a text, and those that come from noisy tokens."""
         low = text.lower()
         out, restored = set(), set()
         for t in {*low.split()}:
-            if t.isalpha() and not _STRETCH.search(t):
+            if t.isalpha() and not _DOUBLE.search(t):
                 out.add(t)
             else:
-                found = self.token(t)
+                own, found = self.token(t)
+                out.update(own)
                 out.update(found)
                 if len(found) != 1 or found[0] not in t:
                     restored.update(found)

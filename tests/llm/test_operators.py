@@ -379,6 +379,16 @@ def test_toxicity():
     assert restorer.words("the cat, (sat) on 12 mats!")[0] == {"the", "cat", "sat", "on", "mats"}
 
 
+def test_toxicity_signs_and_doubles():
+    words = ("idiot moron stupid loser trash ass cunt shit letter " * 40 + EN * 40 + DE * 20).encode()
+    restorer = toxicity.Restorer(toxicity.letter_costs(toxicity.trigram_counts(np.frombuffer(words, np.uint8), np.array([0, len(words)]))))
+    for noisy, plain in (("a$$", "ass"), ("@$$", "ass"), ("(unt", "cunt"), ("5#!7", "suit"), ("$7#p!d", "stupid"), ("stuupid", "stupid"), ("$$tupid", "stupid"), ("1d10t!!!", "idiot")):
+        found = restorer.words(f"the {noisy} is")
+        assert plain in found[0] and plain in found[1], noisy
+    for written, plain in (("letter", {"letter"}), ("mat!", {"mat"}), ("(the", {"the"}), ("!!", set()), ("12", set()), ("2024", set()), ("***mat***", {"mat"}), ("door.", {"door"})):
+        assert restorer.words(written) == (plain, set())
+
+
 def test_mixing(spark, odd):
     docs = [(i, " ".join(["w"] * (1 + i % 9)), f"s{i % 4}" if i % 7 else None) for i in range(800)]
     got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
