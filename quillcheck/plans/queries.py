@@ -35,8 +35,7 @@ def latex_strip(spark, d):
 
 
 def accent_fold(spark, d):
-    rows = spark.read.parquet(f"{d}/documents.parquet").where("lang <> 'en'").select(F.col("doc_id").alias("id"), F.regexp_extract("text", r"^[^.\n]*", 0).alias("title"))
-    return rows.select("id", T.fold_accents(F.col("title")).alias("folded"))
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), T.fold_accents(F.col("text")).alias("folded"))
 
 
 def surname(spark, d):

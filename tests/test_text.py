@@ -68,3 +68,15 @@ def test_title_bands(spark):
     pairs = [(" ".join(words), " ".join(words[:17]), "OK"), (" ".join(words[:10]), " ".join(words[:7]), "WARN"), (" ".join(words[:10]), " ".join(words[:6]), "FAIL"), ("éé", "éé", "FAIL")]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
     assert [r["s"] for r in rows.select("i", M.match_title(F.col("a"), F.col("b"))["status"].alias("s")).orderBy("i").collect()] == [s for *_, s in pairs]
+
+
+def test_accent_fold_takes_every_document(spark, tmp_path):
+    import unicodedata
+
+    from quillcheck.plans.queries import accent_fold
+
+    docs = [(1, "Café déjà vu. Naïve\nrésumé", "en"), (2, "Größe. Über", "de"), (3, "élan", None), (4, "", "en"), (5, None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    got = {r["id"]: r["folded"] for r in accent_fold(spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2, 3, 4, 5} and all(got[i] == fold(t) for i, t, _ in docs if t is not None)
