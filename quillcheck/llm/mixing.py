@@ -12,8 +12,8 @@ tab, form feed and carriage return.
 3. Splitting tree. Every block of a pass is a slot. From the root down, each node's slots are drawn without
    replacement into its two halves, so the sources' quotas of every half follow the multivariate hypergeometric
    distribution and add up exactly. Leaves are output shards.
-4. Draw. Each shard takes its quota as a range of every source's permuted slots, so shards are disjoint;
-   documents are shuffled within the shard by a hash.
+4. Draw. Each shard takes its quota as a range of every source's permuted slots, so shards are disjoint.
+   Documents are not shuffled within the shard: no position is given.
 
 All choices come from md5 of ids, so reruns agree, and repeated rows are interchangeable. Documents are counted by
 (source, block) before anything moves, and joined to the plan of blocks by both, so a source with most rows is
