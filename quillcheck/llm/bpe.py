@@ -7,7 +7,8 @@ live left neighbour, the part that went) and their paths to the root: a logarith
 Trees of many pieces of a like size are kept in one array and take their merges in step.
 
 Pieces are looked up in a per-worker memory of bounded size first; it saves time and never changes a result.
-Null texts encode as empty lists. The rank file's path is a parameter; the file stays where it is.
+Null and empty texts encode as empty lists; texts of any length are taken whole, in blocks. Repeated rows are encoded alike, an
+empty table gives an empty result, and other columns are left alone. The rank file's path is a parameter; the file stays where it is.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, table, tidy
+from .common import blocks, flat, free, table, tidy
 
 #: Pieces that a worker remembers, and their longest size in bytes.
-REMEMBERED, REMEMBERED_BYTES = 100_000, 64
+REMEMBERED, REMEMBERED_BYTES = 60_000, 64
 #: Tree nodes that are merged in step, and pieces of a width below which each is merged alone.
-NODES, FEW = 1 << 19, 24
+NODES, FEW = 1 << 17, 24
 #: Bytes of text whose pieces are merged together.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 
 
 #: The pattern of runs (contractions; letters, digits or other characters after at most one space; white space)
@@ -44,11 +45,11 @@ def _kinds() -> np.ndarray:
         import regex
 
         kinds = np.zeros(0x110000, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+")):
-            for m in regex.finditer(pattern, every):
-                i, j = ord(m[0][0]), ord(m[0][-1])
-                kinds[i : j + 1] = kind
+        for low in range(0, 0x110000, 0x8000):
+            some = "".join(chr(c) for c in range(low, low + 0x8000) if not 0xD800 <= c < 0xE000)
+            for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+")):
+                for m in regex.finditer(pattern, some):
+                    kinds[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
         _KINDS.append(kinds)
     return _KINDS[0]
 
@@ -126,9 +127,9 @@ class Bpe:
         self.starts = np.zeros(self.base, np.int64)
         self.starts[self.ids] = np.cumsum([0, *(len(t) for t in self.tokens[:-1])])
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.whole = {t: (r,) for t, r in ranks.items()}
-        self.pairs: dict[int, int] | None = None
-        #: Pieces met of late and before.
+        self.whole = ranks
+        #: Pairs looked up of late by ``_merge_one``, and pieces met of late and before.
+        self.pairs: dict[int, int | None] = {}
         self.memory: tuple[dict[str, tuple[int, ...]], ...] = ({}, {})
 
     @classmethod
@@ -150,8 +151,9 @@ class Bpe:
         out: list[tuple[int, ...]] = [()] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
-            if piece in self.whole:
-                out[i] = self.whole[piece]
+            rank = self.whole.get(piece)
+            if rank is not None:
+                out[i] = (rank,)
             elif piece:
                 by_width.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, rows in by_width.items():
@@ -220,16 +222,25 @@ class Bpe:
 
     def _merge_one(self, piece: bytes) -> tuple[int, ...]:
         """The same tree for a single long piece, in plain Python lists."""
-        if self.pairs is None:
-            self.pairs = dict(zip(self.keys.tolist(), self.made.tolist()))
-        pairs, base, n = self.pairs, self.base, len(piece)
+        base, n = self.base, len(piece)
+        known, keys = self.pairs, self.keys
+        if len(known) > REMEMBERED:
+            known.clear()
+
+        def pair(left: int, right: int) -> int | None:
+            key = left * base + right
+            if key not in known:
+                at = int(np.searchsorted(keys, key))
+                known[key] = int(self.made[at]) if at < len(keys) and keys[at] == key else None
+            return known[key]
+
         width = 1 << (n - 1).bit_length()
         part = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         none = base * width
         tree = [none] * (2 * width)
         for i in range(n - 1):
-            rank = pairs.get(part[i] * base + part[i + 1])
+            rank = pair(part[i], part[i + 1])
             if rank is not None:
                 tree[width + i] = rank * width + i
         for node in range(width - 1, 0, -1):
@@ -257,10 +268,10 @@ class Bpe:
             rank = None
             if follow < n:
                 before[follow] = at
-                rank = pairs.get(part[at] * base + part[follow])
+                rank = pair(part[at], part[follow])
             update(at, none if rank is None else rank * width + at)
             if (ahead := before[at]) >= 0:
-                rank = pairs.get(part[ahead] * base + part[at])
+                rank = pair(part[ahead], part[at])
                 update(ahead, none if rank is None else rank * width + ahead)
         return tuple(x for x in part if x >= 0)
 
@@ -296,6 +307,11 @@ class Bpe:
         out = flat[np.repeat(first[which] - to[:-1], own) + np.arange(to[-1])]
         return out, to[np.cumsum([0, *counts])]
 
+    def rest(self) -> None:
+        """Keep the tables only: workers live on beside those of later stages."""
+        self.pairs, self.memory = {}, ({}, {})
+        tidy()
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all id lists in a row, and where each list's bytes start (with the end)."""
         sizes = self.sizes[ids]
@@ -314,28 +330,37 @@ def _tables(path: str, pattern: str) -> Bpe:
     return _LOADED[path, pattern]
 
 
+def _encode(bpe: Bpe, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and where each text's ids start, for blocks of texts of bounded size."""
+    for i, j in blocks(flat(texts)[1], TEXT_BYTES):
+        yield bpe.encode(texts.slice(i, j - i).to_pylist())
+
+
+def _decode(bpe: Bpe, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    body, starts = bpe.decode(ids, ends)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(body)])
+
+
+def _lists(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     """Array of token ids of a text column."""
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _tables(path, pattern)
-        try:
-            for texts in batches:
-                parts = []
-                for i, j in blocks(flat(texts)[1], TEXT_BYTES):
-                    ids, starts = bpe.encode(texts.slice(i, j - i).to_pylist())
-                    parts.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())))
-                yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-        finally:
-            bpe.memory = ({}, {})  # a worker that goes on to other tasks keeps the tables only
-            tidy()
+        for texts in batches:
+            for ids, starts in _encode(bpe, texts):
+                yield _lists(ids, starts)
+        bpe.rest()
 
     return encode(text)
 
 
 def decode_column(ids: Column, path: str, pattern: str) -> Column:
-    """Bytes of an array of token ids."""
+    """Bytes of an array of token ids; a null array gives no bytes."""
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
@@ -343,13 +368,29 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
         for at in range(0, len(lists), 1024):
             own = lists.slice(at, 1024)
             ends = np.cumsum([0, *(own.value_lengths().fill_null(0).to_pylist())])
-            body, starts = bpe.decode(own.flatten().to_numpy(zero_copy_only=False), ends)
-            parts.append(pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(body)]))
+            parts.append(_decode(bpe, own.flatten().to_numpy(zero_copy_only=False), ends))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return decode(ids)
 
 
+CODED = "struct<token_ids:array<int>,decoded:binary>"
+
+
+def code_column(text: Column, path: str, pattern: str) -> Column:
+    """Token ids of a text and the bytes that these ids give back, in one pass over Python."""
+
+    @F.arrow_udf(CODED)
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = _tables(path, pattern)
+        for texts in batches:
+            for ids, starts in _encode(bpe, texts):
+                yield pa.StructArray.from_arrays([_lists(ids, starts), _decode(bpe, ids, starts)], ["token_ids", "decoded"])
+        bpe.rest()
+
+    return code(text)
+
+
 def tokenizer() -> tuple[str, str]:
     """Path of the rank file and the split pattern that the registered queries use."""
     import public_tokenizers
@@ -358,16 +399,20 @@ def tokenizer() -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` (array of int) and ``decoded`` (the bytes that these ids give back)."""
-    return docs.withColumn("token_ids", encode_column(F.col(text), path, pattern)).withColumn("decoded", decode_column(F.col("token_ids"), path, pattern))
+    """``docs`` with a struct ``coded`` of ``token_ids`` (array of int) and ``decoded`` (the bytes that these ids give back).
+
+    A column of that name is an error, so that none is lost."""
+    free(docs, "coded")
+    return docs.withColumn("coded", code_column(F.col(text), path, pattern))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` encoded and decoded; counts and digests."""
     docs = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer())
+    ids, decoded = F.col("coded.token_ids"), F.col("coded.decoded")
     return docs.select(
         "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(decoded, 256).alias("decoded_sha256"),
     )

@@ -142,12 +142,35 @@ def tidy() -> None:
         pass
 
 
+def free(df: DataFrame, *names: str) -> None:
+    """Raise ValueError where ``df`` has a column of one of the names already."""
+    taken = {*names} & {*df.columns}
+    if taken:
+        raise ValueError(f"the table has columns of these names already: {', '.join(sorted(taken))}")
+
+
+#: Rows and bytes of an Arrow batch at most; texts may be long, and a batch is in memory several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 21
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session's Python functions, unless they are smaller already.
+
+    The setting stays in the session: Spark reads it when a result is computed."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(key).rstrip("bB")
+        if not (have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's own, or one for tests where none is set."""
+    """The checkpoint folder: the cluster's own; in local mode, where none is set, a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", "")
         if not where:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="quillcheck-checkpoint-")

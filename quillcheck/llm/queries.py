@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from . import bpe, license_scan, mixing, ppm, probminhash, simhash, toxicity, transport, url_filter, warc_fixity
+from .common import bound_batches
+
+
+def _bounded(query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark, sf_dir):
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_warc_fixity": warc_fixity.op1_warc_fixity,
@@ -16,6 +30,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
+QUERIES = {name: _bounded(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op1_warc_fixity": warc_fixity.OP1_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
