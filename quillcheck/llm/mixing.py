@@ -6,19 +6,22 @@ tab, form feed and carriage return.
 1. Targets. Sources, in code point order (null last), weigh 5, 2, 1, repeating. They share ``epochs`` times
    the words of the whole table by weight, but none more than ``limit`` times its own words; what is above goes to
    the others by weight (water filling over the sources' ratios of limit to weight).
-2. Blocks. A source's documents fall into ``BLOCKS`` blocks by a hash of their id. A source is taken in whole passes
-   as often as its target allows; the rest of the target is drawn from its blocks in a permuted order, whole
-   blocks first, then the documents of one last block in a permuted order, up to the nearest document.
+2. Blocks. A source's documents fall into ``BLOCKS`` blocks of ``BLOCKS`` parts each by a hash of their id. A source is taken in
+   whole passes as often as its target allows; the rest of the target is drawn from its blocks in a permuted order:
+   whole blocks, then whole parts of one last block, then the documents of one last part in the order of their hash, up to
+   the nearest document.
 3. Splitting tree. Every block of a pass is a slot. From the root down, each node's slots are drawn without
    replacement into its two halves, so the sources' quotas of every half follow the multivariate hypergeometric
    distribution and add up exactly. Leaves are output shards.
 4. Draw. Each shard takes its quota as a range of every source's permuted slots, so shards are disjoint.
-   Documents are not shuffled within the shard: no position is given.
-
-All choices come from md5 of ids, so reruns agree, and repeated rows are interchangeable. Documents are counted by
-(source, block) before anything moves, and joined to the plan of blocks by both, so a source with most rows is
-spread. The slots are bounded by ``BLOCKS`` times twice the number of sources. Null texts have size 0 and take 0 words;
-a null source is a source of its own; an empty table gives an empty result.
+5. Local shuffle. Every copy has a position in its shard, a 60-bit hash of document, copy and shard: rows written in the order
+   of (shard, position), as ``shuffled`` deals them, are shuffled within the shard.
+
+All choices come from md5 of ids (of the text where the id is null), so reruns agree, and repeated rows are interchangeable:
+equal ids of one source share a part, where ties go by size. Documents are counted by (source, block, part) before anything moves,
+and joined to the plan by all three, so a source with most rows is spread over ``BLOCKS`` squared parts. Slots are bounded by
+``BLOCKS`` times twice the number of sources, the plan by ``BLOCKS`` squared times that number. Null texts have size 0 and
+take 0 words; a null source is a source of its own; an empty table gives an empty result; other columns are left alone (``keep``).
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from .common import shared_dir, table
 
 WEIGHTS = (5, 2, 1)
 EPOCHS, LIMIT = 1.5, 2
-#: Blocks of a source (a power of 16), and levels of the splitting tree (shards are a power of two).
+#: Blocks of a source and parts of a block (two digits of a hash), and levels of the splitting tree (shards are a power of two).
 BLOCKS, LEVELS = 256, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,12 +42,14 @@ def _md5(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", *(F.col(p) if isinstance(p, str) else p.cast("string") for p in parts)))
 
 
-def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Key, source, size, block and a place for the order within the block."""
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Key, source, size, digest (for the order within a part), block and part; the columns ``keep`` in a struct ``row``."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    digest = F.md5(F.concat(F.lit("doc:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), digest.alias("digest"))
-    return rows.withColumn("block", F.conv(F.substring("digest", 1, 2), 16, 10).cast("int"))
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    row = [F.struct(*keep).alias("row")] if keep else []
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), F.md5(F.concat(F.lit("doc:"), name)).alias("digest"), *row)
+    byte = lambda at: F.conv(F.substring("digest", at, 2), 16, 10).cast("int")
+    return rows.withColumn("block", byte(1)).withColumn("part", byte(3))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -66,8 +71,9 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def plan(rows: DataFrame) -> DataFrame:
-    """For each source and block: the passes that take it whole, what is drawn of it besides, and the shards."""
-    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
+    """For each source, block and part: its words, the passes that take it whole, what is drawn of it besides, and the block's shards."""
+    parts = rows.groupBy("source", "block", "part").agg(F.sum("size").alias("own"))
+    blocks = parts.groupBy("source", "block").agg(F.sum("own").alias("words"))
     sources = blocks.groupBy("source").agg(F.sum("words").alias("source_size"))
     t = targets(sources).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("int"))
     t = t.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -96,27 +102,44 @@ def plan(rows: DataFrame) -> DataFrame:
     dealt = s.join(r, F.col("s.source").eqNullSafe(F.col("r.source")) & (F.col("s.slot") == F.col("r.slot"))).select("s.source", "s.block", "pass", "shard")
     shards = dealt.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"].cast("int")).alias("shards"))
     p = b.alias("p").join(shards.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.block") == F.col("s.block")), "left")
-    return p.select("p.source", "p.block", "words", "source_size", "target", "passes", "draws", "shards")
-
-
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: key, size, source_size, target, copies (0 to 2), taken (words) and the shard of each copy."""
+    p = p.select("p.source", "p.block", "source_size", "target", "passes", "draws", "shards")
+    # what a block gives, its parts give in a permuted order
+    turn = Window.partitionBy("source", "block").orderBy(_md5(F.lit("part"), name, F.col("block"), F.col("part")), "part")
+    earlier = F.coalesce(F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = parts.alias("w").join(p.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source")) & (F.col("w.block") == F.col("p.block")))
+    each = each.select("w.source", "w.block", "part", F.col("own").alias("words"), "source_size", "target", "passes", "draws", "shards")
+    return each.withColumn("draws", F.greatest(F.lit(0.0), F.least(F.col("draws") - earlier, F.col("words").cast("double"))))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: key, size, source_size, target, copies (0 to 2), taken (words), and the shard and position of each
+    copy (``shards``, ``positions``). With ``keep``, these columns come along in a struct ``row``."""
     shared_dir(docs.sparkSession)
-    rows = sized(docs, key, text, source).checkpoint()
+    rows = sized(docs, key, text, source, keep).checkpoint()
     p = plan(rows).checkpoint()
-    r = rows.alias("r").join(p.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.block") == F.col("p.block")))
-    r = r.select("key", "r.source", "r.block", "size", "digest", "source_size", "target", "passes", "draws", "words", "shards")
-    order = Window.partitionBy("source", "block").orderBy("digest", "key", "size")
+    r = rows.alias("r").join(p.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.block") == F.col("p.block")) & (F.col("r.part") == F.col("p.part")))
+    row = ["row"] if keep else []
+    r = r.select("key", "r.source", "r.block", "r.part", "size", "digest", "source_size", "target", "passes", "draws", "words", "shards", *row)
+    order = Window.partitionBy("source", "block", "part").orderBy("digest", "key", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = (F.col("draws") > 0) & ((F.col("draws") >= F.col("words")) | (before + F.col("size") / 2 <= F.col("draws")))
     r = r.withColumn("copies", F.col("passes") + drawn.cast("int"))
-    return r.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies")).alias("shards"))
+    r = r.withColumn("shards", F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies")))
+    position = lambda shard, i: F.conv(F.substring(_md5(F.lit("position"), shard, i, F.col("digest")), 1, 15), 16, 10).cast("long")
+    return r.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", F.transform("shards", position).alias("positions"), *row)
+
+
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The kept columns of ``mix(.., keep=..)``, a row for each copy, dealt and sorted by shard and position."""
+    each = mixed.select("row", F.explode(F.arrays_zip("shards", "positions")).alias("at"))
+    return each.repartitionByRange("at.shards", "at.positions").sortWithinPartitions("at.shards", "at.positions").select("row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all ``documents``."""
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards"))
+    listed = lambda c: F.concat_ws(",", F.col(c).cast("array<string>")).alias(c)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", listed("shards"), listed("positions"))
 
 
 def _tree_sql() -> str:
@@ -127,9 +150,10 @@ def _tree_sql() -> str:
 
 
 OP10_SQL = rf"""
-WITH r AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size, md5('doc:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
-rb AS (SELECT *, CAST('0x' || substr(digest, 1, 2) AS INTEGER) AS block FROM r),
-b0 AS (SELECT source, block, sum(size)::BIGINT AS words FROM rb GROUP BY source, block),
+WITH r AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size, md5('doc:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS digest FROM documents),
+rb AS (SELECT *, CAST('0x' || substr(digest, 1, 2) AS INTEGER) AS block, CAST('0x' || substr(digest, 3, 2) AS INTEGER) AS part FROM r),
+bp AS (SELECT source, block, part, sum(size)::BIGINT AS own FROM rb GROUP BY source, block, part),
+b0 AS (SELECT source, block, sum(own)::BIGINT AS words FROM bp GROUP BY source, block),
 s0 AS (SELECT source, sum(words)::BIGINT AS source_size FROM b0 GROUP BY source),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total, 2 * source_size::DOUBLE AS most FROM s0),
 s2 AS (SELECT *, most / weight AS ratio FROM s1),
@@ -147,9 +171,13 @@ q AS (SELECT source, node AS shard, count(*) AS quota FROM n{LEVELS} GROUP BY so
 q2 AS (SELECT *, sum(quota) OVER (PARTITION BY source ORDER BY shard) AS stop FROM q),
 d AS (SELECT k.source, k.block, pass, shard FROM k JOIN q2 ON k.source IS NOT DISTINCT FROM q2.source AND slot > stop - quota AND slot <= stop),
 g AS (SELECT source, block, list(shard ORDER BY pass) AS shards FROM d GROUP BY source, block),
-j AS (SELECT rb.*, b3.source_size, target, passes, draws, words, g.shards,
-      coalesce(sum(size) OVER (PARTITION BY rb.source, rb.block ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM rb JOIN b3 ON rb.source IS NOT DISTINCT FROM b3.source AND rb.block = b3.block LEFT JOIN g ON rb.source IS NOT DISTINCT FROM g.source AND rb.block = g.block),
-c AS (SELECT *, passes + CASE WHEN draws > 0 AND (draws >= words OR before + size / 2 <= draws) THEN 1 ELSE 0 END AS copies FROM j)
-SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, array_to_string(coalesce(shards, [])[1:copies], ',') AS shards FROM c
+w AS (SELECT bp.source, bp.block, part, own AS words, b3.source_size, target, passes, greatest(0::DOUBLE, least(draws - coalesce(sum(own) OVER (PARTITION BY bp.source, bp.block ORDER BY md5('part:' || name || ':' || bp.block || ':' || part), part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), own::DOUBLE)) AS draws
+      FROM bp JOIN b3 ON bp.source IS NOT DISTINCT FROM b3.source AND bp.block = b3.block),
+j AS (SELECT rb.*, w.source_size, target, passes, draws, words, g.shards,
+      coalesce(sum(size) OVER (PARTITION BY rb.source, rb.block, rb.part ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM rb JOIN w ON rb.source IS NOT DISTINCT FROM w.source AND rb.block = w.block AND rb.part = w.part LEFT JOIN g ON rb.source IS NOT DISTINCT FROM g.source AND rb.block = g.block),
+c AS (SELECT *, passes + CASE WHEN draws > 0 AND (draws >= words OR before + size / 2 <= draws) THEN 1 ELSE 0 END AS copies FROM j),
+z AS (SELECT *, coalesce(shards, [])[1:copies] AS own FROM c)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, array_to_string(own, ',') AS shards,
+       array_to_string(list_transform(own, lambda s, i: CAST('0x' || substr(md5('position:' || s || ':' || (i - 1) || ':' || digest), 1, 15) AS BIGINT)), ',') AS positions FROM z
 """
