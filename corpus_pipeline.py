@@ -17,9 +17,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 RAW_BITS = 8.0
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that no language's model can shorten."""
+def _prepare(spark: SparkSession) -> None:
     quillcheck.ship(spark)
+    common.bound_batches(spark)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter (null and empty texts too) and those that no language's model can shorten. Repeated rows are judged
+    alike; an empty table, or one without labelled rows, gives an empty result."""
+    _prepare(spark)
     model = ppm.train(docs.where(common.id_remainder("doc_id", 3) != 1))
     found = docs.withColumn("_found", ppm.language(spark, F.col("text"), model))
     known = (F.col("_found.lang") != "und") & (F.col("_found.bits") < RAW_BITS * F.col("_found.bytes"))
@@ -27,8 +33,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity is 0.5 or more."""
-    quillcheck.ship(spark)
+    """Drops documents whose toxicity is 0.5 or more. A null text counts as empty; repeated rows are judged alike; without labels all stay; an
+    empty table gives an empty result."""
+    _prepare(spark)
     kept = common.id_remainder("doc_id", 5) != 0
     labels = common.table(spark, sf_dir, "labels").where(kept)
     model = toxicity.train(docs.where(kept), labels, toxicity.letter_costs(toxicity.count_letters(docs)))
@@ -37,29 +44,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near duplicates, once. Rows without an id stay."""
-    quillcheck.ship(spark)
+    """Keeps the document of least id of each class of near duplicates. Rows without an id stay, and so do rows of one id with different
+    texts; of rows with one id and one text, the least of the other columns stays."""
+    _prepare(spark)
     classes = probminhash.near_classes(docs)
     copies = classes.where("id <> class_id").select(F.col("id").alias("doc_id"))
     kept = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    again = kept.join(repeated, "doc_id", "left_semi")
+    one = again.groupBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text")).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(one)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 2 times); rows of one id are taken alike."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(COLUMNS)
+    """Each row as often as the mix takes it (0 to 2 times), dealt to output shards and shuffled within them: rows are written in the order of
+    shard and position. Null texts have no words and come along with their block; an empty table gives an empty result."""
+    return mixing.shuffled(mixing.mix(docs, keep=tuple(COLUMNS))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with what they decode to checked against the text."""
-    quillcheck.ship(spark)
+    """Token ids of each document, with what they decode to checked against the text. Null and empty texts have no ids; repeated rows are
+    encoded alike; an empty table gives an empty result."""
+    _prepare(spark)
     encoded = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), *bpe.tokenizer())
-    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return encoded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", exact.alias("exact"))
+    exact = F.col("coded.decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    ids = F.col("coded.token_ids")
+    return encoded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("token_ids"), exact.alias("exact"))
 
 
 STAGES = [
@@ -74,8 +86,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents").select(COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs, _ = common.stash(stage(spark, docs, sf_dir))
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again, those of the stage before go."""
+    docs, before = common.table(spark, sf_dir, "documents").select(COLUMNS), None
+    for _, stage in STAGES[:-1]:
+        docs, path = common.stash(stage(spark, docs, sf_dir))
+        if before:
+            common.unstash(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
