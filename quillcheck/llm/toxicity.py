@@ -1,23 +1,29 @@
 """Toxicity after noisy-channel deobfuscation.
 
-Restoring: a token that mixes letters with digits or signs, consists of signs and digits that stand for letters, stretches a
-letter, doubles one where the letter model does not expect it, or comes letter by letter is a noisy copy of what was meant. Its characters make a lattice: a sign or digit may stand for a letter (leetspeak), for nothing, or for
-a break; a repeated letter may be one; a space or dot between single letters may be nothing. A character trigram model,
-counted over all documents, and the costs of the channel score every path, and Viterbi's algorithm finds the best. Signs at the ends of a token that may stand for letters are steps of the
-lattice, too; where they may be decoration around a plain word, that word counts beside what was restored. Tokens
-without a letter are read as letters throughout, and dropped where the reading is unlikelier than letters at random.
+Restoring: a token that mixes letters with digits or signs, consists of signs and digits that stand for letters, stretches
+a letter, doubles one where the letter model does not expect it, or comes letter by letter is a noisy copy of what was
+meant. Its characters make a lattice: a sign or digit may stand for a letter (leetspeak), for nothing, or for a break; a
+repeated letter may be one; a space or dot between single letters may be nothing. A character trigram model, counted over
+all documents, and the costs of the channel score every path, and Viterbi's algorithm finds the best, with back-pointers,
+in time and memory linear in the token. Signs at the ends of a token that may stand for letters are steps of the
+lattice, too; where they may be decoration around a plain word, that word counts beside what was restored. A run of more
+than ``RUN`` signs and digits parts a token, and three of a sign that may be any vowel are none. Tokens without a letter are read as letters throughout, and dropped where the
+reading is unlikelier than letters at random or longer than ``LONGEST``.
 
 Scoring: restored texts become sets of words and word beginnings; a logistic regression on the features that go most with
 the label gives the score. It is fitted on at most ``max_docs`` labelled rows of each class (those of least hash), on whole
 texts, and its intercept is then moved to the share of the label among all labelled rows.
 
-A null text counts as empty. Where there are no labels, every score is 0; where all labels are alike, their share. A document
-with several label rows has the largest of them. Texts of any length are taken whole.
+A null text counts as empty; a null id is not held out. Where there are no labels, every score is 0; where all labels are
+alike, their share. A document with several label rows has the largest of them. Repeated rows are scored alike, ties between
+paths go to the one found first (states in the order of their making, options in that of the tables), an empty table gives an
+empty result, and other columns are left alone. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +46,10 @@ SWAP, GUESS, DROP, BREAK, JOIN, SHRINK = 0.5, 3.0, 3.5, 1.5, 0.2, 0.3
 
 # Cost from which a doubled letter is unexpected, and of a letter at random.
 ODD, RANDOM = 5.0, float(np.log(28))
+#: Signs and digits in a row within a word at most, and characters of a word without letters.
+RUN, LONGEST = 8, 40
+#: Characters of a token up to which its words are remembered.
+REMEMBERED = 64
 
 LETTERS = 28  # 0: no letter, 1-26: a-z, 27: bytes of other letters
 _CLASS = np.zeros(256, np.int64)
@@ -99,45 +109,80 @@ def odd(token: str, at: int, costs: list) -> bool:
     return costs[_INDEX.get(before, 27 if before.isalpha() else 0)][k][k] > ODD
 
 
+def options(noisy: str, at: int, letters: bool, costs: list) -> list[tuple[int, str, float]]:
+    """What the character at ``at`` may stand for: class (-1: nothing, 0: a break), character, cost."""
+    c = noisy[at]
+    if c.isalpha():
+        own = (_INDEX.get(c, 27), c, 0.0)
+        return [own, (-1, "", SHRINK)] if odd(noisy, at, costs) else [own]
+    if c.isspace() or c in "._-~'":
+        return [(-1, "", JOIN), (0, " ", BREAK)]
+    known = LEET.get(c, "")
+    if len(known) > 2 and c * 3 in noisy[max(at - 2, 0) : at + 3]:  # three of a sign for any vowel are no vowels
+        known = ""
+    out = [(_INDEX[x], x, SWAP if len(known) < 3 else GUESS) for x in known]
+    if letters:
+        out.append((-1, "", DROP))
+    if 0 < at < len(noisy) - 1:  # between others
+        out.append((0, " ", BREAK))
+    return out
+
+
 def decode(noisy: str, costs: list) -> tuple[float, str]:
     """The most likely text behind a noisy one (lower case), letters with spaces where it breaks, and its cost.
 
-    Where there is no letter at all, signs and digits are not dropped."""
+    A state is the last two classes put out. For each character and state, the state before and the option taken are kept; wherever
+    a single state is left, what came before is settled. Where there is no letter at all, signs and digits are not dropped.
+    """
     letters = any(c.isalpha() for c in noisy)
-    # state: the last two classes and the last character put out; value: cost and text
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-    for at, c in enumerate(noisy):
-        options: list[tuple[str, float]] = []
-        if c.isalpha():
-            options.append((c, 0.0))
-            if odd(noisy, at, costs):
-                options.append(("", SHRINK))
-        elif c.isspace() or c in "._-~'":
-            options += [("", JOIN), (" ", BREAK)]
-        else:
-            known = LEET.get(c, "")
-            options += [(x, SWAP if len(known) < 3 else GUESS) for x in known]
-            options += [("", DROP)] * letters
-            if 0 < at < len(noisy) - 1:  # between others
-                options.append((" ", BREAK))
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
-        for (a, b, last), (cost, text) in states.items():
-            for x, extra in options:
-                if not x:
-                    key, total, out = (a, b, last), cost + extra, text
-                elif x == " ":
-                    if last in ("", " "):
-                        key, total, out = (a, b, last), cost + extra, text
-                    else:
-                        key, total, out = (b, 0, " "), cost + extra + costs[a][b][0], text + " "
+    codes, totals = [0], [0.0]
+    out: list[str] = []
+    back, used, rows, first = bytearray(), bytearray(), array("Q"), 0  # of the characters from ``first`` on
+
+    def settle(slot: int, stop: int) -> None:
+        """Put out the path that ends in ``slot`` before the character ``stop``."""
+        path = []
+        for at in range(stop - 1, first - 1, -1):
+            k = rows[at - first] + slot
+            if used[k]:
+                path.append(options(noisy, at, letters, costs)[used[k] - 1][1])
+            slot = back[k]
+        out.extend(reversed(path))
+
+    for at in range(len(noisy)):
+        may = options(noisy, at, letters, costs) or [(-1, "", 0.0)]
+        slots: dict[int, int] = {}
+        new_codes: list[int] = []
+        new_totals: list[float] = []
+        came, took = bytearray(), bytearray()
+        for i, code in enumerate(codes):
+            a, b = divmod(code, LETTERS)
+            total, row = totals[i], costs[a][b]
+            for o, (k, _, extra) in enumerate(may, 1):
+                if k < 0 or not k and not b:  # nothing is put out
+                    key, cost, o = code, total + extra, 0
                 else:
-                    k = _INDEX.get(x, 27)
-                    key, total, out = (b, k, x), cost + extra + costs[a][b][k], text + x
-                have = new.get(key)
-                if have is None or total < have[0] or total == have[0] and out < have[1]:
-                    new[key] = (total, out)
-        states = new
-    return min((cost + (costs[a][b][0] if last not in ("", " ") else 0.0), text) for (a, b, last), (cost, text) in states.items())
+                    key, cost = b * LETTERS + k, total + extra + row[k]
+                slot = slots.get(key)
+                if slot is None:
+                    slots[key] = len(new_codes)
+                    new_codes.append(key)
+                    new_totals.append(cost)
+                    came.append(i)
+                    took.append(o)
+                elif cost < new_totals[slot]:
+                    new_totals[slot], came[slot], took[slot] = cost, i, o
+        rows.append(len(back))
+        back += came
+        used += took
+        codes, totals = new_codes, new_totals
+        if len(codes) == 1:
+            settle(0, at + 1)
+            back, used, rows, first = bytearray(), bytearray(), array("Q"), at + 1
+    ends = [t + (costs[c // LETTERS][c % LETTERS][0] if c % LETTERS else 0.0) for c, t in zip(codes, totals)]
+    best = min(range(len(ends)), key=ends.__getitem__)
+    settle(best, len(noisy))
+    return ends[best], "".join(out)
 
 
 def restore(noisy: str, costs: list) -> str:
@@ -148,18 +193,40 @@ def restore(noisy: str, costs: list) -> str:
 _PLAIN = re.compile(r"[^\W\d_]+")
 _STRETCH = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
-#: Signs repeated at an end of a token, and punctuation there, may be decoration; what stands for no letter is.
-_FRILLS = re.compile(r"^(?:([^\w\s])\1+|[\"'(\[{<.,;:?-])+|(?:([^\w\s])\2+|[\"')\]}>.,;:?!-])+$")
-_OUTER = re.compile(r"^[\"'\[{.,;:?)\]}>~_-]+|[\"'\[{.,;:?)\]}>~_-]+$")
 _SIGNS = re.compile("[%s]+" % re.escape("".join(LEET)))
+_EMPTY = re.compile(r"\A([*#%&])\1\1+|(?<![*#%&])([*#%&])\2\2+\Z")  # signs that stand for no letter, at the ends
+_APART = re.compile(r"[\W\d_]{%d,}" % (RUN + 1))
+# Punctuation around words; at the beginning and at the end it may be decoration.
+_MARKS, _AROUND, _BEFORE, _AFTER = ".,;:?", "\"'[{.,;:?)]}>~_-", "\"'([{<.,;:?-", "\"')]}>.,;:?!-"
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\s]\s+){2,}[^\s](?=\s|$)")
 
 
+def undecorated(token: str) -> str:
+    """A token without punctuation and repeated signs at its ends."""
+    low, high = 0, len(token)
+    sign = lambda c: not (c.isalnum() or c == "_" or c.isspace())
+    while low < high:
+        c, stop = token[low], low + 1
+        while stop < high and token[stop] == c:
+            stop += 1
+        if not (sign(c) and stop - low > 1 or c in _BEFORE):
+            break
+        low = stop
+    while low < high:
+        c, stop = token[high - 1], high - 1
+        while stop > low and token[stop - 1] == c:
+            stop -= 1
+        if not (sign(c) and high - stop > 1 or c in _AFTER):
+            break
+        high = stop
+    return token[low:high]
+
+
 class Restorer:
     """Words of texts, noisy ones restored. Tokens met of late are remembered (bounded; results do not depend on it)."""
 
     def __init__(self, costs: list):
-        self.costs, self.memory = costs, {}
+        self.costs, self.memory, self.known = costs, {}, set()
 
     def plain(self, word: str) -> bool:
         """Only letters, none of them repeated where that is unexpected."""
@@ -170,37 +237,52 @@ class Restorer:
         found = self.memory.get(token)
         if found is None:
             found = self._token(token)
-            if len(self.memory) > 30_000:
-                self.memory.clear()
-            self.memory[token] = found
+            if len(token) <= REMEMBERED:
+                if len(self.memory) > 30_000:
+                    self.memory.clear()
+                self.memory[token] = found
         return found
 
     def _token(self, token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
-        core, inner = _OUTER.sub("", token), _FRILLS.sub("", token)
+        core, inner = _EMPTY.sub("", token.strip(_AROUND)).strip(_AROUND), undecorated(token)
         own = (inner,) if _PLAIN.fullmatch(inner) and not _STRETCH.search(inner) else ()
         if core == inner and self.plain(core):
             return own, ()
-        if any(c.isalpha() for c in core):
-            return own, tuple(w for w in restore(core, self.costs).split() if w not in own)
-        if not _SIGNS.fullmatch(core):
-            return own, ()
-        cost, text = decode(core, self.costs)
-        channel = sum(SWAP if len(LEET[c]) < 3 else GUESS for c in core)
-        return own, (text,) if text.isalpha() and cost - channel < RANDOM * (len(text) + 1) else ()
+        found: list[str] = []
+        for part in _APART.split(core) if len(core) > RUN and any(map(str.isalpha, core)) else [core]:
+            found += [w for w in self._part(part) if w not in own]
+        return own, tuple(found)
+
+    def _part(self, part: str) -> list[str]:
+        if any(map(str.isalpha, part)):
+            return restore(part, self.costs).split()
+        if not _SIGNS.fullmatch(part) or len(part) > LONGEST:
+            return []
+        cost, text = decode(part, self.costs)
+        channel = sum(SWAP if len(LEET[c]) < 3 else GUESS for c in part)
+        return [text] if text.isalpha() and cost - channel < RANDOM * (len(text) + 1) else []
 
     def words(self, text: str) -> tuple[set[str], set[str]]:
         """Distinct words of a text, and those that come from noisy tokens."""
         low = text.lower()
-        out, restored = set(), set()
-        for t in {*low.split()}:
-            if t.isalpha() and not _DOUBLE.search(t):
+        tokens = {*low.split()}
+        out, restored = tokens & self.known, set()
+        for token in tokens - out:
+            t = token.rstrip(_MARKS)  # no step of the lattice, so the same words
+            if t in self.known:
+                out.add(t)
+            elif self.plain(t):
                 out.add(t)
+                if len(t) <= REMEMBERED:
+                    self.known.add(t)
             else:
                 own, found = self.token(t)
                 out.update(own)
                 out.update(found)
                 if len(found) != 1 or found[0] not in t:
                     restored.update(found)
+        if len(self.known) > 60_000:
+            self.known.clear()
         for m in _SPACED.finditer(low):
             if sum(c.isalpha() for c in m[0]) >= 3:
                 found = restore(m[0], self.costs).split()
@@ -324,7 +406,7 @@ def toxicity(spark: SparkSession, text: Column, model: Model) -> Column:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity by a model of the labelled rows that are not held out (crc32(doc_id) mod 5 is not 0)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = id_remainder("doc_id", 5) == 0
+    held = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held)
     model = train(docs.where(~held), labels, letter_costs(count_letters(docs)))
     out = docs.select("doc_id", held.alias("held_out"), toxicity(spark, F.col("text"), model).alias("t"))
