@@ -8,10 +8,13 @@ length is a sum over its windows of ``ORDER`` + 1 bytes. Code lengths are whole
 are exact and do not depend on batches. The language with the shortest code wins; ties go to the first name.
 
 Training takes a bounded sample of the labelled rows: the ``max_docs`` texts of least hash in each language
-(all of them where there are fewer), whole. Scoring takes every whole text, long ones in blocks.
+(all of them where there are fewer), whole, as long as those before come to less than ``max_bytes``. More than ``max_langs``
+languages are an error. So the model that is sent to all tasks is bounded by these parameters. Scoring takes every whole
+text, long ones in blocks.
 
 Null texts and texts without a letter get ``und`` and score 0, and so does every text where there is no
-labelled row. Repeated rows are scored alike; other columns are left alone.
+labelled row. A null id is not held out. Repeated rows are scored alike; an empty table gives an empty result; other columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .common import BLOCK_BYTES, flat, blocks, id_remainder, table, tidy
 ORDER = 4
 #: Training texts of a language at most.
 MAX_DOCS = 500
+#: Bytes of a language's training texts from which no further text is taken, and languages at most.
+MAX_BYTES, MAX_LANGS = 8 << 20, 200
 UNIT = 1 << 16
 #: Bytes of text that are scored at once; a byte takes about 100 bytes of memory meanwhile.
 SCORE_BYTES = BLOCK_BYTES // 4
@@ -149,7 +154,7 @@ def _has_letter(body: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.nd
     return out
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_docs: int = MAX_DOCS) -> Model:
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, max_langs: int = MAX_LANGS) -> Model:
     """Fit on labelled rows: at most ``max_docs`` of each language, those of least ``xxhash64(key)``.
 
     A first pass counts the rows of each language; a second reads the texts below the hash that so many rows
@@ -157,14 +162,18 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     if not counts:
         return Model({})
     share = spark.createDataFrame([(x, min(1.0, (1.5 * max_docs + 100) / n)) for x, n in counts.items()], "l string, share double")
     draw = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     few = rows.join(F.broadcast(share), "l").withColumn("u", draw).where("u < share")
-    place = F.row_number().over(Window.partitionBy("l").orderBy("u", "k", F.xxhash64("t")))
-    sample = few.withColumn("place", place).where(F.col("place") <= max_docs).select("l", "t")
+    order = Window.partitionBy("l").orderBy("u", "k", F.xxhash64("t"))
+    first = few.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_docs)
+    before = F.sum(F.octet_length("t").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    sample = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_bytes).select("l", "t")
 
     def count(batches):
         for batch in batches:
@@ -214,7 +223,7 @@ def language(spark: SparkSession, text: Column, model: Model) -> Column:
 def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language by a model of the rows that are not held out (crc32(doc_id) mod 3 is not 1)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = id_remainder("doc_id", 3) == 1
+    held = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
     model = train(docs.where(~held))
     out = docs.select("doc_id", held.alias("held_out"), language(spark, F.col("text"), model).alias("found"))
     return out.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.bits").alias("code_bits"), F.col("found.bytes").alias("n_bytes"))
