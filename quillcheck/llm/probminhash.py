@@ -19,9 +19,10 @@ equal weights is the Jaccard similarity of the sets.
    rules most pairs of a block out; the others are computed exactly, and a block returns its spanning links.
 5. Components again: the class of a document is the least id in it.
 
-A pair that shares several buckets is compared in the first of them only. Nothing is capped or sampled. Null texts and
-texts without words are similar to nothing and are classes of their own. Repeated rows with one id are one
-document; rows without an id are left out.
+A pair that shares several buckets is compared in the first of them only. Nothing is capped or sampled. A bucket's size is known
+before its members meet, so large ones are dealt in parts, by members and by bytes, and a pivot's text goes to each part.
+Null texts and texts without words are similar to nothing and are classes of their own. Rows of one id are one document, with
+the text of one of them, one with words if there is any; rows without an id are left out. An empty table has no classes.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Members of a bucket that are compared at once.
 CHUNK = 1000
+#: Bytes of text of a bucket that are compared at once, about.
+CHUNK_BYTES = 16 << 20
 SKETCH = "struct<hi:bigint,lo:bigint,bands:array<bigint>>"
 #: Rounding of weighted sums; a ratio of two sizes that is not 0.8 is further from it.
 ROUNDING = 1e-9
@@ -187,25 +190,36 @@ def similarity(left: Column, right: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """The least id (``label``) that each id of the edges (a, b) is linked to.
 
-    Least labels spread along edges, and labels follow their own label (pointer jumping), until none changes.
+    Least labels spread along edges, and labels follow their own label (pointer jumping), until none changes. Each round's
+    table replaces the one before.
     """
-    shared_dir(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).checkpoint()
+    spark = edges.sparkSession
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both, both_at = stash(both)
+    labels, labels_at = stash(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
         far = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(far, "a").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        new = stepped.join(jump, "label").select("a", "old", F.least("label", "up").alias("label")).checkpoint()
+        new, new_at = stash(stepped.join(jump, "label").select("a", "old", F.least("label", "up").alias("label")))
+        unstash(spark, labels_at)
         if new.where("label <> old").isEmpty():
+            unstash(spark, both_at)
             return new.select(F.col("a").alias("id"), "label")
-        labels = new.select("a", "label")
+        labels, labels_at = new.select("a", "label"), new_at
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose texts have the similarity; ``texts`` has id and text."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, parts: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) whose texts have the similarity; ``texts`` has id and text.
+
+    Where an id is in very many pairs as ``a``, ``parts`` has id and parts, and ``pairs`` has the ``part`` that a pair belongs to: the
+    text of ``a`` goes to each part.
+    """
+    known, on = texts.select(F.col("id").alias("a"), F.col("text").alias("left")), ["a"]
+    if parts is not None:
+        own = parts.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        known, on = known.join(own, "a"), ["a", "part"]
+    both = pairs.join(known, on).join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
     scored = both.select("a", "b", similarity(F.col("left"), F.col("right")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold - ROUNDING)
 
@@ -279,10 +293,10 @@ def block_links(ids, labels, asks, answers, bands, band, texts: pa.Array, thresh
 def open_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between components within the same bucket.
 
-    ``members`` has bucket, band, id, label, minor (outside the bucket's largest component), n (members of the bucket) and
-    bands. A bucket is cut into ceil(n / CHUNK)^2 blocks of members that ask (the minor ones) and members that answer.
+    ``members`` has bucket, band, id, label, minor (outside the bucket's largest component), parts (of the bucket) and
+    bands. A bucket is cut into parts^2 blocks of members that ask (the minor ones) and members that answer.
     """
-    parts = F.ceil(F.col("n") / CHUNK).cast("long")
+    parts = F.col("parts")
     own_ask, own_answer = (F.pmod(F.xxhash64("id", F.lit(k)), parts) for k in (1, 2))
     every = F.sequence(F.lit(0).cast("long"), parts - 1)
     answers = F.transform(every, lambda i: F.struct(i.alias("i"), own_answer.alias("j"), (F.col("minor") & (i == own_ask)).alias("ask"), F.lit(True).alias("answer")))
@@ -309,24 +323,35 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     """One row for each id: id, class_id (the least id of its class), representative (the least id with the same words)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    sketched, _ = stash(rows.select("id", sketch(F.col("text")).alias("s")).select("id", "s.*").groupBy("id").agg(F.min(F.struct("hi", "lo", "bands")).alias("s")).select("id", "s.*"))
-    groups, _ = stash(sketched.where("bands is not null").groupBy("hi", "lo").agg(F.min(F.struct("id", "bands")).alias("r")).select("hi", "lo", "r.id", "r.bands"))
-    members = groups.select("id", F.posexplode("bands").alias("band", "bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    filled, filled_at = stash(members.join(sizes, "bucket"))  # only buckets with several members
+    made = rows.select("id", F.xxhash64("text").alias("own"), F.octet_length("text").cast("long").alias("bytes"), sketch(F.col("text")).alias("s")).select("id", "own", "bytes", "s.*")
+    one = F.min(F.struct(F.col("bands").isNull().alias("none"), "hi", "lo", "own", "bytes", "bands"))  # a row with words first
+    sketched, _ = stash(made.groupBy("id").agg(one.alias("s")).select("id", "s.*"))
+    groups, _ = stash(sketched.where("bands is not null").groupBy("hi", "lo").agg(F.min(F.struct("id", "own", "bytes", "bands")).alias("r")).select("hi", "lo", "r.*"))
+    members = groups.select("id", "bytes", F.posexplode("bands").alias("band", "bucket"))
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("long")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1")
+    filled, filled_at = stash(members.drop("bytes").join(sizes, "bucket"))  # only buckets with several members
+    # from here on a bucket's parts are keys of their own
+    dealt = filled.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
     fullness = filled.groupBy("id").agg(F.sum("n").alias("fullness"))
-    texts, texts_at = stash(rows.join(fullness.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
-    pivots = filled.join(fullness, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fullness", -F.col("id"))).alias("pivot"))
-    star = filled.join(pivots, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links, _ = stash(verified(star, texts, threshold).select("a", "b"))
+    wanted = groups.select("id", "own").join(fullness.select("id"), "id", "left_semi")
+    texts = rows.withColumn("own", F.xxhash64("text")).join(wanted, ["id", "own"], "left_semi")
+    texts, texts_at = stash(texts.groupBy("id", "own").agg(F.min("text").alias("text")).select("id", "text"))
+    pivots = filled.join(fullness, "id").groupBy("bucket").agg(F.max_by("id", F.struct("fullness", -F.col("id"))).alias("pivot"), F.max("parts").alias("parts"))
+    pivots, pivots_at = stash(pivots)
+    star = dealt.drop("parts").join(pivots.select("bucket", "pivot", every), ["bucket", "part"]).where("id <> pivot")
+    star = star.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.min("part").alias("part"))
+    near = verified(star, texts, threshold, pivots.groupBy(F.col("pivot").alias("id")).agg(F.max("parts").alias("parts")))
+    links, _ = stash(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = components(links)
-    at = filled.where("n > 2").join(labels, "id", "left").select("bucket", "band", "n", "id", F.coalesce("label", "id").alias("label"))
-    counted = at.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    split = counted.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main")).where("labels > 1")
-    still = at.join(split, "bucket").select("bucket", "band", "n", "id", "label", (F.col("label") != F.col("main")).alias("minor"))
+    at = dealt.where("n > 2").join(labels, "id", "left").select("bucket", "band", "parts", "part", "id", F.coalesce("label", "id").alias("label"))
+    counted = at.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.max("parts").alias("parts"))
+    split = counted.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("main"), F.max("parts").alias("parts")).where("labels > 1")
+    still = at.join(split.select("bucket", "main", every), ["bucket", "part"]).select("bucket", "band", "parts", "id", "label", (F.col("label") != F.col("main")).alias("minor"))
     still = still.join(groups.select("id", "bands"), "id")
     more, _ = stash(open_links(still, texts, threshold))
-    for path in (texts_at, filled_at):
+    for path in (texts_at, filled_at, pivots_at):
         unstash(spark, path)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
