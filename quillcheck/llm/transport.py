@@ -7,12 +7,14 @@ carries a program clock reference and the random-access flag. ``demux`` parses a
 (with their CRC), continuity counters, reassembled elementary streams, timestamps and random-access points.
 
 Payloads are 8-bit units, so nothing is converted. Memory is a few times one payload. Empty payloads give a
-stream with tables only; null texts count as empty.
+stream with tables only; null texts count as empty; equal texts have equal streams. An empty table gives an empty
+result, repeated rows are stored alike, and other columns are left alone.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 PACKET, UNIT, PAD = 188, 576 * 32, 576
 PMT_PID, DATA_PID, PROGRAM, STREAM_TYPE = 0x1000, 0x0100, 1, 0x06
@@ -98,7 +100,7 @@ def mux(payload: bytes | np.ndarray) -> np.ndarray:
 
 @dataclass
 class Stream:
-    """What ``demux`` finds."""
+    """What ``demux`` finds. ``faults`` counts packets marked or found damaged, ``bad_crc`` sections that are cut short or whose CRC is wrong."""
 
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
@@ -108,44 +110,81 @@ class Stream:
     discontinuities: int = 0
     bad_crc: int = 0
     lost_sync: int = 0
-
-
-def _read_section(packet: bytes, start: int, out: Stream) -> bytes:
-    start += 1 + packet[start]
-    size = 3 + ((packet[start + 1] & 15) << 8 | packet[start + 2])
-    section = packet[start : start + size]
-    out.bad_crc += crc32_mpeg(section) != 0
-    return section
+    faults: int = 0
+
+
+def _sections(packets: np.ndarray, rows: np.ndarray, start: np.ndarray, out: Stream) -> Iterator[bytes]:
+    """The sections of a table's packets, each of which may go over several, with their CRC checked."""
+    open_ = b""
+
+    def closed() -> Iterator[bytes]:
+        nonlocal open_
+        while len(open_) >= 3 and open_[0] != 255:
+            size = 3 + ((open_[1] & 15) << 8 | open_[2])
+            if len(open_) < size:
+                return
+            section, open_ = open_[:size], open_[size:]
+            if size < 12 or crc32_mpeg(section):
+                out.bad_crc += 1
+            else:
+                yield section
+        if open_[:1] == b"\xff":  # stuffing
+            open_ = b""
+
+    for i in rows:
+        body = packets[i, start[i] :].tobytes()
+        if packets[i, 1] & 0x40:
+            pointer = body[0] if body else 255
+            if 1 + pointer > len(body):
+                out.faults += 1
+                open_ = b""
+                continue
+            if open_:
+                open_ += body[1 : 1 + pointer]
+                yield from closed()
+            out.bad_crc += bool(open_)  # never finished
+            open_ = body[1 + pointer :]
+        elif open_:
+            open_ += body
+        yield from closed()
+    out.bad_crc += bool(open_)
 
 
 def demux(media: bytes | np.ndarray) -> Stream:
-    """Parse a transport stream. Packets without sync byte are counted and skipped; a repeated continuity
-    counter is a duplicate packet and dropped, any other jump is counted."""
+    """Parse any transport stream, damaged ones too.
+
+    Packets without sync byte are counted and skipped, and so are those marked as errors and those whose adaptation field does
+    not fit. A repeated continuity counter is a duplicate packet and dropped; any other jump is counted, unless the packet says that it is
+    meant. Sections with a wrong CRC are counted and not read. What of an elementary stream cannot be parsed is left out and counted.
+    """
     data = np.frombuffer(media, np.uint8) if isinstance(media, (bytes, bytearray)) else media
     packets = data[: len(data) // PACKET * PACKET].reshape(-1, PACKET)
     out = Stream(lost_sync=int((packets[:, 0] != 0x47).sum()) + (len(data) % PACKET > 0))
     pid = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
     adapts, carries = packets[:, 3] & 0x20 > 0, packets[:, 3] & 0x10 > 0
-    start = np.where(adapts, 5 + packets[:, 4].astype(np.int32), 4)
+    size = packets[:, 4].astype(np.int32)
+    start = np.where(adapts, 5 + size, 4)
     ok = packets[:, 0] == 0x47
-    for i in np.flatnonzero(ok & (pid == 0) & (packets[:, 1] & 0x40 > 0)):
-        section = _read_section(packets[i].tobytes(), int(start[i]), out)
-        for at in range(8, len(section) - 4, 4):
+    damaged = ok & ((packets[:, 1] & 0x80 > 0) | adapts & (size > np.where(carries, PACKET - 6, PACKET - 5)))
+    out.faults = int(damaged.sum())
+    ok &= ~damaged
+    meant = adapts & (size > 0) & (packets[:, 5] & 0x80 > 0)
+    for section in _sections(packets, np.flatnonzero(ok & carries & (pid == 0)), start, out):
+        for at in range(8, len(section) - 7, 4):
             if number := section[at] << 8 | section[at + 1]:
                 out.programs[number] = (section[at + 2] & 31) << 8 | section[at + 3]
-    for number, where in out.programs.items():
-        for i in np.flatnonzero(ok & (pid == where) & (packets[:, 1] & 0x40 > 0)):
-            section = _read_section(packets[i].tobytes(), int(start[i]), out)
-            at = 12 + ((section[10] & 15) << 8 | section[11])
-            while at < len(section) - 4:
+    for where in sorted({*out.programs.values()}):
+        for section in _sections(packets, np.flatnonzero(ok & carries & (pid == where)), start, out):
+            at, end = 12 + ((section[10] & 15) << 8 | section[11]), len(section) - 4
+            while at + 5 <= end:
                 out.streams[(section[at + 1] & 31) << 8 | section[at + 2]] = section[at]
                 at += 5 + ((section[at + 3] & 15) << 8 | section[at + 4])
     for where in out.streams:
         rows = np.flatnonzero(ok & (pid == where) & carries)
         counters = packets[rows, 3] & 15
         step = (counters[1:].astype(np.int16) - counters[:-1]) & 15
-        out.discontinuities += int((step > 1).sum())
-        rows = rows[np.concatenate([[True], step != 0])] if len(rows) else rows
+        out.discontinuities += int(((step > 1) & ~meant[rows[1:]]).sum())
+        rows = rows[np.concatenate([[True], (step != 0) | meant[rows[1:]]])] if len(rows) else rows
         out.random_access[where] = [int(i) for i in rows if adapts[i] and packets[i, 4] and packets[i, 5] & 0x40]
         begins = np.flatnonzero(packets[rows, 1] & 0x40)
         units, stamps = [], []
@@ -154,13 +193,15 @@ def demux(media: bytes | np.ndarray) -> Stream:
             plain = start[own] == 4
             pes = packets[own][:, 4:].reshape(-1) if plain.all() else np.concatenate([packets[i, start[i] :] for i in own[:1]] + ([packets[own[1:-1]][:, 4:].reshape(-1)] if plain[1:-1].all() else [packets[i, start[i] :] for i in own[1:-1]]) + [packets[i, start[i] :] for i in own[1:][-1:]])
             head = pes[:14].tobytes()
-            if head[:3] != b"\x00\x00\x01":
+            if head[:3] != b"\x00\x00\x01" or len(head) < 9 or len(pes) < 9 + head[8] or head[7] & 0x80 and len(head) < 14:
                 out.discontinuities += 1
                 continue
             if head[7] & 0x80:
                 stamps.append((head[9] >> 1 & 7) << 30 | head[10] << 22 | head[11] >> 1 << 15 | head[12] << 7 | head[13] >> 1)
-            size = head[4] << 8 | head[5]
-            units.append(pes[9 + head[8] : 6 + size if size else None].tobytes())
+            size_ = head[4] << 8 | head[5]
+            if size_ and len(pes) < 6 + size_:  # cut short
+                out.faults += 1
+            units.append(pes[9 + head[8] : 6 + size_ if size_ else None].tobytes())
         out.payload[where], out.pts[where] = b"".join(units), stamps
     return out
 
@@ -190,13 +231,16 @@ def _read(media: pa.Array) -> pa.Array:
         marks = zlib.crc32(b"".join(x.to_bytes(8, "big") for pair in zip(stamps, points) for x in pair))
         features.append(
             f"programs={len(s.programs)};streams={','.join(f'{p}:{t}' for p, t in sorted(s.streams.items()))};units={len(stamps)};pts={stamps[0] if stamps else ''}-{stamps[-1] if stamps else ''}"
-            f";access_points={len(points)};index={marks:08x};discontinuities={s.discontinuities};bad_crc={s.bad_crc};lost_sync={s.lost_sync}"
+            f";access_points={len(points)};index={marks:08x};discontinuities={s.discontinuities};bad_crc={s.bad_crc};lost_sync={s.lost_sync};faults={s.faults}"
         )
     return pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.array(features, pa.string())], ["payload", "feature"])
 
 
 def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with struct columns ``stored`` (n_bytes, media) and ``facts`` (payload, feature)."""
+    """``docs`` with struct columns ``stored`` (n_bytes, media) and ``facts`` (payload, feature).
+
+    Columns of these names are an error, so that none is lost."""
+    free(docs, "stored", "facts")
     store, read = F.arrow_udf(_store, STORED), F.arrow_udf(_read, FACTS)
     return docs.withColumn("stored", store(F.col(text))).withColumn("facts", read(F.col("stored.media")))
 
