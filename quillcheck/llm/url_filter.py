@@ -1,17 +1,16 @@
-"""URL filter: a trie over reversed host labels and path segments, sent to all tasks.
+"""URL filter: a trie over reversed host labels and path segments (radix nodes within a segment), sent to all tasks.
 
 A rule is a host and a path that starts with ``/``. It fits its host and all subdomains where the URL's
 path starts with the rule's. The longest fitting rule decides: first the most host labels, then the
 longest path; between equal rules, the later one. The trie holds only the rules, so its size is that of the
 rule list, which is checked against ``MAX_RULES`` before it is sent.
 
-Null URLs and URLs without ``://`` have an empty host and path and fit no rule.
+Null and empty URLs and URLs without ``://`` have an empty host and path and fit no rule. Repeated rows are judged alike, an
+empty table gives an empty result, and other columns are left alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +23,50 @@ RESULT = "struct<host:string,path:string,rule:string,verdict:string>"
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-@dataclass
 class _Paths:
-    """Path tree below one host: closed segments, and rule paths that end within a segment."""
-
-    down: dict = field(default_factory=dict)
-    here: tuple | None = None
-    partial: list = field(default_factory=list)
+    """Path tree below one host: closed segments, and a radix tree of the rule paths that end within a segment."""
+
+    __slots__ = ("down", "here", "inside")
+
+    def __init__(self):
+        self.down: dict[str, _Paths] = {}
+        self.here: tuple[str, str] | None = None
+        self.inside: _Edge | None = None
+
+
+class _Edge:
+    """A radix tree's edge: its characters, the rule that ends after them, and the edges that follow by first character."""
+
+    __slots__ = ("part", "rule", "next")
+
+    def __init__(self, part: str, rule: tuple[str, str] | None):
+        self.part, self.rule, self.next = part, rule, {}
+
+    def add(self, rest: str, rule: tuple[str, str]) -> None:
+        """Put in a rule path that follows this edge."""
+        at = self
+        while rest:
+            edge = at.next.get(rest[0])
+            if edge is None:
+                edge = at.next[rest[0]] = _Edge(rest, None)
+            n, most = 0, min(len(edge.part), len(rest))
+            while n < most and edge.part[n] == rest[n]:
+                n += 1
+            if n < len(edge.part):  # part the edge
+                head = at.next[rest[0]] = _Edge(edge.part[:n], None)
+                edge.part = edge.part[n:]
+                head.next[edge.part[0]] = edge
+                edge = head
+            at, rest = edge, rest[n:]
+        at.rule = rule
+
+    def longest(self, path: str, at: int) -> tuple[str, str] | None:
+        """The rule of the longest path below this edge that ``path`` goes on with."""
+        best, edge = None, self
+        while at < len(path) and (edge := edge.next.get(path[at])) is not None and path.startswith(edge.part, at):
+            at += len(edge.part)
+            best = edge.rule or best
+        return best
 
 
 class Trie:
@@ -44,14 +80,14 @@ class Trie:
             node = self.root
             for label in reversed(host.translate(_LOWER).split(".")):
                 node = node.setdefault(label, {})
-            paths = node.setdefault(None, _Paths())
+            paths = node.get(None) or node.setdefault(None, _Paths())
             *closed, rest = path.removeprefix("/").split("/")
             for segment in closed:
-                paths = paths.down.setdefault(segment, _Paths())
+                paths = paths.down.get(segment) or paths.down.setdefault(segment, _Paths())
             rule = (host + path, kind)
             if rest:
-                paths.partial = [x for x in paths.partial if x[0] != rest] + [(rest, rule)]
-                paths.partial.sort(key=lambda x: -len(x[0]))
+                paths.inside = paths.inside or _Edge("", None)
+                paths.inside.add(rest, rule)
             else:
                 paths.here = rule
 
@@ -70,7 +106,7 @@ class Trie:
             best, at = None, 1
             while True:
                 best = paths.here or best
-                best = next((r for rest, r in paths.partial if path.startswith(rest, at)), best)
+                best = paths.inside and paths.inside.longest(path, at) or best
                 end = path.find("/", at)
                 if end < 0 or (paths := paths.down.get(path[at:end])) is None:
                     break
