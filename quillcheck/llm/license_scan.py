@@ -1,17 +1,21 @@
 """License scan: fuzzy search for short notices.
 
 A text's words (runs of ASCII letters and digits, A-Z lower-cased, and non-ASCII characters) are joined by
-single spaces. Each notice may differ by a number of character edits. It is cut into one piece more than that:
+single spaces. Each notice may differ by a number of edits, counted in UTF-8 bytes. It is cut into one piece more than that:
 by the pigeonhole principle any match has one piece unchanged, so the exact places of pieces (seeds) give all
-candidates. The regex library's bounded-error matching then verifies each candidate window, and edit distances from each
-word start in reach give the spans that start and end at word boundaries, with their edits. Phrases without allowed edits are sought the same way,
-with one seed, and give all places where their words stand consecutively.
+candidates. In the window around each candidate, the regex library's bounded-error matching finds the span of fewest edits that
+starts and ends at word boundaries, which lie outside the part that may have errors. Phrases without allowed edits are
+sought the same way, with one seed, and give all places where their words stand consecutively.
 
-Null texts count as empty: no words, no spans, no labels. Memory is a few times one text.
+Overlapping spans of one fuzzy notice are thinned to that with the fewest edits; of equal ones the first stays. Null texts count
+as empty: no words, no spans, no labels. Repeated rows are scanned alike, an empty table gives an empty result, and other
+columns are left alone. Memory is a few times one text.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -75,29 +79,11 @@ def _pattern(notice: Notice):
     import regex
 
     words = regex.escape(notice.words.encode(), special_only=True)
-    return regex.compile(b"(?:%b){e<=%d}" % (words, notice.edits))
-
-
-def _ends(words: bytes, text: bytes, most: int) -> list[tuple[int, int]]:
-    """Places of ``text`` before a space, and the edits (``most`` at most) that make ``words`` of all before the place."""
-    n, far = len(words), most + 1
-    row, out = [min(k, far) for k in range(n + 1)], []
-    for at, c in enumerate(text):
-        if c == 32 and at and row[n] <= most:
-            out.append((at, row[n]))
-        low, high = max(1, at + 1 - most), min(n, at + 1 + most)
-        new = [far] * (n + 1)
-        new[0] = min(at + 1, far)
-        for k in range(low, high + 1):
-            new[k] = min(row[k] + 1, new[k - 1] + 1, row[k - 1] + (words[k - 1] != c), far)
-        row = new
-        if min(row[low - 1 : high + 1], default=far) > most:
-            break
-    return out
+    return regex.compile(b"(?b)(?<=\x20)(?:%b){e<=%d}(?=\x20)" % (words, notice.edits))
 
 
 @lru_cache(maxsize=8)
-def _seeds(sought: tuple[Notice, ...]) -> tuple[dict[bytes, list[tuple[Notice, int]]], bytes]:
+def _seeds(sought: tuple[Notice, ...]) -> dict[bytes, list[tuple[Notice, int]]]:
     out: dict[bytes, list[tuple[Notice, int]]] = {}
     for notice in sought:
         for at, piece in notice.seeds:
@@ -113,17 +99,15 @@ def _places(text: bytes, piece: bytes):
 
 
 def scan(text: bytes, sought: tuple[Notice, ...]) -> tuple[int, list[tuple[str, str, int, int, int]]]:
-    """Number of words, and spans (label, notice, first and last word, edits) in order.
-
-    Overlapping spans of one fuzzy notice are thinned to that with the fewest edits, the first of such.
-    """
+    """Number of words, and spans (label, notice, first and last word, edits) in order."""
     words = text.translate(bytes(_WORDS)).split()
     joined = b" " + b" ".join(words) + b" "
-    windows: dict[Notice, list[int]] = {}
+    windows: dict[Notice, set[int]] = {}
     for piece, uses in _seeds(sought).items():
         for place in _places(joined, piece):
             for notice, at in uses:
-                windows.setdefault(notice, []).append(place - at)
+                windows.setdefault(notice, set()).add(place - at)
+    blanks = [m.start() for m in re.finditer(b" ", joined)] if windows else []
     spans = []
     for notice, starts in windows.items():
         size, k, found = len(notice.words.encode()), notice.edits, set()
@@ -131,12 +115,10 @@ def scan(text: bytes, sought: tuple[Notice, ...]) -> tuple[int, list[tuple[str,
             found = {(a, a + size, 0) for a in starts if joined[a - 1 : a] == b" " and joined[a + size : a + size + 1] == b" "}
         else:
             pattern = _pattern(notice)
-            for a in sorted({*starts}):
-                low, high = max(1, a - k), min(len(joined), a + size + k + 1)
-                if pattern.search(joined, low, high):
-                    for i in range(low, min(a + k + 1, high)):
-                        if joined[i - 1] == 32:  # a word starts
-                            found |= {(i, i + n, edits) for n, edits in _ends(notice.words.encode(), joined[i:high], k)}
+            for a in starts:
+                m = pattern.search(joined, max(0, a - k - 1), min(len(joined), a + size + k + 1))
+                if m:
+                    found.add((m.start(), m.end(), sum(m.fuzzy_counts)))
         kept: list[tuple[int, int, int]] = []
         for i, j, edits in sorted(found):
             if k and kept and i < kept[-1][1]:
@@ -145,8 +127,8 @@ def scan(text: bytes, sought: tuple[Notice, ...]) -> tuple[int, list[tuple[str,
             else:
                 kept.append((i, j, edits))
         for i, j, edits in kept:
-            first = joined.count(b" ", 0, i) - 1
-            spans.append((notice.label, notice.words, first, first + joined.count(b" ", i, j), edits))
+            first = bisect_left(blanks, i) - 1
+            spans.append((notice.label, notice.words, first, first + bisect_left(blanks, j) - bisect_left(blanks, i), edits))
     return len(words), sorted(spans, key=lambda s: (s[2], s[3], s[1]))
 
 
@@ -169,7 +151,7 @@ def license_spans(text: Column, sought: tuple[Notice, ...] | None = None) -> Col
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents``: base phrase places, labels of base phrases and of fuzzy notices, and a score
-    (1 less the edits of the best span against its notice's allowance, 0 without spans)."""
+    (1 less the edits of the best span against its notice's length, 0 without spans)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", license_spans(F.col("text")).alias("found"))
     base_words = F.array(*(F.lit(w) for w, _ in PHRASES))
     base = F.filter("found.spans", lambda s: F.array_contains(base_words, s["notice"]))
