@@ -11,7 +11,8 @@ fingerprint enters each table under its own block, and one that asks looks there
 block of one other bit. Rows of a table are compared in bounded chunks that are spread over tasks, and no pair is
 dropped. Equal fingerprints are one entry, a class, with its least id as representative and its number of documents.
 
-A text without words (or a null) has the fingerprint 0; equal texts have equal fingerprints.
+A text without words (or a null) has the fingerprint 0; equal texts have equal fingerprints. Rows of one id are
+rows of their own, in the order of their texts; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -120,9 +121,9 @@ def likeness(a: Column, b: Column) -> Column:
 def near_pairs(classes: DataFrame, radius: int, chunk: int = 20_000) -> DataFrame:
     """For each class that asks, every other class within ``radius``: fp, and the other's representative, docs and distance.
 
-    ``classes`` has distinct ``fp``, ``asks``, ``representative`` and ``docs``. Rows of a table that hold more than
-    ``chunk`` entries are cut into chunks by hash; those that ask go to each chunk of their row. A pair that meets in
-    several tables counts in the first of them only.
+    ``classes`` has distinct ``fp``, ``asks``, ``representative`` and ``docs``. Rows of a table are cut by hash into blocks of
+    about ``chunk`` entries and ``chunk`` that ask; each entry goes to every block of its part of the entries, and each that asks to every
+    block of its own. A pair that meets in several tables counts in the first of them only.
     """
     half = radius // 4 + 1  # blocks of each 64 bits, so that radius < 2 * blocks
     cuts = [64 * k // half for k in range(half + 1)]
@@ -136,13 +137,18 @@ def near_pairs(classes: DataFrame, radius: int, chunk: int = 20_000) -> DataFram
     look = lambda t: F.transform(flips(spans[t][2]), lambda m: row(t, own[t].bitwiseXOR(m), True))
     entries = F.array(*(row(t, block, False) for t, block in enumerate(own)))
     near = [look(t) for t in range(len(spans))]
-    large = both.select(F.explode(entries).alias("at")).groupBy("at.table", "at.block").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    large = large.select("table", "block", F.ceil(F.col("n") / chunk).cast("long").alias("parts"))
     dealt = both.select("representative", "docs", "hi", "lo", F.explode(F.when(F.col("asks"), F.concat(entries, *near)).otherwise(entries)).alias("at")).select("representative", "docs", "hi", "lo", "at.*")
-    parts = F.coalesce("parts", F.lit(1).cast("long"))
-    place = F.when(F.col("ask"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("hi", "lo"), parts)))
-    dealt = dealt.join(large, ["table", "block"], "left").withColumn("part", F.explode(place)).drop("parts").repartition("table", "block", "part")
-    groups = dealt.groupBy("table", "block", "part").agg(F.collect_list(F.struct("hi", "lo", "ask", "representative", "docs")).alias("rows"), F.max("ask").alias("asked")).where("asked")
+    large = dealt.groupBy("table", "block").agg(F.count_if(~F.col("ask")).alias("n"), F.count_if(F.col("ask")).alias("m")).where((F.col("n") > chunk) | (F.col("m") > chunk))
+    cut = lambda c: F.greatest(F.ceil(F.col(c) / chunk), F.lit(1)).cast("long")
+    large = large.select("table", "block", cut("n").alias("entry_parts"), cut("m").alias("ask_parts"))
+    parts = {k: F.coalesce(k, F.lit(1).cast("long")) for k in ("entry_parts", "ask_parts")}
+    own_part = lambda k: F.array(F.pmod(F.xxhash64("hi", "lo"), parts[k]))
+    every = lambda k: F.sequence(F.lit(0).cast("long"), parts[k] - 1)
+    dealt = dealt.join(large, ["table", "block"], "left")
+    dealt = dealt.withColumn("entry_part", F.explode(F.when(F.col("ask"), every("entry_parts")).otherwise(own_part("entry_parts"))))
+    dealt = dealt.withColumn("ask_part", F.explode(F.when(F.col("ask"), own_part("ask_parts")).otherwise(every("ask_parts")))).drop("entry_parts", "ask_parts")
+    at = ["table", "block", "entry_part", "ask_part"]
+    groups = dealt.repartition(*at).groupBy(*at).agg(F.collect_list(F.struct("hi", "lo", "ask", "representative", "docs")).alias("rows"), F.max("ask").alias("asked")).where("asked")
 
     kind = pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("representative", pa.int64()), ("docs", pa.int64()), ("distance", pa.int32())])
 
