@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import itertools
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -57,6 +59,18 @@ def empty(spark, tmp_path_factory):
     return d
 
 
+def test_one_id_with_and_without_text(spark):
+    docs = [(1, EN), (1, None), (2, EN), (3, "other words are here and not there"), (3, DE), (4, DE), (5, ""), (5, None), (None, EN)]
+    got = {r["id"]: r["class_id"] for r in probminhash.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == 1 and got[5] == 5 and {*got} == {1, 2, 3, 4, 5} and got[3] in (3,) and got[4] in (3, 4)
+
+
+def test_columns_are_not_overwritten(spark):
+    for name, call in (("coded", lambda d: bpe.encode_documents(d, *bpe.tokenizer())), ("stored", transport.text_media), ("facts", transport.text_media)):
+        with pytest.raises(ValueError):
+            call(spark.createDataFrame([("x", 1)], f"text string, {name} int"))
+
+
 EXPECTED = {"op1_warc_fixity": 7, "op8_url_filter": 7, "op6_near_duplicates": 66}
 
 
@@ -80,6 +94,7 @@ def test_pipeline(spark, odd, empty):
         docs = spark.read.parquet(f"{odd}/{name}")
         kept[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
     assert {61, 62, 63}.isdisjoint(kept["language_id"]) and len(kept["language_id"]) == len(rows()) - 3
+    assert [n for n, c in Counter(i for i in kept["near_dedup"] if i is not None).items() if c > 1] == []
     assert kept["near_dedup"].count(2) <= 1 and not {1, 60} <= {*kept["near_dedup"]}
     assert all(r["exact"] for r in docs.collect())
 
@@ -122,6 +137,44 @@ def test_transport_stream():
     assert transport.demux(broken.reshape(-1)).bad_crc == 1
 
 
+def test_damaged_streams():
+    rng = random.Random(15)
+    for _ in range(400):
+        media = bytearray(transport.mux(rng.randbytes(rng.choice((0, 10, 600, 20000)))).tobytes())
+        for _ in range(rng.randint(1, 6)):
+            kind, at = rng.randrange(5), rng.randrange(len(media) + 1)
+            packet = at // 188 * 188
+            if kind == 0:
+                media[at : at + 1] = rng.randbytes(1)
+            elif kind == 1:
+                media[packet + rng.randrange(20) : packet + 20] = rng.randbytes(3)
+            elif kind == 2:
+                del media[at:]
+            elif kind == 3:
+                del media[packet : packet + 188]
+            else:
+                media[at:at] = rng.randbytes(rng.randrange(5))
+        transport.demux(bytes(media))
+    packets = transport.mux(rng.randbytes(5000)).reshape(-1, 188)
+    pointer = packets.copy()
+    pointer[0, 4] = 255  # the pointer field leads out of the packet
+    found = transport.demux(pointer.reshape(-1))
+    assert found.programs == {} and found.faults == 1
+    marked, long = packets.copy(), packets.copy()
+    marked[5, 1] |= 0x80
+    long[5, 3:5] = long[5, 3] | 0x20, 200
+    for broken in (marked, long):
+        found = transport.demux(broken.reshape(-1))
+        assert found.faults >= 1 and found.discontinuities == 1
+    jump = packets[np.r_[: len(packets) - 4, len(packets) - 2 : len(packets)]].copy()
+    assert transport.demux(jump.reshape(-1)).discontinuities == 1
+    body = b"".join(n.to_bytes(2, "big") + (0xE000 | 0x1000 + n).to_bytes(2, "big") for n in range(1, 60))
+    section = transport._section(0, 1, body)
+    first = (bytes([0x47, 0x40, 0, 0x10, 0]) + section[:183]).ljust(188, b"\xff")
+    second = (bytes([0x47, 0, 0, 0x11]) + section[183:]).ljust(188, b"\xff")
+    assert len(transport.demux(first + second).programs) == 59  # a table over two packets
+
+
 def test_transport_query(spark, odd):
     got = {r["doc_id"]: r for r in QUERIES["op5_transport_stream"](spark, odd).where("doc_id is not null").collect()}
     for r in rows():
@@ -135,6 +188,12 @@ def test_transport_query(spark, odd):
 def test_url_trie():
     assert url_filter.split_url("x://AbÉ.com?p#q") == ("abÉ.com", "")
     rng = random.Random(4)
+    many = [("allow", "a.com", f"/x/y{rng.randrange(10**9)}") for _ in range(20_000)]
+    began = time.time()
+    trie = url_filter.Trie(many)
+    assert all(trie.match("a.com", p + "~")[0] in ("a.com" + p[:n] for n in range(len(p), 3, -1)) for _, _, p in many) and time.time() - began < 10
+    deep = url_filter.Trie([("block", "a.com", "/" + "x" * n) for n in range(1, 3000)])
+    assert deep.match("b.a.com", "/" + "x" * 5000)[0] == "a.com/" + "x" * 2999
     hosts, paths = ["com", "a.com", "b.a.com", "net", "xa.com"], ["/", "/en", "/en/", "/en/x", "/e"]
     for _ in range(60):
         rules = {(h, p): rng.choice(("allow", "block")) for h in hosts for p in paths if rng.random() < 0.3}
@@ -379,6 +438,60 @@ def test_toxicity():
     assert restorer.words("the cat, (sat) on 12 mats!")[0] == {"the", "cat", "sat", "on", "mats"}
 
 
+def _restorer(words):
+    body = words.encode()
+    return toxicity.Restorer(toxicity.letter_costs(toxicity.trigram_counts(np.frombuffer(body, np.uint8), np.array([0, len(body)]))))
+
+
+def test_toxicity_lattice_against_all_paths():
+    costs = _restorer("idiot moron stupid loser trash ass " * 40 + EN * 40).costs
+    rng = random.Random(13)
+    for _ in range(300):
+        noisy = "".join(rng.choice("aos01$!.* -ée") for _ in range(rng.randint(0, 6)))
+        letters, best = any(c.isalpha() for c in noisy), None
+        may = [toxicity.options(noisy, i, letters, costs) or [(-1, "", 0.0)] for i in range(len(noisy))]
+        for path in itertools.product(*may):
+            a, b, total, out = 0, 0, 0.0, ""
+            for k, c, extra in path:
+                total += extra
+                if k > 0 or k == 0 and b:
+                    total, out, a, b = total + costs[a][b][k], out + c, b, k
+            total += costs[a][b][0] if b else 0.0
+            if best is None or total < best[0]:
+                best = (total, out)
+        got = toxicity.decode(noisy, costs)
+        assert abs(got[0] - best[0]) < 1e-9, noisy
+        assert restored_cost(got[1], noisy, may, costs) < best[0] + 1e-9
+
+
+def restored_cost(text, noisy, may, costs):
+    """The least cost of a path that puts out ``text``."""
+    states = {(0, 0, 0): 0.0}  # characters put out, and the last two classes
+    for own in may:
+        new = {}
+        for (n, a, b), cost in states.items():
+            for k, c, extra in own:
+                if k < 0 or k == 0 and not b:
+                    key, total = (n, a, b), cost + extra
+                elif text[n : n + 1] == c:
+                    key, total = (n + 1, b, k), cost + extra + costs[a][b][k]
+                else:
+                    continue
+                new[key] = min(total, new.get(key, 1e9))
+        states = new
+    return min(cost + (costs[a][b][0] if b else 0.0) for (n, a, b), cost in states.items() if n == len(text))
+
+
+def test_toxicity_takes_long_tokens():
+    restorer, rng = _restorer("idiot chapter moron " * 40 + EN * 40), random.Random(14)
+    soup = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    cases = {"chapter" + "." * 1_000_000 + "12": "chapter", "i d i o t " * 30_000: None, soup("!@#$%^&*1234", 1_000_000): None, soup("abcdefgh0123+/", 200_000): None, "a" + "****a" * 50_000: None, "o" * 300_000: None, "1d10t" + "-" * 1_000_000: "idiot", "!?" * 500_000 + "moron": "moron"}
+    for text, word in cases.items():
+        began = time.time()
+        found = restorer.words(text)[0]
+        assert time.time() - began < 20 and (word is None or word in found), text[:20]
+
+
 def test_toxicity_signs_and_doubles():
     words = ("idiot moron stupid loser trash ass cunt shit letter " * 40 + EN * 40 + DE * 20).encode()
     restorer = toxicity.Restorer(toxicity.letter_costs(toxicity.trigram_counts(np.frombuffer(words, np.uint8), np.array([0, len(words)]))))
@@ -391,9 +504,10 @@ def test_toxicity_signs_and_doubles():
 
 def test_mixing(spark, odd):
     docs = [(i, " ".join(["w"] * (1 + i % 9)), f"s{i % 4}" if i % 7 else None) for i in range(800)]
-    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
-    again = mixing.mix(spark.createDataFrame(docs[::-1], "doc_id long, text string, source string")).collect()
-    assert sorted(map(tuple, (r[:6] for r in got))) == sorted(map(tuple, (r[:6] for r in again)))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame(docs)).collect()
+    again = mixing.mix(frame(docs[::-1])).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
     sizes, taken, target = Counter(), Counter(), {}
     source = {i: s for i, _, s in docs}
     for r in got:
@@ -401,7 +515,7 @@ def test_mixing(spark, odd):
         sizes[s] += r["size"]
         taken[s] += r["taken"]
         target[s] = r["target"]
-        assert r["taken"] <= 2 * r["size"] and len(r["shards"]) == r["copies"]
+        assert r["taken"] <= 2 * r["size"] and len(r["shards"]) == len(r["positions"]) == r["copies"]
     # water filling by hand
     weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda x: (x is None, x or "")))}
     want, left, total = {}, {*sizes}, 1.5 * sum(sizes.values())
@@ -415,16 +529,74 @@ def test_mixing(spark, odd):
         assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= 9
     loads = Counter(x for r in got for x in r["shards"])
     assert len(loads) == 2**mixing.LEVELS
+    # the mix as it is written: by shard and, within it, by position; copies and neighbours are apart
+    mixed = mixing.mix(frame(docs), keep=("doc_id", "text"))
+    places = {r["row"]["doc_id"]: [*zip(r["shards"], r["positions"])] for r in mixed.collect()}
+    order = [r["doc_id"] for r in mixing.shuffled(mixed).collect()]
+    want = [i for _, i in sorted((at, i) for i, own in places.items() for at in own)]
+    assert order == want and sum(abs(a - b) < 5 for a, b in zip(order, order[1:])) < 0.1 * len(order)
+
+
+def test_mixing_takes_rows_one_by_one(spark):
+    docs = [(None, f"only text {i} " + "w " * (i % 5), "a") for i in range(300)] + [(i, "w w w", "b") for i in range(300)] + [(7, "another text", "b")] * 2
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), keep=("doc_id", "text", "source")).collect()
+    assert len(got) == len(docs)
+    for s in "ab":
+        assert abs(sum(r["taken"] for r in got if r["row"]["source"] == s) - next(r["target"] for r in got if r["row"]["source"] == s)) <= 9
+    assert len({r["copies"] for r in got if r["row"]["source"] == "b"}) == 2
 
 
 def test_fixity(spark, tmp_path):
-    pages = [(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(700)]
-    bad = [(i, u, "<q>" if i in (5, 333) else h) for i, u, h in pages if i != 699] + [(9000, "http://new", "n")]
+    """Damage of all kinds against an alignment by plain Python."""
+    rng = random.Random(8)
     frame = lambda x: spark.createDataFrame(x, "k long, u string, h string")
     leaves = lambda x: warc_fixity.leaves(frame(x), "k", "u", "h")
-    found = {(r["key"], r["finding"]) for r in warc_fixity.audit(leaves(pages), leaves(bad)).collect()}
-    # a changed length moves what follows in the file, so later ranges differ as well
-    assert {(5, "corrupt"), (333, "corrupt"), (699, "missing"), (9000, "added")} <= found and (4, "corrupt") not in found
+    pages = [(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(5000)] + [(77, "http://a/77", "<p>twice</p>")] * 3 + [(None, f"n{i}", "x") for i in range(9)]
+    bad = []
+    for k, u, h in pages:
+        at = rng.random()
+        if k is not None and 2100 < k and at < 0.004:  # files of few changes; the first has none
+            continue
+        if k is not None and 2100 < k and at < 0.008:
+            h = h.replace("<p>", "<q>" if at < 0.006 else "<em>")
+        bad.append((k, u, h))
+    bad += [(4500, "http://new", "n"), (9000, "http://new", "n")]
+
+    def manifest(rows):
+        out, files = [], {}
+        for k, u, h in rows:
+            record = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {u}\r\nContent-Type: text/html\r\nContent-Length: {len(h)}\r\n\r\n{h}\r\n\r\n".encode()
+            file = k // 2048 if k is not None else -1 - int(hashlib.md5(u.encode()).hexdigest()[:3], 16)
+            files.setdefault(file, []).append((-1 if k is None else k, hashlib.sha256(record).hexdigest(), len(record)))
+        for file, own in files.items():
+            at = 0
+            for n, (k, digest, size) in enumerate(sorted(own)):
+                out.append((file, k, digest, at, size, n))
+                at += size
+        return out
+
+    ours, theirs = manifest(pages), manifest(bad)
+    there = {(f, n): (d, at) for f, _, d, at, _, n in theirs}
+    here = {(f, n): (d, at) for f, _, d, at, _, n in ours}
+    mine = [r for r in ours if there.get((r[0], r[5])) != (r[2], r[3])]
+    other = [r for r in theirs if here.get((r[0], r[5])) != (r[2], r[3])]
+    want, rest = Counter(), []
+    for r in mine:
+        twin = next((x for x in other if x[:3] == r[:3]), None)
+        if twin:
+            other.remove(twin)
+            want[r[0], r[1], "moved", twin[3]] += 1
+        else:
+            rest.append(r)
+    for r in rest:
+        twin = next((x for x in other if x[:2] == r[:2]), None)
+        if twin:
+            other.remove(twin)
+        want[r[0], r[1], "corrupt" if twin else "missing", twin and twin[3]] += 1
+    for r in other:
+        want[r[0], r[1], "added", r[3]] += 1
+    got = Counter((r["file"], -1 if r["key"] is None else r["key"], r["finding"], r["their_start"]) for r in warc_fixity.audit(leaves(pages), leaves(bad)).collect())
+    assert got == want and {k[2] for k in want} == {"moved", "corrupt", "missing", "added"}
     assert warc_fixity.audit(leaves(pages), leaves(pages)).isEmpty()
     record = "".join(r["r"] for r in frame(pages[:3]).select(warc_fixity.record_bytes(F.col("u"), F.col("h")).alias("r")).collect())
     (tmp_path / "a.warc").write_bytes(record.encode())
