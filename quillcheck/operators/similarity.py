@@ -65,7 +65,9 @@ def duplicate_classes(entries: DataFrame, key: str, title: str, threshold: float
 
 def duplicate_issues(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Issues within each bibliography file: every pair of entries (file, ord, key, title) with similar titles, in file order."""
-    rows = entries.select("file", "ord", "key", T.tokens(T.strip_latex(F.col("title"))).alias("tokens"))
+    # tokens carry their file, so that only titles of one file meet
+    own = F.concat(F.hex(F.xxhash64(F.col("file"))), F.lit(":"))
+    rows = entries.select("file", "ord", "key", F.transform(T.tokens(T.strip_latex(F.col("title"))), lambda t: F.concat(own, t)).alias("tokens"))
     rows = cut(rows.withColumn("set", set_key(F.col("tokens"))).where("size(tokens) > 0"))
     near = similar_sets(rows, None, threshold)
     sym = near.select("a", "b", "similarity").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matchers as M
 from ..functions import text as T
-from ..functions.fixed import CATALOGS, NON_ARTICLES
+from ..functions.fixed import ARXIV_FIELDS, CATALOGS, NON_ARTICLES
 from ..functions.lineage import cut
 from . import lookup
 
@@ -19,28 +19,39 @@ def _check(field: str, status: Column | str, detail: Column, source: Column | st
     return F.struct(F.lit(field).alias("field"), status.alias("status"), detail.alias("detail"), source.alias("source"))
 
 
+def found_arxiv(entries: DataFrame) -> Column:
+    """The entry's arXiv id, else one found in those of its fields that it has as columns."""
+    fields = {n: F.col(n) for n in ARXIV_FIELDS if n in entries.columns}
+    own = F.when(T.filled(F.col("arxiv_id")), F.col("arxiv_id"))
+    return F.coalesce(own, T.arxiv_id(fields)) if fields else own
+
+
 def phantoms(entries: DataFrame) -> DataFrame:
-    """Adds phantom_doi and phantom_arxiv: well-formed identifiers that their catalog does not have."""
-    doi = F.coalesce("doi", F.lit("")).rlike(r"^10\.\p{Nd}{4,}/") & F.col("rec_crossref").isNull()
-    arxiv = F.coalesce("arxiv_id", F.lit("")).rlike(r"^\p{Nd}{4}\.\p{Nd}{4,5}") & F.col("rec_arxiv").isNull()
-    return entries.withColumn("phantom_doi", doi).withColumn("phantom_arxiv", arxiv)
+    """Adds phantom_doi and phantom_arxiv: well-formed identifiers that their catalog does not have, and arxiv_found (see ``found_arxiv``).
+
+    An id that is found in other fields only is not looked up, as in a lookup by the entry's own id. Catalogs that gave no answer
+    (``lookup_errors``) make no phantoms.
+    """
+    answered = lambda s: ~F.array_contains("lookup_errors", s) if "lookup_errors" in entries.columns else F.lit(True)
+    doi = F.coalesce("doi", F.lit("")).rlike(r"^10\.\p{Nd}{4,}/") & F.col("rec_crossref").isNull() & answered("crossref")
+    arxiv = F.coalesce("arxiv_found", F.lit("")).rlike(r"^\p{Nd}{4}\.\p{Nd}{4,5}") & F.col("rec_arxiv").isNull() & answered("arxiv")
+    return entries.withColumn("arxiv_found", found_arxiv(entries)).withColumn("phantom_doi", doi).withColumn("phantom_arxiv", arxiv)
 
 
-def gather(entries: DataFrame, catalog: DataFrame) -> DataFrame:
+def gather(entries: DataFrame, catalog: DataFrame, side: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """The lookup cascade: records by arXiv id and DOI, then by title in dblp and s2, and in openalex only where none has a hit.
 
-    The entries with their identifiers' records, and each search's hits, are read by several later steps, so they are written once.
+    The title searches of all catalogs are one join, over ``side`` (``lookup.prepared``) where it is given. The catalog itself is read with
+    its filters and columns, and not written. The entries with their identifiers' records are read by several later steps, so they are
+    written once. ``errors`` (source, asked) are lookups in vain.
     """
-    catalog = cut(catalog)
-    e = lookup.by_id(entries, catalog, "arxiv", "arxiv_id")
+    e = lookup.with_errors(entries, errors) if errors is not None else entries
+    e = lookup.by_id(e, catalog, "arxiv", "arxiv_id")
     e = cut(phantoms(lookup.by_id(e, catalog, "crossref", "doi")))
-    strict = F.col("phantom_doi") | F.col("phantom_arxiv")
-    missed, out = e.where("rec_arxiv is null and rec_crossref is null"), e
-    for source in ("dblp", "s2", "openalex"):
-        hits = cut(lookup.title_hits(e if source != "openalex" else cut(missed), catalog, source, strict))
-        out = out.join(hits, "id", "left")
-        missed = missed.join(hits, "id", "left_anti")
-    return out
+    hits = lookup.title_hits(e, catalog, lookup.SEARCHED, F.col("phantom_doi") | F.col("phantom_arxiv"), side)
+    wide = hits.groupBy("id").agg(*(F.first(F.when(F.col("source") == s, F.col("rec")), True).alias(f"rec_{s}") for s in lookup.SEARCHED))
+    known = F.col("rec_arxiv").isNotNull() | F.col("rec_crossref").isNotNull() | F.col("rec_dblp").isNotNull() | F.col("rec_s2").isNotNull()
+    return e.join(wide, "id", "left").withColumn("rec_openalex", F.when(~known, F.col("rec_openalex")))
 
 
 #: Places of the checks of each source among an entry's checks; phantoms stand at 2 and 3.
@@ -75,13 +86,14 @@ def source_checks(gathered: DataFrame) -> DataFrame:
 
 
 def _phantom(kind: str, name: str, what: str, source: str) -> Column:
-    column = "doi" if kind == "doi" else "arxiv_id"
+    column = "doi" if kind == "doi" else "arxiv_found"
     detail = F.concat(F.lit(f"{name} '"), F.col(column), F.lit(f"' has valid format but {what} -- likely hallucinated or incorrect"))
     return F.when(F.col(f"phantom_{kind}"), _check(f"phantom_{kind}", "FAIL", detail, source))
 
 
 def fold(gathered: DataFrame) -> DataFrame:
-    """Per entry: id, key, title, overall, sources_tried, sources_hit, checks (array in order), suggested_fixes (array)."""
+    """Per entry: id, key, title, overall, sources_tried, sources_hit, checks (array in order), suggested_fixes (array), and lookup_errors where
+    these were asked for."""
     hit = lambda s: F.col(f"rec_{s}").isNotNull()
     no_hit = ~(hit("arxiv") | hit("crossref") | hit("dblp") | hit("s2"))
     tried = F.array_compact(F.array(F.when(T.filled(F.col("arxiv_id")), "arxiv"), F.when(T.filled(F.col("doi")), "crossref"), F.lit("dblp"), F.lit("s2"), F.when(no_hit, "openalex")))
@@ -107,12 +119,12 @@ def fold(gathered: DataFrame) -> DataFrame:
     eprint = F.when(~T.filled(F.col("arxiv_id")) & T.filled(F.col("rec_s2.arxiv_id")), F.col("rec_s2.arxiv_id"))
     fix = lambda name, v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("field"), v.alias("value")))
     first = F.when(T.filled(F.col("rec_dblp.doi")) | T.filled(F.col("rec_s2.doi")), F.array_compact(F.array(fix("doi", doi), fix("eprint", eprint)))).otherwise(F.array_compact(F.array(fix("eprint", eprint), fix("doi", doi))))
-    return g.select("id", "key", "title", F.when(risky, "WARN").otherwise(F.col("overall")).alias("overall"), "sources_tried", "sources_hit", F.concat("checks", more).alias("checks"), first.alias("suggested_fixes"))
+    return g.select("id", "key", "title", F.when(risky, "WARN").otherwise(F.col("overall")).alias("overall"), "sources_tried", "sources_hit", F.concat("checks", more).alias("checks"), first.alias("suggested_fixes"), *(c for c in ("lookup_errors",) if c in gathered.columns))
 
 
-def verify(entries: DataFrame, catalog: DataFrame) -> DataFrame:
+def verify(entries: DataFrame, catalog: DataFrame, side: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
     """Entries against catalogs, end to end."""
-    return fold(gather(entries, catalog))
+    return fold(gather(entries, catalog, side, errors))
 
 
 def long_checks(results: DataFrame) -> DataFrame:

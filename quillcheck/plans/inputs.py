@@ -51,7 +51,8 @@ def _duck(kind: str, *a: str) -> str:
 def sql(name: str, duck: bool = False) -> str:
     """A SELECT of the input ``name`` over the driver's tables."""
     d = _duck if duck else _spark
-    titles = "SELECT doc_id AS id, source, coalesce(regexp_extract(text, '^[^.\\n]*', 0), '') AS title FROM documents"
+    # a few titles with digits after capitals, which the catalog has without
+    titles = f"SELECT doc_id AS id, source, CASE WHEN doc_id % 41 = 3 THEN concat('NETX', {d('str', 'doc_id % 7')}, ' DATAY', {d('str', 'doc_id')}) ELSE coalesce(regexp_extract(text, '^[^.\\n]*', 0), '') END AS title FROM documents"
     words = f"SELECT *, {d('all', 'title', '[A-Za-z]+')} AS w FROM ({titles}) AS titles"
     size, w2, w3 = d("len", "w"), d("at", "w", "2"), d("at", "w", "3")
     venues = ("Proceedings of ICML", "Nature", "CoRR abs", "J. Mach. Learn. Res. 3", "Workshop on Small Things", "")
@@ -64,7 +65,7 @@ def sql(name: str, duck: bool = False) -> str:
         return f"""SELECT id, {d('div', 'id', '50')} AS file, {d('int', 'id % 50')} AS ord, concat('d', {d('str', 'id')}) AS key, {pick(kinds, d('int', 'id % 7 + 1'))} AS type, title,
  CASE WHEN {size} >= 4 THEN concat({w2}, ', A. and ', {w3}, ', B.', CASE WHEN id % 9 = 0 THEN ' and others' ELSE '' END) WHEN {size} >= 2 THEN concat('A. ', {w2}) ELSE '' END AS author,
  CASE WHEN id % 29 = 0 THEN '' WHEN id % 31 = 0 THEN '20x7' ELSE {d('str', '1990 + id % 36')} END AS year, {pick(venues, d('int', 'id % 6 + 1'))} AS venue,
- CASE WHEN id % 3 <> 0 THEN {doi} ELSE '' END AS doi, CASE WHEN id % 5 = 0 THEN {arxiv} ELSE '' END AS arxiv_id FROM ({words}) AS words"""
+ CASE WHEN id % 3 <> 0 THEN {doi} ELSE '' END AS doi, CASE WHEN id % 5 = 0 THEN {arxiv} ELSE '' END AS arxiv_id, CASE WHEN id % 43 = 9 THEN concat('CoRR ArXiv: ', {arxiv}, 'v1, to appear') ELSE '' END AS journal FROM ({words}) AS words"""
     if name == "catalog":
         step = d("at", d("list", "1000000", "30", "9", "5", "3"), d("int", "id % 5 + 1"))
         authors = f"CASE WHEN id % 13 = 0 THEN {d('list')} WHEN id % 11 = 0 THEN {d('list', chr(39) + 'C. Other' + chr(39))} WHEN {size} >= 4 AND id % 17 = 0 THEN {d('list', f'concat({chr(39)}A. {chr(39)}, {w2})', *(chr(39) + x + chr(39) for x in ('D. E', 'F. G', 'H. I', 'J. K', 'L. M')))} WHEN {size} >= 4 THEN {d('list', f'concat({chr(39)}A. {chr(39)}, {w2})', f'concat({chr(39)}B. {chr(39)}, {w3})')} WHEN {size} >= 2 THEN {d('list', f'concat({chr(39)}A. {chr(39)}, {w2})')} ELSE {d('list')} END"
@@ -75,7 +76,7 @@ def sql(name: str, duck: bool = False) -> str:
         gap = "CASE WHEN id % 7 = 0 THEN 1 WHEN id % 17 = 0 THEN 2 WHEN id % 19 = 0 THEN 4 ELSE 0 END"
         where = d("list", "CASE WHEN id % 10 = 0 THEN 'arxiv' END", "CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN 'crossref' END", "CASE WHEN id % 2 = 0 THEN 'dblp' END", "CASE WHEN id % 5 <> 1 THEN 's2' END", "CASE WHEN id % 3 <> 1 THEN 'openalex' END")
         return f"""SELECT c.source, {d('str', 'c.id')} AS rec_id, c.id AS pos, c.title, c.authors, c.year, c.venue, c.doi, c.arxiv_id, c.citation_count, coalesce(l.toxic, 0) = 1 AS is_retracted FROM (
- SELECT id, {d('some', where)} AS source, {d('every', d('split', 'title'), step)} AS title, {authors} AS authors,
+ SELECT id, {d('some', where)} AS source, CASE WHEN id % 41 = 3 THEN 'NETX DATAY' ELSE {d('every', d('split', 'title'), step)} END AS title, {authors} AS authors,
  CASE WHEN id % 23 = 0 THEN NULL ELSE {d('str', f'1990 + id % 36 + {gap}')} END AS year, {pick(found, d('int', 'id % 6 + 1'))} AS venue, {doi} AS doi, CASE WHEN id % 10 = 0 THEN {arxiv} END AS arxiv_id, CASE WHEN id % 2 = 0 THEN {d('long', 'id % 100')} END AS citation_count
  FROM ({words}) AS words) AS c LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) AS l ON c.id = l.doc_id"""
     if name == "tex":
@@ -100,10 +101,38 @@ def sql(name: str, duck: bool = False) -> str:
         severities = ("critical", "major", "minor", "suggestion")
         pick_s = pick(severities, d("int", "user_id % 4 + 1"))
         return f"SELECT concat(lpad({d('str', 'event_id')}, 9, '0'), '_', event_type, '.json') AS file, event_type AS issue, CASE WHEN event_id % 10 = 0 THEN NULL ELSE {pick_s} END AS severity FROM events"
+    if name.startswith("answers_"):  # raw answers of the services
+        return _answers(name.removeprefix("answers_"), d)
     raise KeyError(name)
 
 
-TABLES = {"entries": ("documents",), "catalog": ("documents", "labels"), "tex": ("conversations",), "injected": ("documents",), "layout": ("pages",), "metadata": ("pages",), "papers": ("documents",), "feedback": ("events",)}
+def _answers(source: str, d) -> str:
+    """Answers as the services give them: asked, body. Every 50th is missing, every 51st is no answer at all."""
+    plain = "trim(regexp_replace(coalesce(regexp_extract(text, '^[^.\\n]*', 0), ''), '[^A-Za-z]+', ' '" + (", 'g'))" if d is _duck else "))")
+    n = lambda x: d("str", x)
+    case = lambda *a: "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in zip(a[::2], a[1::2])) + f" ELSE {a[-1]} END"
+    q = lambda *a: "concat(" + ", ".join(a) + ")"
+    if source == "crossref":
+        names = case("id % 4 = 0", "'{\"given\":\"Ada\",\"family\":\"Lee\"},{\"family\":\"Roe\"},{\"name\":\"Group\"}'", "id % 4 = 1", "'{\"given\":\" Bo \"}'", "''")
+        dates = case("id % 5 = 0", q("'\"published-print\":{\"date-parts\":[[]]},\"created\":{\"date-parts\":[['", n("1990 + id % 30"), "',1]]},'"), "id % 5 = 1", q("'\"published-online\":{\"date-parts\":[['", n("1980 + id % 30"), "',2,3]]},\"created\":{\"date-parts\":[[1900]]},'"), "''")
+        more = case("id % 6 = 0", "'\"container-title\":[\"\",\"Journal of Things\",\"J. Things\"],'", "id % 6 = 1", "'\"container-title\":[],'", "''") + ", " + case("id % 7 = 0", "'\"update-to\":[{\"type\":\"correction\"},{\"type\":\"retracted-article\"}],'", "id % 7 = 1", "'\"update-to\":[{\"type\":\"correction\"}],'", "''")
+        body = q("'{\"status\":\"ok\",\"message\":{'", dates, more, "'\"author\":['", names, "'],\"title\":['", case("id % 8 = 0", "''", q("'\"'", "title", "'\",\"other\"'")), "']}}'")
+    elif source == "arxiv":
+        body = q("'<feed><title type=\"html\">ArXiv Query</title>'", case("id % 6 = 0", "''", "id % 6 = 1", "'<entry><title>Error</title></entry>'", q("'<entry><title>'", "title", "chr(10)", "'   again</title><name>A. One</name><name>B. Two</name>'", case("id % 3 = 2", "''", q("'<published>'", n("1995 + id % 20"), "'-01-02T00:00:00Z</published>'")), "'</entry>'")), "'</feed>'")
+    elif source == "dblp":
+        authors = case("id % 3 = 0", "'{\"author\":{\"@pid\":\"1\",\"text\":\"Cy Poe 0001\"}}'", "id % 3 = 1", "'{\"author\":[{\"text\":\"Cy Poe 0001\"},{\"text\":\"Di Eve\"}]}'", "'{\"author\":\"Di Eve\"}'")
+        hit = lambda k: q(f"'{{\"@id\":\"h{k}-'", n("id"), "'\",\"info\":{\"authors\":'", authors, f"',\"title\":\"'", "title", f"'{'.' * k}\",\"year\":\"'", n(f"1990 + id % 20 + {k}"), "'\",\"venue\":'", case("id % 2 = 0", "'[\"V1\",\"V2\"]'", "'\"V3\"'"), "'}}'")
+        body = case("id % 10 = 0", "'{\"result\":{\"hits\":{\"@total\":\"0\"}}}'", q("'{\"result\":{\"hits\":{\"hit\":['", hit(1), "','", hit(3), "']}}}'"))
+    elif source == "s2":
+        body = case("id % 10 = 0", "'{\"total\":0,\"data\":[]}'", q("'{\"data\":[{\"paperId\":\"p'", n("id"), "'\",\"title\":\"'", "title", "'\",\"authors\":[{\"authorId\":\"1\",\"name\":\"Fay Orr\"},{\"name\":\"Gus Ray\"}],\"year\":'", case("id % 4 = 0", "'null'", "id % 4 = 1", "'0'", n("1990 + id % 20")), "',\"venue\":\"W\",\"citationCount\":'", n("id % 9"), "',\"externalIds\":'", case("id % 3 = 0", "'null'", "id % 3 = 1", q("'{\"DOI\":\"10.1/'", n("id"), "'\"}'"), "'{\"ArXiv\":\"2001.00001\"}'"), "'}]}'"))
+    else:
+        body = case("id % 10 = 0", "'{\"results\":[]}'", q("'{\"results\":[{\"id\":\"W'", n("id"), "'\",\"title\":'", case("id % 7 = 0", "'null'", q("'\"'", "title", "'\"'")), "',\"authorships\":[{\"author\":{\"display_name\":\"Hal Sun\"}},{\"author\":{\"display_name\":\"\"}},{\"author\":{}}],\"publication_year\":'", n("2000 + id % 20"), "',\"primary_location\":'", case("id % 3 = 0", "'null'", "'{\"source\":{\"display_name\":\"X\"}}'"), "',\"doi\":'", case("id % 4 = 0", "'null'", "id % 4 = 1", q("'\"https://doi.org/10.2/'", n("id"), "'\"'"), q("'\"HTTPS://doi.org/10.2/'", n("id"), "'\"'")), "',\"cited_by_count\":'", n("id % 11"), "',\"is_retracted\":'", case("id % 13 = 0", "'true'", "'false'"), "'}]}'"))
+    if d is _spark:
+        body = body.replace("chr(10)", "'\\n'")
+    return f"SELECT {n('id')} AS asked, id, title, CASE WHEN id % 50 = 49 THEN NULL WHEN id % 51 = 50 THEN '<html>502' ELSE {body} END AS body FROM (SELECT doc_id AS id, {plain} AS title FROM documents) AS t"
+
+
+TABLES = {"entries": ("documents",), "catalog": ("documents", "labels"), "tex": ("conversations",), "injected": ("documents",), "layout": ("pages",), "metadata": ("pages",), "papers": ("documents",), "feedback": ("events",)} | {f"answers_{s}": ("documents",) for s in ("arxiv", "crossref", "dblp", "s2", "openalex")}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

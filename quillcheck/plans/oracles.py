@@ -100,26 +100,28 @@ ORACLES |= {
 def _search(source: str, entries: str) -> str:
     """Ranked candidates of a title search over CTEs ``et`` and ``ct``."""
     title = "ct.td" if source == "dblp" else "ct.t"
-    return f"""SELECT et.id, ct.rec_id, ct.pos, {_jac('et.t', title)} AS similarity, {_jac('et.t', title)} + CASE WHEN et.ours <> '' AND et.ours = ct.theirs THEN 0.3::DOUBLE ELSE 0 END AS rank
+    return f"""SELECT et.id, et.form, ct.rec_id, ct.pos, {_jac('et.t', title)} AS similarity, {_jac('et.t', title)} + CASE WHEN et.ours <> '' AND et.ours = ct.theirs THEN 0.3::DOUBLE ELSE 0 END AS rank
  FROM {entries} et JOIN ct ON ct.source = '{source}' AND len(et.t) > 0 AND len({title}) > 0 AND len(et.t) >= 0.6 * len({title}) AND len({title}) >= 0.6 * len(et.t) WHERE {_jac('et.t', title)} >= 0.6"""
 
 
+_BARE_TITLE = "regexp_replace(title, '(\\b[A-Z]+)[0-9]+\\b', '\\1', 'g')"
 _BASE = f"""e AS MATERIALIZED ({E}), c AS MATERIALIZED ({C}),
-et AS MATERIALIZED (SELECT *, {_tok('title')} AS t, {_OURS} AS ours FROM e),
+et AS MATERIALIZED (SELECT *, 0 AS form, {_tok('title')} AS t, {_OURS} AS ours FROM e UNION ALL SELECT *, 1 AS form, {_tok(_BARE_TITLE)} AS t, {_OURS} AS ours FROM e WHERE {_BARE_TITLE} <> title),
 ct AS MATERIALIZED (SELECT *, {_tok('title')} AS t, {_tok("rtrim(title, '.')")} AS td, {_THEIRS} AS theirs FROM c)"""
-_TOP = "SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank DESC, pos) = 1"
-ORACLES["title_search_top1"] = f"WITH {_BASE}, m AS ({_search('dblp', 'et')}) SELECT id, rec_id, similarity, rank FROM ({_TOP.format('m')}) x"
+_TOP = "SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY id, form ORDER BY rank DESC, pos) = 1"
+ORACLES["title_search_top1"] = f"WITH {_BASE}, m AS ({_search('dblp', 'et')}) SELECT id, form, rec_id, similarity, rank FROM ({_TOP.format('m')}) x"
 
 
 def _hits(source: str, entries: str, name: str) -> str:
-    p = f"SELECT h.id, et.title, et.author, et.year, ct.title AS ctitle, ct.authors, ct.year AS cyear, h.rec_id, ph.strict FROM ({_TOP.format('m_' + name)}) h JOIN et ON et.id = h.id JOIN ct ON ct.source = '{source}' AND ct.rec_id = h.rec_id JOIN ph ON ph.id = h.id"
+    p = f"SELECT h.id, h.form, et.title, et.author, et.year, ct.title AS ctitle, ct.authors, ct.year AS cyear, h.rec_id, ph.strict FROM ({_TOP.format('m_' + name)}) h JOIN et ON et.id = h.id AND et.form = 0 JOIN ct ON ct.source = '{source}' AND ct.rec_id = h.rec_id JOIN ph ON ph.id = h.id"
     a = f"SELECT *, {_OURS} AS ours, {_THEIRS} AS theirs, len(authors) AS m FROM ({p}) p"
-    return f"m_{name} AS MATERIALIZED ({_search(source, entries)}), h_{name} AS MATERIALIZED (SELECT id, rec_id FROM (SELECT *, {_S} FROM ({a}) a) q WHERE {_accepts('strict')})"
+    return f"m_{name} AS MATERIALIZED ({_search(source, entries)}), h_{name} AS MATERIALIZED (SELECT id, min_by(rec_id, form) AS rec_id FROM (SELECT *, {_S} FROM ({a}) a) q WHERE {_accepts('strict')} GROUP BY id)"
 
 
 _CASCADE = f"""{_BASE},
 ids AS (SELECT e.id, x.rec_id AS arxiv, y.rec_id AS crossref FROM e LEFT JOIN c x ON x.source = 'arxiv' AND e.arxiv_id <> '' AND x.arxiv_id = e.arxiv_id LEFT JOIN c y ON y.source = 'crossref' AND e.doi <> '' AND y.doi = e.doi),
-ph AS (SELECT e.id, regexp_matches(doi, '^10\\.\\d{{4,}}/') AND crossref IS NULL AS phantom_doi, regexp_matches(arxiv_id, '^\\d{{4}}\\.\\d{{4,5}}') AND arxiv IS NULL AS phantom_arxiv, (regexp_matches(doi, '^10\\.\\d{{4,}}/') AND crossref IS NULL) OR (regexp_matches(arxiv_id, '^\\d{{4}}\\.\\d{{4,5}}') AND arxiv IS NULL) AS strict FROM e JOIN ids USING (id)),
+ph AS (SELECT *, phantom_doi OR phantom_arxiv AS strict FROM (SELECT e.id, aid, regexp_matches(doi, '^10\\.\\d{{4,}}/') AND crossref IS NULL AS phantom_doi, regexp_matches(aid, '^\\d{{4}}\\.\\d{{4,5}}') AND arxiv IS NULL AS phantom_arxiv
+ FROM (SELECT *, CASE WHEN arxiv_id <> '' THEN arxiv_id ELSE regexp_extract(journal, '(?i)arxiv[: ]*([0-9]+\\.[0-9]+(?:v[0-9]+)?)', 1) END AS aid FROM e) e JOIN ids USING (id)) x),
 {_hits('dblp', 'et', 'd')}, {_hits('s2', 'et', 's')},
 late AS (SELECT et.* FROM et JOIN ids USING (id) WHERE arxiv IS NULL AND crossref IS NULL AND id NOT IN (SELECT id FROM h_d) AND id NOT IN (SELECT id FROM h_s)),
 {_hits('openalex', 'late', 'o')},
@@ -141,7 +143,7 @@ k0 AS MATERIALIZED (
  UNION ALL SELECT id, step, 4, 'retraction', 'FAIL', 'RETRACTED PAPER!', source FROM p WHERE source IN ('crossref', 'openalex') AND is_retracted
  UNION ALL SELECT id, step, 5, 'citations', 'OK', 'citation count: ' || citation_count, source FROM p WHERE source IN ('s2', 'openalex') AND citation_count IS NOT NULL
  UNION ALL SELECT id, 2, 0, 'phantom_doi', 'FAIL', 'DOI ''' || doi || ''' has valid format but doesn''t resolve -- likely hallucinated or incorrect', 'crossref' FROM ph JOIN e USING (id) WHERE phantom_doi
- UNION ALL SELECT id, 3, 0, 'phantom_arxiv', 'FAIL', 'arXiv ID ''' || arxiv_id || ''' has valid format but doesn''t exist -- likely hallucinated or incorrect', 'arxiv' FROM ph JOIN e USING (id) WHERE phantom_arxiv
+ UNION ALL SELECT id, 3, 0, 'phantom_arxiv', 'FAIL', 'arXiv ID ''' || aid || ''' has valid format but doesn''t exist -- likely hallucinated or incorrect', 'arxiv' FROM ph JOIN e USING (id) WHERE phantom_arxiv
  UNION ALL SELECT id, 7, 0, 'verification', CASE WHEN type IN ({_KINDS}) THEN 'WARN' ELSE 'FAIL' END, CASE WHEN type IN ({_KINDS}) THEN 'No API match for @' || type || ' entry -- non-article types have limited API coverage' ELSE 'NO API MATCH -- paper may be hallucinated or title differs significantly (tried: ' || {_TRIED.format(', ')} || ')' END, '' FROM hit JOIN e USING (id) WHERE {_NONE}),
 sure AS (SELECT id, source FROM k0 GROUP BY id, source HAVING bool_or(field = 'title' AND status = 'OK') AND bool_or(field = 'authors' AND status IN ('OK', 'WARN'))),
 k1 AS (SELECT k0.*, sure.id IS NOT NULL AS ok FROM k0 LEFT JOIN sure ON k0.id = sure.id AND k0.source = sure.source),
@@ -211,3 +213,22 @@ ORACLES |= {
     "feedback_stats": f"SELECT s.severity, count(f.file) AS records FROM (VALUES ('critical'), ('major'), ('minor'), ('suggestion')) s(severity) LEFT JOIN ({sql('feedback', True)}) f ON coalesce(f.severity, 'minor') = s.severity GROUP BY s.severity",
     "feedback_latest": f"SELECT file, issue, severity FROM ({sql('feedback', True)}) f ORDER BY file DESC LIMIT 20",
 }
+
+
+def _expected(source: str, **columns: str) -> str:
+    """What the parsers make of the answers, from the rules by which these are made, without reading them."""
+    kinds = {"rec_id": "VARCHAR", "pos": "BIGINT", "title": "VARCHAR", "authors": "VARCHAR", "year": "VARCHAR", "venue": "VARCHAR", "doi": "VARCHAR", "arxiv_id": "VARCHAR", "citation_count": "BIGINT", "is_retracted": "BOOLEAN"}
+    bad = "id % 50 = 49 OR id % 51 = 50"
+    own = ", ".join(f"CASE WHEN {bad} THEN NULL ELSE ({columns.get(n, 'NULL')})::{k} END AS {n}" for n, k in kinds.items())
+    keep, times = columns.get("keep", "true"), columns.get("times", "[0]")
+    error = "CASE WHEN id % 50 = 49 THEN 'no answer' WHEN id % 51 = 50 THEN 'unreadable' END"
+    return f"SELECT asked, {own}, {error} AS lookup_error FROM (SELECT *, unnest(CASE WHEN {bad} THEN [0] ELSE {times} END) AS k FROM ({sql('answers_' + source, True)}) a) b WHERE ({bad}) OR ({keep})"
+
+
+ORACLES |= {
+    "crossref_records": _expected("crossref", rec_id="asked", pos="0", title="CASE WHEN id % 8 = 0 THEN '' ELSE title END", authors="CASE id % 4 WHEN 0 THEN 'Ada Lee; Roe' WHEN 1 THEN 'Bo' ELSE '' END", year="CASE id % 5 WHEN 0 THEN 1990 + id % 30 WHEN 1 THEN 1980 + id % 30 END", venue="CASE WHEN id % 6 = 0 THEN 'Journal of Things' ELSE '' END", doi="asked", is_retracted="id % 7 = 0"),
+    "arxiv_records": _expected("arxiv", rec_id="asked", pos="0", title="trim(title || ' again')", authors="'A. One; B. Two'", year="CASE WHEN id % 3 <> 2 THEN 1995 + id % 20 END", arxiv_id="asked", keep="id % 6 > 1"),
+    "dblp_records": _expected("dblp", rec_id="'h' || (1 + 2 * k) || '-' || id", pos="k", title="title", authors="CASE id % 3 WHEN 0 THEN 'Cy Poe' WHEN 1 THEN 'Cy Poe; Di Eve' ELSE 'Di Eve' END", year="1990 + id % 20 + 1 + 2 * k", venue="CASE WHEN id % 2 = 0 THEN 'V1' ELSE 'V3' END", doi="''", times="[0, 1]", keep="id % 10 <> 0"),
+    "s2_records": _expected("s2", rec_id="'p' || id", pos="0", title="title", authors="'Fay Orr; Gus Ray'", year="CASE WHEN id % 4 > 1 THEN 1990 + id % 20 END", venue="'W'", doi="CASE WHEN id % 3 = 1 THEN '10.1/' || id END", arxiv_id="CASE WHEN id % 3 = 2 THEN '2001.00001' END", citation_count="id % 9", keep="id % 10 <> 0"),
+    "openalex_records": _expected("openalex", rec_id="'W' || id", pos="0", title="CASE WHEN id % 7 = 0 THEN '' ELSE title END", authors="'Hal Sun'", year="2000 + id % 20", venue="CASE WHEN id % 3 = 0 THEN '' ELSE 'X' END", doi="CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN '10.2/' || id ELSE 'HTTPS://doi.org/10.2/' || id END", citation_count="id % 11", is_retracted="id % 13 = 0", keep="id % 10 <> 0"),
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import matchers as M
 from ..functions import text as T
 from ..operators import autofix, feedback, injection, lookup, references, report, similarity, texaudit, verdict
+from ..sources import records
 from .inputs import load
 
 
@@ -84,8 +85,8 @@ def arxiv_lookup(spark, d):
 
 
 def title_search_top1(spark, d):
-    hits = lookup.search_titles(_entries(spark, d), load(spark, d, "catalog"), "dblp").where("form = 0")
-    return hits.select("id", "rec.rec_id", "similarity", "rank")
+    hits = lookup.search_titles(_entries(spark, d), load(spark, d, "catalog"), ("dblp",))
+    return hits.select("id", F.col("form").cast("long").alias("form"), "rec.rec_id", "similarity", "rank")
 
 
 def _gathered(spark, d):
@@ -134,6 +135,18 @@ def markdown_report(spark, d):
     return report.markdown(r, tex, similarity.duplicate_issues(_entries(spark, d)))
 
 
+def _parsed(source):
+    def query(spark, d):
+        rows = records.PARSERS[source](load(spark, d, f"answers_{source}"))
+        return rows.select("asked", "rec_id", "pos", "title", F.array_join("authors", "; ").alias("authors"), "year", "venue", "doi", "arxiv_id", "citation_count", "is_retracted", "lookup_error")
+
+    query.__name__ = f"{source}_records"
+    return query
+
+
+RECORDS = [_parsed(s) for s in records.PARSERS]
+
+
 def cite_extract(spark, d):
     return load(spark, d, "tex").select("conv_id", "turn", F.array_join(F.array_sort(texaudit.cited_keys(F.col("text"))), ",").alias("keys"))
 
@@ -231,4 +244,4 @@ def feedback_latest(spark, d):
     return feedback.latest(load(spark, d, "feedback"), 20).select("file", "issue", "severity")
 
 
-QUERIES = {f.__name__: f for f in (token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_verdict, ref_split, ref_parse, bib_render, resolve_refs, autofixed, feedback_stats, feedback_latest)}
+QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_verdict, ref_split, ref_parse, bib_render, resolve_refs, autofixed, feedback_stats, feedback_latest)}

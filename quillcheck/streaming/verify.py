@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import verdict
+from ..operators import lookup, verdict
 
 
 def verify_stream(entries: DataFrame, catalog: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Start the stream; ``entries`` is a streaming DataFrame with the entries' columns."""
+    """Start the stream; ``entries`` is a streaming DataFrame with the entries' columns. The catalog's titles are prepared once, for all batches."""
+    side = lookup.prepared(catalog)
 
     def batch(rows: DataFrame, number: int) -> None:
-        verdict.verify(rows, catalog).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        verdict.verify(rows, catalog, side).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return entries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
