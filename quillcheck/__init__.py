@@ -8,16 +8,24 @@ import zipfile
 
 __version__ = "0.1.0"
 
+#: What users call; see ``quillcheck.api``.
+EXPORTS = (
+    "verify_bib", "verify_entry", "VerificationResult", "parse_bib", "audit_tex_bib", "detect_duplicates", "generate_report", "generate_fixed_bib",
+    "log_feedback", "show_feedback", "feedback_stats", "extract_refs_from_pdf", "pdf_to_bib", "scan_pdf", "format_scan_report", "ScanResult",
+)
 
-#: Rows of an Arrow batch at most; texts may be long, and a batch is in memory several times.
-BATCH_ROWS = 1000
+
+def __getattr__(name: str):
+    if name in EXPORTS:
+        from . import api
+
+        return getattr(api, name)
+    raise AttributeError(name)
 
 
 def ship(spark) -> None:
-    """Send this package to the executors' Python workers, once in a Spark application, and bound the session's Arrow batches."""
+    """Send this package to the executors' Python workers, once in a Spark application."""
     sc = spark.sparkContext
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_quillcheck_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))

@@ -11,20 +11,14 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import __version__, ship
-from .operators import feedback
+from .operators import feedback, report
 from .plans import verify as plans
-from .sources import files
 
 _FEEDBACK = "QUILLCHECK_FEEDBACK_DIR"
 
 
-def _pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path) if path.endswith(".parquet") else files.read_pdf_pages(spark, path)
-
-
 def _write(text: str, path: str | None) -> None:
     if path:
         with open(path, "w", encoding="utf-8") as out:
@@ -33,8 +27,16 @@ def _write(text: str, path: str | None) -> None:
         print(text)
 
 
+def _counts(results: DataFrame) -> str:
+    n = report.status_counts(results).first()
+    return f"{report.ICONS['OK']} {n['ok']}  {report.ICONS['WARN']} {n['warn']}  {report.ICONS['FAIL']} {n['fail']}  ({n['total']} entries)"
+
+
 def _verify(spark: SparkSession, a: argparse.Namespace) -> int:
     made = plans.verify_bib(spark, a.bib, spark.read.parquet(a.catalog), a.tex)
+    print(_counts(made["results"]))
+    for r in report.fail_summary(made["results"]).orderBy("file", "ord").toLocalIterator():
+        print(f"  {report.ICONS['FAIL']} {r['key']} \u2014 {r['reason']}")
     kind = "json" if a.json else "markdown"
     _write("\n".join(r["report"] for r in made[kind].orderBy("file").toLocalIterator()), a.out)
     if a.fix:
@@ -44,33 +46,58 @@ def _verify(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
-    found, verdicts = plans.scan_pages(_pages(spark, a.pdf), None, visible=not a.no_visible, hidden=not a.no_hidden, metadata=not a.no_metadata)
-    rows = found.orderBy("doc", "seq").drop("seq")
-    lines = rows.select(F.to_json(F.struct("*")).alias("x")) if a.json else rows.select(F.concat_ws("  ", "severity", F.concat(F.lit("page "), F.col("page").cast("string")), "description", F.substring("text_snippet", 1, 120)).alias("x"))
-    _write("\n".join([*(r["x"] for r in lines.toLocalIterator()), *(f"{r['doc']}: {r['verdict']}" for r in verdicts.orderBy("doc").toLocalIterator())]), a.out)
-    return int(not verdicts.where("verdict = 'FAIL'").isEmpty())
+    meta = spark.read.parquet(a.meta) if a.meta else plans.read_metadata(spark, a.pdf)
+    found, summary = plans.scan_pages(plans.read_pages(spark, a.pdf), meta, visible=not a.no_visible, hidden=not a.no_hidden, metadata=not a.no_metadata)
+    summary = summary.orderBy("doc")
+    for r in summary.select("doc", report.scan_line(summary).alias("line")).toLocalIterator():
+        print(f"{r['doc']}: {r['line']}")
+    made = report.scan_json(summary, found) if a.json else report.scan_report(summary, found)
+    _write("\n".join(r["report"] for r in made.orderBy("doc").toLocalIterator()), a.out)
+    return int(not summary.where("verdict = 'FAIL'").isEmpty())
 
 
 def _pdf(spark: SparkSession, a: argparse.Namespace) -> int:
-    pages = _pages(spark, a.pdf)
-    if not a.no_scan and not plans.scan_pages(pages)[1].where("verdict = 'FAIL'").isEmpty():
+    pages = plans.read_pages(spark, a.pdf)
+    if not a.no_scan and not plans.scan_pages(pages, plans.read_metadata(spark, a.pdf))[1].where("verdict = 'FAIL'").isEmpty():
         print("The document holds instructions aimed at reviewers; stopped.", file=sys.stderr)
         return 1
-    log, bib = plans.references_to_bib(pages, spark.read.parquet(a.catalog))
+    try:
+        log, bib = plans.references_to_bib(pages, spark.read.parquet(a.catalog))
+    except ValueError as e:
+        print(f"{a.pdf}: {e}", file=sys.stderr)
+        return 2
     print(f"{log.where('resolved_by is not null').count()} of {log.count()} references resolved")
+    for r in log.where("resolved_by is null").orderBy("doc", "index").toLocalIterator():
+        print(f"  {report.ICONS['FAIL']} {r['title_guess'] or r['raw'][:60]}")
     if a.bib_out:
         _write("\n".join(r["bibtex"] for r in bib.orderBy("doc").toLocalIterator()), a.bib_out)
         if a.verify:
-            return _verify(spark, argparse.Namespace(bib=a.bib_out, tex=None, out=a.out, fix=None, json=a.json, catalog=a.catalog))
+            results = plans.verify_bib(spark, a.bib_out, spark.read.parquet(a.catalog))["results"]
+            print(_counts(results))
+            return int(not results.where("overall = 'FAIL'").isEmpty())
     return 0
 
 
 def _feedback(spark: SparkSession, a: argparse.Namespace) -> int:
-    if a.issue:
+    if not (a.show or a.stats):
+        if not a.issue:
+            print("--issue is needed (or --show, --stats)", file=sys.stderr)
+            return 2
         print(feedback.log_feedback(a.dir, a.issue, a.severity, context=a.context, tag=a.tag, bib_file=a.bib, expected=a.expected, actual=a.actual))
-    elif os.path.isdir(a.dir):
-        rows = feedback.read_feedback(spark, a.dir)
-        (feedback.stats(rows) if a.stats else feedback.latest(rows, a.last)).show(1000, False)
+        return 0
+    found = os.path.isdir(a.dir) and any(n.endswith(".json") for n in os.listdir(a.dir))
+    rows = feedback.read_feedback(spark, a.dir) if found else None
+    if a.stats:
+        print(", ".join(f"{r['severity']}: {r['records']}" for r in feedback.stats(rows).toLocalIterator()) if found else "total: 0")
+        return 0
+    shown = 0
+    for r in feedback.latest(rows, a.last).toLocalIterator() if found else ():
+        print(f"[{(r['timestamp'] or '?')[:19]}] {(r['severity'] or '?').upper():>10}  {r['issue'] or ''}")
+        if r["context"]:
+            print(f"{'':14}context: {r['context']}")
+        shown += 1
+    if not shown:
+        print("No feedback recorded yet.")
     return 0
 
 
@@ -84,9 +111,11 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument(flag)
     v.add_argument("--catalog", required=True)
     v.add_argument("--json", action="store_true")
+    v.add_argument("-w", "--workers", type=int, help="taken for the sake of old command lines; Spark's tasks do the work")
     s = sub.add_parser("scan", help="look for instructions aimed at reviewers")
     s.add_argument("pdf")
     s.add_argument("--out")
+    s.add_argument("--meta", help="Parquet table of the documents' metadata")
     for flag in ("--json", "--no-visible", "--no-hidden", "--no-metadata"):
         s.add_argument(flag, action="store_true")
     p = sub.add_parser("pdf", help="extract references")

@@ -117,7 +117,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(sizes, lambda n: F.when((n["a"] == 0) | (n["b"] == 0), 0.0).otherwise(n["both"] / (n["a"] + n["b"] - n["both"])))
 
 
-def title_similarity(a: Column, b: Column) -> Column:
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Token-set ratio (0 to 1) of the library RapidFuzz, where the workers have it; raises ImportError where this process has not."""
+    import importlib.util
+
+    if importlib.util.find_spec("rapidfuzz") is None:
+        raise ImportError("The token-set ratio needs RapidFuzz; without it, titles are compared by their token sets")
+
+    @F.arrow_udf("double")
+    def ratio(lefts, rights):
+        import pyarrow as pa
+        from rapidfuzz import fuzz
+
+        return pa.array([fuzz.token_set_ratio(x or "", y or "") / 100 for x, y in zip(lefts.to_pylist(), rights.to_pylist())], pa.float64())
+
+    return ratio(strip_latex(a), strip_latex(b))
+
+
+def title_similarity(a: Column, b: Column, fuzzy: bool = False) -> Column:
+    """Similarity of two titles: Jaccard of their token sets, or with ``fuzzy`` the token-set ratio."""
+    if fuzzy:
+        return token_set_ratio(a, b)
     return let({"a": tokens(strip_latex(a)), "b": tokens(strip_latex(b))}, lambda s: jaccard(s["a"], s["b"]))
 
 

@@ -44,7 +44,8 @@ def latest(feedback: DataFrame, last: int | None = None) -> DataFrame:
 
 
 def stats(feedback: DataFrame) -> DataFrame:
-    """Records of each severity (zero where there are none; no severity counts as minor): severity, records."""
+    """Records of each severity (zero where there are none; no severity counts as minor) and of all (``total``): severity, records."""
     counts = feedback.groupBy(F.coalesce("severity", F.lit("minor")).alias("severity")).agg(F.count("*").alias("n"))
     known = feedback.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")
-    return known.join(counts, "severity", "full_outer").select("severity", F.coalesce("n", F.lit(0)).cast("long").alias("records"))
+    each = known.join(counts, "severity", "full_outer").select("severity", F.coalesce("n", F.lit(0)).cast("long").alias("records"))
+    return each.unionByName(counts.agg(F.lit("total").alias("severity"), F.coalesce(F.sum("n"), F.lit(0)).alias("records")))

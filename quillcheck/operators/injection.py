@@ -184,7 +184,7 @@ def scan(pages: DataFrame, meta: DataFrame | None = None, visible: bool = True,
         parts.append(invisible_findings(pages))
     if hidden:
         parts += [hidden_findings(pages), annotation_findings(pages), offpage_findings(pages)]
-    every = parts[0]
+    every = parts[0] if parts else invisible_findings(pages).limit(0)  # nothing is asked for
     for p in parts[1:]:
         every = every.unionByName(p)
     # seq is by page first within the page steps
@@ -200,3 +200,10 @@ def verdicts(findings: DataFrame, docs: DataFrame) -> DataFrame:
     counts = findings.groupBy("doc").agg(F.count_if(F.col("severity") == "FAIL").alias("fail_count"), F.count_if(F.col("severity") == "WARN").alias("warn_count"))
     out = docs.select("doc").join(counts, "doc", "left").na.fill(0, ["fail_count", "warn_count"])
     return out.select("doc", F.when(F.col("fail_count") > 0, "FAIL").when(F.col("warn_count") > 0, "WARN").otherwise("CLEAN").alias("verdict"), "fail_count", "warn_count")
+
+
+def summary(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per document of ``pages``: verdict, fail_count, warn_count, pages_scanned and hidden_text_blocks (repeats counted)."""
+    size = pages.groupBy("doc").agg(F.count("*").alias("pages_scanned"))
+    hidden = hidden_spans(pages).groupBy("doc").agg(F.count("*").alias("hidden_text_blocks"))
+    return verdicts(findings, size).join(size, "doc").join(hidden, "doc", "left").na.fill(0, ["hidden_text_blocks"])

@@ -28,6 +28,11 @@ def first_fail(checks: Column) -> Column:
     return F.coalesce(F.get(F.filter(checks, lambda c: c["status"] == "FAIL"), F.lit(0))["field"], F.lit("unknown"))
 
 
+def fail_summary(results: DataFrame) -> DataFrame:
+    """The entries that failed, and the first failed check of each: file, ord, key, reason."""
+    return results.where("overall = 'FAIL'").select("file", "ord", "key", first_fail(F.col("checks")).alias("reason"))
+
+
 def _icon(status: Column) -> Column:
     out = F.lit("\u2753")
     for k, v in ICONS.items():
@@ -85,9 +90,66 @@ def markdown(results: DataFrame, tex_issues: DataFrame | None = None, dup_issues
     return out.select("file", F.array_join(whole, "\n").alias("report"))
 
 
-def json_report(results: DataFrame, version: str) -> DataFrame:
-    """One JSON document a bibliography file: file, report."""
-    fields = ("key", "title", "overall", "sources_tried", "sources_hit", "checks", "suggested_fixes")
-    counts = F.struct(F.count("*").alias("total"), *(F.count_if(F.col("overall") == s).alias(s.lower()) for s in ICONS))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("r")))), lambda x: x["r"])
-    return results.groupBy("file").agg(counts.alias("summary"), rows.alias("results")).select("file", F.to_json(F.struct(F.lit(version).alias("version"), "file", "summary", "results")).alias("report"))
+def _issues(results: DataFrame, issues: DataFrame | None, name: str, order: Column) -> DataFrame:
+    """Issues of each file as an array of (type, category, key, message), in order."""
+    files = results.select("file").distinct()
+    none = F.array().cast("array<struct<type:string,category:string,key:string,message:string>>")
+    if issues is None:
+        return files.withColumn(name, none)
+    own = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct("type", "category", "key", "message").alias("i")))), lambda x: x["i"])
+    return files.join(issues.groupBy("file").agg(own.alias(name)), "file", "left").withColumn(name, F.coalesce(name, none))
+
+
+def json_report(results: DataFrame, version: str, tex_issues: DataFrame | None = None, dup_issues: DataFrame | None = None, elapsed: float | None = None) -> DataFrame:
+    """One JSON document a bibliography file: file, report. ``elapsed`` are the seconds that the verification took."""
+    fields = ("key", "title", "overall", "sources_tried", "sources_hit", "checks")
+    fixes = F.map_from_entries("suggested_fixes").alias("suggested_fixes")
+    seconds = [] if elapsed is None else [F.lit(round(elapsed, 1)).alias("elapsed_seconds")]
+    counts = F.struct(F.count("*").alias("total"), *(F.count_if(F.col("overall") == s).alias(s.lower()) for s in ICONS), *(F.max(c).alias("elapsed_seconds") for c in seconds))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.to_json(F.struct(*fields, fixes)).alias("r")))), lambda x: x["r"])
+    each = results.groupBy("file").agg(F.to_json(counts.alias("s")).alias("summary"), F.array_join(rows, ",").alias("results"))
+    tex = _issues(results, tex_issues, "tex_issues", F.struct(F.when(F.col("category") == "phantom_ref", 0).otherwise(1).alias("a"), F.col("key").alias("b")))
+    dup = _issues(results, dup_issues, "dup_issues", F.struct(F.col("i").alias("a"), F.col("j").alias("b")) if dup_issues is not None else F.lit(0))
+    all_ = each.join(tex, "file").join(dup, "file")
+    head = F.regexp_replace(F.to_json(F.struct(F.lit(version).alias("version"), F.col("file"))), r"\}$", "")
+    return all_.select("file", F.concat(head, F.lit(',"summary":'), "summary", F.lit(',"results":['), "results", F.lit('],"tex_issues":'), F.to_json("tex_issues"), F.lit(',"dup_issues":'), F.to_json("dup_issues"), F.lit("}")).alias("report"))
+
+
+# Signs of scan verdicts.
+SCAN_ICONS = {"FAIL": "\u2620\ufe0f", "WARN": "\u26a0\ufe0f", "CLEAN": "\u2705"}
+_PASSED = "No prompt injection detected. Paper passes integrity check."
+_REJECT = "**\u26d4 RECOMMENDATION: REJECT** -- This paper contains adversarial prompt injections targeting AI review systems. This constitutes academic misconduct and should be flagged to the program committee."
+
+
+def scan_line(summary: DataFrame) -> Column:
+    """One line on a scanned document; ``summary`` has verdict, fail_count, warn_count and pages_scanned."""
+    icon = F.when(F.col("verdict") == "FAIL", SCAN_ICONS["FAIL"]).when(F.col("verdict") == "WARN", SCAN_ICONS["WARN"] + " ").otherwise(SCAN_ICONS["CLEAN"])
+    return F.concat(icon, F.lit(" "), "verdict", F.lit(": "), F.col("fail_count").cast("string"), F.lit(" injection(s), "), F.col("warn_count").cast("string"), F.lit(" warning(s) in "), F.col("pages_scanned").cast("string"), F.lit(" pages"))
+
+
+def scan_report(summary: DataFrame, findings: DataFrame) -> DataFrame:
+    """One Markdown report a scanned document: doc, report. ``summary`` has doc, verdict, fail_count, warn_count, pages_scanned and
+    hidden_text_blocks, ``findings`` the rows of ``injection.scan``. A report holds one document, so it is put together in one row."""
+    none = F.array().cast("array<string>")
+    said = F.concat(F.lit("- **["), "category", F.lit("]** "), "description")
+    page = F.when(F.coalesce("page", F.lit(0)) != 0, F.concat(F.lit("  - Page: "), F.col("page").cast("string")))
+    text = F.when((F.col("severity") == "FAIL") & (F.coalesce("text_snippet", F.lit("")) != ""), F.concat(F.lit("  - Text: `"), F.substring(F.translate("text_snippet", "\n", " "), 1, 120), F.lit("`")))
+    lines = findings.select("doc", "seq", "severity", F.array_compact(F.array(said, page, text, F.lit(""))).alias("lines"))
+    own = lambda s: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("seq", "lines")))), lambda x: x["lines"])).alias(s)
+    out = summary.join(lines.groupBy("doc").agg(own("FAIL"), own("WARN")), "doc", "left")
+    value = lambda label, c: F.concat(F.lit(f"**{label}:** "), F.col(c).cast("string"))
+    head = F.array(F.lit("# Injection scan report"), F.lit(""), F.concat(F.lit("**File:** `"), F.col("doc").cast("string"), F.lit("`")), value("Pages scanned", "pages_scanned"), value("Hidden text blocks", "hidden_text_blocks"), value("Verdict", "verdict"), F.lit(""))
+    part = lambda s, label, n: F.when(F.col(n) > 0, F.concat(F.array(F.concat(F.lit(f"## {SCAN_ICONS[s]} {label} ("), F.col(n).cast("string"), F.lit(")")), F.lit("")), F.col(s))).otherwise(none)
+    foot = F.when(F.col("verdict") == "FAIL", F.array(F.lit("---"), F.lit(""), F.lit(_REJECT))).otherwise(none)
+    body = F.when(F.col("verdict") == "CLEAN", F.array(F.lit(_PASSED))).otherwise(F.concat(part("FAIL", "Injections Found", "fail_count"), part("WARN", "Warnings", "warn_count"), foot))
+    return out.select("doc", F.array_join(F.concat(head, body), "\n").alias("report"))
+
+
+def scan_json(summary: DataFrame, findings: DataFrame) -> DataFrame:
+    """One JSON document a scanned document: doc, report. Snippets have at most 200 characters."""
+    one = F.struct("severity", "category", "description", "page", F.substring("text_snippet", 1, 200).alias("text_snippet"), "location")
+    own = F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("f")))), lambda x: x["f"])
+    every = summary.join(findings.groupBy("doc").agg(own.alias("findings")), "doc", "left")
+    none = F.array().cast("array<struct<severity:string,category:string,description:string,page:int,text_snippet:string,location:string>>")
+    fields = F.struct("doc", "verdict", "fail_count", "warn_count", "pages_scanned", "hidden_text_blocks", F.coalesce("findings", none).alias("findings"))
+    return every.select("doc", F.to_json(fields).alias("report"))

@@ -210,7 +210,7 @@ ORACLES |= {
     "bib_render": f"""WITH c AS (SELECT * FROM ({C}) c WHERE source = 's2'), k AS (SELECT *, CASE WHEN len(authors) = 0 THEN 'ref' WHEN trim(authors[1]) = '' THEN 'unknown' ELSE regexp_replace(lower(list_last(string_split(trim(authors[1]), ' '))), '[^a-z]', '', 'g') END || coalesce(nullif(year, ''), 'xxxx') || '_' || pos AS key FROM c)
  SELECT pos AS id, key, '@article{{' || key || ',' || chr(10) || CASE WHEN title <> '' THEN '  title     = {{' || title || '}},' || chr(10) ELSE '' END || CASE WHEN array_to_string(authors, ' and ') <> '' THEN '  author    = {{' || array_to_string(authors, ' and ') || '}},' || chr(10) ELSE '' END || CASE WHEN coalesce(year, '') <> '' THEN '  year      = {{' || year || '}},' || chr(10) ELSE '' END || '  journal   = {{' || venue || '}},' || chr(10) || '  doi       = {{' || doi || '}},' || chr(10) || CASE WHEN coalesce(arxiv_id, '') <> '' THEN '  eprint    = {{' || arxiv_id || '}},' || chr(10) || '  archiveprefix = {{arXiv}},' || chr(10) ELSE '' END || '}}' AS entry FROM k""",
     "autofixed": f"""SELECT id AS file, '% file' || chr(10) || '@' || type || '{{' || key || ',' || chr(10) || '  title = {{' || regexp_replace(title, '[{{}}]', '', 'g') || '}},' || chr(10) || '  year = {{' || year || '}}' || CASE WHEN id % 2 = 1 OR id % 3 <> 2 THEN ',' ELSE '' END || chr(10) || CASE WHEN id % 2 = 0 THEN chr(10) ELSE '' END || CASE WHEN id % 3 <> 2 THEN '  doi = {{10.1/' || key || '}},' || chr(10) ELSE '' END || '}}' || chr(10) || 'tail' AS text FROM ({E}) e""",
-    "feedback_stats": f"SELECT s.severity, count(f.file) AS records FROM (VALUES ('critical'), ('major'), ('minor'), ('suggestion')) s(severity) LEFT JOIN ({sql('feedback', True)}) f ON coalesce(f.severity, 'minor') = s.severity GROUP BY s.severity",
+    "feedback_stats": f"SELECT s.severity, count(f.file) AS records FROM (VALUES ('critical'), ('major'), ('minor'), ('suggestion')) s(severity) LEFT JOIN ({sql('feedback', True)}) f ON coalesce(f.severity, 'minor') = s.severity GROUP BY s.severity UNION ALL SELECT 'total', count(*) FROM ({sql('feedback', True)}) f",
     "feedback_latest": f"SELECT file, issue, severity FROM ({sql('feedback', True)}) f ORDER BY file DESC LIMIT 20",
 }
 

@@ -97,7 +97,12 @@ def scan(text: str) -> list[tuple[str, str, dict[str, str]]]:
 
 
 def read_bib(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of BibTeX files, typed: file, ord and the columns that the lookups take, with all fields in ``raw``."""
+    """Entries of BibTeX files; see ``parse_texts``."""
+    return parse_texts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+
+
+def parse_texts(files: DataFrame) -> DataFrame:
+    """Entries of BibTeX texts (file, text), typed: file, ord and the columns that the lookups take, with all fields in ``raw``."""
 
     def parse(batches):
         import pyarrow as pa
@@ -107,8 +112,7 @@ def read_bib(spark: SparkSession, path: str) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([list(r[k].items()) if k == 4 else r[k] for r in rows], t) for k, t in enumerate(kinds)], ["file", "ord", "key", "type", "raw"])
 
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return typed(files.mapInArrow(parse, _RAW))
+    return typed(files.select("file", "text").mapInArrow(parse, _RAW))
 
 
 def typed(raw: DataFrame) -> DataFrame:

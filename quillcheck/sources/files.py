@@ -41,6 +41,32 @@ def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, PAGES)
 
 
+META = "doc string, title string, author string, subject string, keywords string, creator string, producer string"
+
+
+def read_pdf_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata of PDF files, where the library PyMuPDF is installed on the workers; raises ImportError as ``read_pdf_pages`` does."""
+    try:
+        import fitz  # noqa: F401
+    except ImportError as e:
+        raise ImportError("Reading PDF files needs PyMuPDF; without it, pass metadata as a DataFrame") from e
+
+    names = [c.split()[0] for c in META.split(", ")]
+
+    def parse(batches):
+        import fitz
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"]):
+                found = fitz.open(stream=content, filetype="pdf").metadata or {}
+                rows.append((name, *(found.get(n) or "" for n in names[1:])))
+            yield pd.DataFrame(rows, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, META)
+
+
 def document_text(pages: DataFrame) -> DataFrame:
     """Pages (doc, page, text) as whole documents: doc, text, a line feed after each page."""
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))

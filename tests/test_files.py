@@ -50,7 +50,7 @@ def test_feedback(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     rows = feedback.read_feedback(spark, str(tmp_path))
     assert [r["issue"] for r in feedback.latest(rows).collect()] == ["wrong"]
-    assert {r["severity"]: r["records"] for r in feedback.stats(rows).collect()} == {"critical": 0, "major": 1, "minor": 0, "suggestion": 0}
+    assert {r["severity"]: r["records"] for r in feedback.stats(rows).collect()} == {"critical": 0, "major": 1, "minor": 0, "suggestion": 0, "total": 1}
     with pytest.raises(ValueError):
         feedback.record("x", "huge")
 
