@@ -18,9 +18,10 @@ tab, form feed and carriage return.
    of (shard, position), as ``shuffled`` deals them, are shuffled within the shard.
 
 All choices come from md5 of ids (of the text where the id is null), so reruns agree, and repeated rows are interchangeable:
-equal ids of one source share a part, where ties go by size. Documents are counted by (source, block, part) before anything moves,
-and joined to the plan by all three, so a source with most rows is spread over ``BLOCKS`` squared parts. Slots are bounded by
-``BLOCKS`` times twice the number of sources, the plan by ``BLOCKS`` squared times that number. Null texts have size 0 and
+equal ids of one source share a part, where ties go by size. Documents are counted by (source, block, part) before anything moves.
+What becomes of a document follows from its block, but for the one block of a source that is drawn in part: only its documents are
+joined to parts and sorted. Slots are bounded by ``BLOCKS`` times twice the number of sources, the plan by ``BLOCKS`` times that number, with
+``BLOCKS`` parts a source. Null texts have size 0 and
 take 0 words; a null source is a source of its own; an empty table gives an empty result; other columns are left alone (``keep``).
 """
 
@@ -35,6 +36,8 @@ WEIGHTS = (5, 2, 1)
 EPOCHS, LIMIT = 1.5, 2
 #: Blocks of a source and parts of a block (two digits of a hash), and levels of the splitting tree (shards are a power of two).
 BLOCKS, LEVELS = 256, 4
+#: Blocks of which a part is drawn; of the others it is all or nothing.
+PARTLY = "draws > 0 AND draws < words"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,8 +73,9 @@ def targets(sources: DataFrame) -> DataFrame:
     return t.select("source", "source_size", target.alias("target"))
 
 
-def plan(rows: DataFrame) -> DataFrame:
-    """For each source, block and part: its words, the passes that take it whole, what is drawn of it besides, and the block's shards."""
+def plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables: for each source and block its words, the passes that take it whole, what is drawn of it besides, and its shards; and for
+    each part of a block that is drawn in part, the part's words and what is drawn of them."""
     parts = rows.groupBy("source", "block", "part").agg(F.sum("size").alias("own"))
     blocks = parts.groupBy("source", "block").agg(F.sum("own").alias("words"))
     sources = blocks.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -102,28 +106,35 @@ def plan(rows: DataFrame) -> DataFrame:
     dealt = s.join(r, F.col("s.source").eqNullSafe(F.col("r.source")) & (F.col("s.slot") == F.col("r.slot"))).select("s.source", "s.block", "pass", "shard")
     shards = dealt.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"].cast("int")).alias("shards"))
     p = b.alias("p").join(shards.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.block") == F.col("s.block")), "left")
-    p = p.select("p.source", "p.block", "source_size", "target", "passes", "draws", "shards")
+    p = p.select("p.source", "p.block", "words", "source_size", "target", "passes", "draws", "shards").checkpoint()
     # what a block gives, its parts give in a permuted order
+    some = p.where(PARTLY).select("source", "block", "draws")
+    each = parts.alias("w").join(some.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source")) & (F.col("w.block") == F.col("p.block"))).select("w.source", "w.block", "part", "own", "draws")
     turn = Window.partitionBy("source", "block").orderBy(_md5(F.lit("part"), name, F.col("block"), F.col("part")), "part")
-    earlier = F.coalesce(F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = parts.alias("w").join(p.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source")) & (F.col("w.block") == F.col("p.block")))
-    each = each.select("w.source", "w.block", "part", F.col("own").alias("words"), "source_size", "target", "passes", "draws", "shards")
-    return each.withColumn("draws", F.greatest(F.lit(0.0), F.least(F.col("draws") - earlier, F.col("words").cast("double"))))
+    earlier = F.coalesce(F.sum("own").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = F.greatest(F.lit(0.0), F.least(F.col("draws") - earlier, F.col("own").cast("double")))
+    return p, each.select("source", "block", "part", F.col("own").alias("part_words"), drawn.alias("part_draws")).checkpoint()
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``docs``: key, size, source_size, target, copies (0 to 2), taken (words), and the shard and position of each
     copy (``shards``, ``positions``). With ``keep``, these columns come along in a struct ``row``."""
     shared_dir(docs.sparkSession)
-    rows = sized(docs, key, text, source, keep).checkpoint()
-    p = plan(rows).checkpoint()
-    r = rows.alias("r").join(p.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.block") == F.col("p.block")) & (F.col("r.part") == F.col("p.part")))
+    rows = sized(docs, key, text, source).checkpoint()
+    p, parts = plan(rows)
+    if keep:  # other columns, texts as a rule, are read again instead of written and shuffled
+        rows = sized(docs, key, text, source, keep)
     row = ["row"] if keep else []
-    r = r.select("key", "r.source", "r.block", "r.part", "size", "digest", "source_size", "target", "passes", "draws", "words", "shards", *row)
+    r = rows.alias("r").join(p.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.block") == F.col("p.block")))
+    r = r.select("key", "r.source", "r.block", "part", "size", "digest", "source_size", "target", "passes", "draws", "words", "shards", *row)
+    whole = r.where(f"NOT ({PARTLY})").withColumn("drawn", F.col("draws") > 0)
+    some = r.where(PARTLY).alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.block") == F.col("p.block")) & (F.col("r.part") == F.col("p.part")))
+    some = some.select("r.*", "part_words", "part_draws")
     order = Window.partitionBy("source", "block", "part").orderBy("digest", "key", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = (F.col("draws") > 0) & ((F.col("draws") >= F.col("words")) | (before + F.col("size") / 2 <= F.col("draws")))
-    r = r.withColumn("copies", F.col("passes") + drawn.cast("int"))
+    drawn = (F.col("part_draws") > 0) & ((F.col("part_draws") >= F.col("part_words")) | (before + F.col("size") / 2 <= F.col("part_draws")))
+    r = whole.unionByName(some.withColumn("drawn", drawn).drop("part_words", "part_draws"))
+    r = r.withColumn("copies", F.col("passes") + F.col("drawn").cast("int"))
     r = r.withColumn("shards", F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("copies")))
     position = lambda shard, i: F.conv(F.substring(_md5(F.lit("position"), shard, i, F.col("digest")), 1, 15), 16, 10).cast("long")
     return r.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards", F.transform("shards", position).alias("positions"), *row)
