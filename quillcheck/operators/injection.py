@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,15 +19,39 @@ def regex(pattern: str) -> str:
     return "(?iu)" + T.spelled(pattern)
 
 
-def pattern_counts(c: Column) -> list[Column]:
-    """How often each pattern occurs, as columns p01, p02, ..."""
-    return [F.regexp_count(c, F.lit(regex(p))).cast("long").alias(f"p{k:02d}") for k, (p, _, _) in enumerate(INJECTIONS, 1)]
+#: For each pattern, words of which any match has one: a cheap look for them comes before the pattern.
+_WORDS = (
+    ("previous",), ("disregard",), ("forget",), ("reviewer",), ("reviewer",), ("must",), ("role",), ("score", "rating", "grade"), ("score", "10"), ("accept",), ("recommend",),
+    ("weakness", "flaw", "issue", "problem", "limitation"), ("section",), ("weakness",), ("prompt", "instruction", "guidelines"), ("prompt", "instruction", "guidelines"),
+    ("json", "xml", "markdown", "following"), ("begin",), ("dan", "anything", "developer", "unrestricted"), ("[system]", "[inst]", "<<sys>>", "<|im_start|>", "<|system|>"),
+    ("excellent", "great", "strong", "outstanding"), ("important", "note", "instruction"),
+)
+
+
+def folded(c: Column) -> Column:
+    """Lower case, with the four other characters that match ASCII letters where case is ignored."""
+    return F.lower(F.translate(c, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def _may(low: Column, number: int) -> Column:
+    """Whether pattern ``number`` (from 0) may occur in a text, by its folded form."""
+    out = F.lit(False)
+    for word in _WORDS[number]:
+        out = out | low.contains(word)
+    return out
+
+
+def pattern_counts(c: Column, low: Column | None = None) -> list[Column]:
+    """How often each pattern occurs, as columns p01, p02, ...; ``low`` is ``folded(c)``, where it is a column already."""
+    low = folded(c) if low is None else low
+    return [F.when(_may(low, k - 1), F.regexp_count(c, F.lit(regex(p)))).otherwise(F.when(c.isNotNull(), 0)).cast("long").alias(f"p{k:02d}") for k, (p, _, _) in enumerate(INJECTIONS, 1)]
 
 
-def any_pattern(c: Column) -> Column:
+def any_pattern(c: Column, low: Column | None = None) -> Column:
+    low = folded(c) if low is None else low
     out = F.lit(False)
-    for p, _, _ in INJECTIONS:
-        out = out | c.rlike(regex(p))
+    for k, (p, _, _) in enumerate(INJECTIONS):
+        out = out | _may(low, k) & c.rlike(regex(p))
     return out
 
 
@@ -51,25 +77,37 @@ def _places(c: Column, pattern: str, number: int, description: str, severity: st
     return T.let({"c": c, "every": F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), "parts": F.split(c, pattern, -1)}, cut)
 
 
-def matches(c: Column) -> Column:
+def matches(c: Column, low: Column | None = None) -> Column:
     """All matches of all patterns: array of (pattern, nth, severity, description, snippet), in the order of patterns and places.
 
     A match's place follows from the lengths of the pieces around the matches, so no Python is needed.
     """
-    found = []
+    low, found = folded(c) if low is None else low, []
     for k, (p, description, severity) in enumerate(INJECTIONS, 1):
-        found.append(F.when(c.rlike(regex(p)), _places(c, regex(p), k, description, severity)).otherwise(F.array().cast(_MATCHES)))
+        found.append(F.when(_may(low, k - 1) & c.rlike(regex(p)), _places(c, regex(p), k, description, severity)).otherwise(F.array().cast(_MATCHES)))
     return F.concat(*found)
 
 
-def text_findings(rows: DataFrame, text: str, location: Column, page: Column, seq: int) -> DataFrame:
-    """Pattern findings of a text column: doc, seq, severity, category, description, page, text_snippet, location."""
-    each = rows.where(any_pattern(F.col(text))).select("doc", page.alias("page"), location.alias("location"), F.explode(matches(F.col(text))).alias("m"))
+def _texts(rows: DataFrame, text: Column, step: int, item: Column, location: Column, page: Column | None = None) -> DataFrame:
+    """Texts to look for patterns in: doc, step, page, item, location, text."""
+    return rows.select("doc", F.lit(step).alias("step"), (F.col("page") if page is None else page).cast("int").alias("page"), item.cast("int").alias("item"), location.alias("location"), text.alias("text"))
+
+
+def pattern_findings(texts: DataFrame) -> DataFrame:
+    """Pattern findings of texts as ``_texts`` gives them: doc, seq, severity, category, description, page, text_snippet, location."""
+    rows = texts.where("text <> ''").withColumn("low", folded(F.col("text")))
+    rows = rows.where(any_pattern(F.col("text"), F.col("low")))
+    each = rows.select("doc", "step", "page", "item", "location", F.explode(matches(F.col("text"), F.col("low"))).alias("m"))
     category = F.when(F.col("location").startswith("page"), "visible_injection").otherwise("metadata_injection")
-    order = F.struct(F.lit(seq).alias("step"), F.coalesce("page", F.lit(0)).alias("page"), F.lit(0).alias("item"), F.lit(1).alias("part"), F.col("m.pattern").alias("pattern"), F.col("m.nth").alias("nth"))
+    order = F.struct("step", F.coalesce("page", F.lit(0)).alias("page"), "item", F.lit(1).alias("part"), F.col("m.pattern").alias("pattern"), F.col("m.nth").alias("nth"))
     return each.select("doc", order.alias("seq"), F.col("m.severity").alias("severity"), category.alias("category"), F.col("m.description").alias("description"), "page", F.col("m.snippet").alias("text_snippet"), "location")
 
 
+def text_findings(rows: DataFrame, text: str, location: Column, page: Column, seq: int) -> DataFrame:
+    """Pattern findings of a text column; see ``pattern_findings``."""
+    return pattern_findings(_texts(rows, F.col(text), seq, F.lit(0), location, page))
+
+
 def invisible_runs(c: Column) -> Column:
     """Runs of five or more characters that do not show."""
     return F.regexp_extract_all(c, F.lit(f"{INVISIBLE}{{5,}}"), F.lit(0))
@@ -117,13 +155,20 @@ def hidden_spans(pages: DataFrame) -> DataFrame:
     return s.select("doc", "page", "item", "text", "reason", F.when(any_pattern(F.col("text")), "FAIL").otherwise("WARN").alias("severity"))
 
 
-def hidden_findings(pages: DataFrame, seq: int = 3) -> DataFrame:
+def _on_page(*rest: Column | str) -> Column:
+    return F.concat(F.lit("page "), F.col("page").cast("string"), *(F.lit(x) if isinstance(x, str) else x for x in rest))
+
+
+def _own(step: int) -> Column:
+    """The place of a finding that is no pattern's."""
+    return F.struct(F.lit(step).alias("step"), F.coalesce("page", F.lit(0)).alias("page"), F.col("item").cast("int").alias("item"), F.lit(0).alias("part"), F.lit(0).alias("pattern"), F.lit(0).alias("nth"))
+
+
+def hidden_texts(pages: DataFrame, seq: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Findings of hidden spans, and their texts for the patterns."""
     h = hidden_spans(pages)
-    order = lambda part, p, n: F.struct(F.lit(seq).alias("step"), F.coalesce("page", F.lit(0)).alias("page"), F.col("item").cast("int").alias("item"), F.lit(part).alias("part"), p.alias("pattern"), n.alias("nth"))
-    own = h.select("doc", order(0, F.lit(0), F.lit(0)).alias("seq"), "severity", F.lit("hidden_text").alias("category"), F.concat(F.lit("Hidden text detected ("), "reason", F.lit("): may contain adversarial instructions")).alias("description"), "page", F.substring("text", 1, 200).alias("text_snippet"), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(", "), F.col("reason")).alias("location"))
-    deep = h.where("severity = 'FAIL'").select("doc", "page", "item", F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" (hidden: "), F.col("reason"), F.lit(")")).alias("location"), F.explode(matches(F.col("text"))).alias("m"))
-    deep = deep.select("doc", order(1, F.col("m.pattern"), F.col("m.nth")).alias("seq"), F.col("m.severity").alias("severity"), F.lit("visible_injection").alias("category"), F.col("m.description").alias("description"), "page", F.col("m.snippet").alias("text_snippet"), "location")
-    return own.unionByName(deep)
+    own = h.select("doc", _own(seq).alias("seq"), "severity", F.lit("hidden_text").alias("category"), F.concat(F.lit("Hidden text detected ("), "reason", F.lit("): may contain adversarial instructions")).alias("description"), "page", F.substring("text", 1, 200).alias("text_snippet"), _on_page(", ", F.col("reason")).alias("location"))
+    return own, _texts(h.where("severity = 'FAIL'"), F.col("text"), seq, F.col("item"), _on_page(" (hidden: ", F.col("reason"), ")"))
 
 
 def offpage_blocks(pages: DataFrame) -> DataFrame:
@@ -135,21 +180,22 @@ def offpage_blocks(pages: DataFrame) -> DataFrame:
     return out.where(F.length(T.strip(F.col("text"))) > 10)
 
 
-def offpage_findings(pages: DataFrame, seq: int = 5) -> DataFrame:
+def offpage_texts(pages: DataFrame, seq: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Findings of blocks off the page, and their texts for the patterns."""
     o = offpage_blocks(pages)
-    order = lambda part, p, n: F.struct(F.lit(seq).alias("step"), F.coalesce("page", F.lit(0)).alias("page"), F.col("item"), F.lit(part).alias("part"), p.alias("pattern"), n.alias("nth"))
-    where = F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(", off-page at ("), F.format_string("%.0f", "x0"), F.lit(","), F.format_string("%.0f", "y0"), F.lit(")"))
-    own = o.select("doc", order(0, F.lit(0), F.lit(0)).alias("seq"), F.lit("FAIL").alias("severity"), F.lit("offpage_text").alias("category"), F.lit("Text positioned outside visible page area -- likely hidden adversarial content").alias("description"), "page", F.substring(T.strip(F.col("text")), 1, 200).alias("text_snippet"), where.alias("location"))
-    deep = o.where(any_pattern(F.col("text"))).select("doc", "page", "item", F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" (off-page)")).alias("location"), F.explode(matches(F.col("text"))).alias("m"))
-    deep = deep.select("doc", order(1, F.col("m.pattern"), F.col("m.nth")).alias("seq"), F.col("m.severity").alias("severity"), F.lit("visible_injection").alias("category"), F.col("m.description").alias("description"), "page", F.col("m.snippet").alias("text_snippet"), "location")
-    return own.unionByName(deep)
+    where = _on_page(", off-page at (", F.format_string("%.0f", "x0"), ",", F.format_string("%.0f", "y0"), ")")
+    own = o.select("doc", _own(seq).alias("seq"), F.lit("FAIL").alias("severity"), F.lit("offpage_text").alias("category"), F.lit("Text positioned outside visible page area -- likely hidden adversarial content").alias("description"), "page", F.substring(T.strip(F.col("text")), 1, 200).alias("text_snippet"), where.alias("location"))
+    return own, _texts(o, F.col("text"), seq, F.col("item"), _on_page(" (off-page)"))
+
+
+def annotation_texts(pages: DataFrame, seq: int = 4) -> DataFrame:
+    a = pages.select("doc", "page", F.posexplode("annotations").alias("item", "text"))
+    return _texts(a, F.col("text"), seq, F.col("item"), _on_page(", annotation"))
 
 
-def annotation_findings(pages: DataFrame, seq: int = 4) -> DataFrame:
-    a = pages.select("doc", "page", F.posexplode("annotations").alias("item", "text")).where(T.filled(F.col("text")) & any_pattern(F.col("text")))
-    each = a.select("doc", "page", "item", F.explode(matches(F.col("text"))).alias("m"))
-    order = F.struct(F.lit(seq).alias("step"), F.coalesce("page", F.lit(0)).alias("page"), F.col("item"), F.lit(1).alias("part"), F.col("m.pattern").alias("pattern"), F.col("m.nth").alias("nth"))
-    return each.select("doc", order.alias("seq"), F.col("m.severity").alias("severity"), F.lit("visible_injection").alias("category"), F.col("m.description").alias("description"), "page", F.col("m.snippet").alias("text_snippet"), F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(", annotation")).alias("location"))
+def annotation_findings(pages: DataFrame) -> DataFrame:
+    """Pattern findings of annotations."""
+    return pattern_findings(annotation_texts(pages))
 
 
 def metadata_fields(meta: DataFrame) -> DataFrame:
@@ -158,17 +204,21 @@ def metadata_fields(meta: DataFrame) -> DataFrame:
     return meta.select("doc", F.explode(fields).alias("f")).select("doc", "f.*").where("length(value) > 50")
 
 
-def metadata_findings(meta: DataFrame) -> DataFrame:
-    """Findings in long metadata fields, and a warning for very long ones."""
+def metadata_texts(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Warnings on very long metadata fields, and the texts of long ones for the patterns."""
     m = metadata_fields(meta)
-    order = lambda part, p, n: F.struct(F.lit(0).alias("step"), F.lit(0).alias("page"), F.col("place").alias("item"), F.lit(part).alias("part"), p.alias("pattern"), n.alias("nth"))
-    none = F.lit(None).cast("int").alias("page")
-    where = F.concat(F.lit("metadata."), F.col("field")).alias("location")
-    hits = m.where(any_pattern(F.col("value"))).select("doc", "place", "field", F.explode(matches(F.col("value"))).alias("m"))
-    hits = hits.select("doc", order(1, F.col("m.pattern"), F.col("m.nth")).alias("seq"), F.col("m.severity").alias("severity"), F.lit("metadata_injection").alias("category"), F.col("m.description").alias("description"), none, F.col("m.snippet").alias("text_snippet"), where)
-    long = m.where("length(value) > 500")
+    none = F.lit(None).cast("int")
+    where = F.concat(F.lit("metadata."), F.col("field"))
+    order = F.struct(F.lit(0).alias("step"), F.lit(0).alias("page"), F.col("place").alias("item"), F.lit(2).alias("part"), F.lit(0).alias("pattern"), F.lit(0).alias("nth"))
     said = F.concat(F.lit("Unusually long metadata field '"), "field", F.lit("' ("), F.length("value").cast("string"), F.lit(" chars) -- may contain hidden instructions"))
-    return hits.unionByName(long.select("doc", order(2, F.lit(0), F.lit(0)).alias("seq"), F.lit("WARN").alias("severity"), F.lit("metadata_injection").alias("category"), said.alias("description"), none, F.substring("value", 1, 200).alias("text_snippet"), where))
+    long = m.where("length(value) > 500").select("doc", order.alias("seq"), F.lit("WARN").alias("severity"), F.lit("metadata_injection").alias("category"), said.alias("description"), none.alias("page"), F.substring("value", 1, 200).alias("text_snippet"), where.alias("location"))
+    return long, _texts(m, F.col("value"), 0, F.col("place"), where, none)
+
+
+def metadata_findings(meta: DataFrame) -> DataFrame:
+    """Findings in long metadata fields, and a warning for very long ones."""
+    long, texts = metadata_texts(meta)
+    return pattern_findings(texts).unionByName(long)
 
 
 def scan(pages: DataFrame, meta: DataFrame | None = None, visible: bool = True, hidden: bool = True, metadata: bool = True) -> DataFrame:
@@ -176,17 +226,22 @@ def scan(pages: DataFrame, meta: DataFrame | None = None, visible: bool = True,
 
     Of findings alike in description, page and the first 50 characters of the snippet, the first stays.
     """
-    parts = []
+    texts, parts = [], []
     if metadata and meta is not None:
-        parts.append(metadata_findings(meta))
+        long, own = metadata_texts(meta)
+        texts, parts = [own], [long]
     if visible:
-        parts.append(text_findings(pages, "text", F.concat(F.lit("page "), F.col("page").cast("string")), F.col("page"), 1))
+        texts.append(_texts(pages, F.col("text"), 1, F.lit(0), _on_page()))
         parts.append(invisible_findings(pages))
     if hidden:
-        parts += [hidden_findings(pages), annotation_findings(pages), offpage_findings(pages)]
-    every = parts[0] if parts else invisible_findings(pages).limit(0)  # nothing is asked for
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        for own, deep in (hidden_texts(pages), offpage_texts(pages)):
+            parts.append(own)
+            texts.append(deep)
+        texts.append(annotation_texts(pages))
+    every = invisible_findings(pages).limit(0)  # where nothing is asked for
+    if texts:  # the patterns stand in the plan once, over all texts
+        every = pattern_findings(reduce(DataFrame.unionByName, texts))
+    every = reduce(DataFrame.unionByName, parts, every)
     # seq is by page first within the page steps
     seq = F.struct((F.col("seq.step") > 0).cast("int").alias("a"), F.col("seq.page").alias("b"), F.col("seq.step").alias("c"), F.col("seq.item").alias("d"), F.col("seq.part").alias("e"), F.col("seq.pattern").alias("f"), F.col("seq.nth").alias("g"))
     every = every.withColumn("seq", seq)

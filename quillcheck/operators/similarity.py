@@ -1,8 +1,9 @@
 """Exact token-similarity join by rare-first prefixes.
 
-Rows with the same token set are one side's group, so copies never multiply. Within a set, tokens stand in the order of
-their frequency over all sets, the rarest first. Two sets of Jaccard similarity t or more share a token among their first
-n - ceil(t n) + 1 tokens and differ in size by a factor of t at most; candidates that meet so are verified.
+Rows with the same token set are one side's group, so copies never multiply. Within a set, tokens stand in one order for all
+sets: those that are not among the ``FREQUENT`` most frequent first, then these, the most frequent last. Two sets of Jaccard similarity t or
+more share a token among their first n - ceil(t n) + 1 tokens, whatever the order is, and differ in size by a factor of t at most;
+candidates that meet so are verified. Only the list of frequent tokens goes to all tasks.
 """
 
 from __future__ import annotations
@@ -19,9 +20,19 @@ def set_key(tokens):
     return F.array_join(F.array_sort(tokens), " ")
 
 
+#: Tokens whose frequencies count, and the longest of them: the size of what is broadcast.
+FREQUENT, LONGEST = 20_000, 64
+
+
+def frequent_tokens(sets: DataFrame) -> DataFrame:
+    """The most frequent tokens of all sets: token, df. At most ``FREQUENT`` rows of at most ``LONGEST`` characters."""
+    each = sets.select(F.explode("tokens").alias("token")).where(F.length("token") <= LONGEST)
+    return cut(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "token").limit(FREQUENT))
+
+
 def _prefixes(sets: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
-    each = sets.select("set", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(often, "token")
-    ranked = each.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    each = sets.select("set", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(often), "token", "left")
+    ranked = each.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("order"))
     keep = F.col("n") - F.ceil(F.lit(threshold).cast("decimal(6,4)") * F.col("n")).cast("int") + 1
     return ranked.select("set", "n", F.explode(F.slice("order", F.lit(1), keep)).alias("o")).select("set", "n", "o.token")
 
@@ -34,7 +45,7 @@ def similar_sets(left: DataFrame, right: DataFrame | None, threshold: float) ->
     left = left.select("set", "tokens").where("size(tokens) > 0").dropDuplicates(["set"])
     other = left if right is None else right.select("set", "tokens").where("size(tokens) > 0").dropDuplicates(["set"])
     every = left if right is None else left.unionByName(other)
-    often = every.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    often = frequent_tokens(every)
     a = _prefixes(left, often, threshold).select("token", F.col("set").alias("a"), F.col("n").alias("na"))
     b = _prefixes(other, often, threshold).select("token", F.col("set").alias("b"), F.col("n").alias("nb"))
     t = F.lit(threshold).cast("decimal(6,4)")
