@@ -55,10 +55,10 @@ def any_pattern(c: Column, low: Column | None = None) -> Column:
     return out
 
 
-_MATCHES = "array<struct<pattern:int,nth:int,severity:string,description:string,snippet:string>>"
+_MATCHES = "array<struct<nth:int,snippet:string>>"
 
 
-def _places(c: Column, pattern: str, number: int, description: str, severity: str) -> Column:
+def _places(c: Column, pattern: Column) -> Column:
     """The matches of one pattern with their surroundings."""
 
     def cut(v: Column) -> Column:
@@ -68,24 +68,27 @@ def _places(c: Column, pattern: str, number: int, description: str, severity: st
             low = F.greatest(start - AROUND, F.lit(0))
             stop = start + F.length(v["every"][i])
             snippet = T.strip(F.substr(v["c"], low + 1, stop + AROUND - low))
-            item = F.struct(F.lit(number).alias("pattern"), (i + 1).alias("nth"), F.lit(severity).alias("severity"), F.lit(description).alias("description"), snippet.alias("snippet"))
-            return F.struct(stop.alias("end"), F.concat(acc["found"], F.array(item)).alias("found"))
+            return F.struct(stop.alias("end"), F.concat(acc["found"], F.array(F.struct((i + 1).alias("nth"), snippet.alias("snippet")))).alias("found"))
 
         none = F.struct(F.lit(0).alias("end"), F.array().cast(_MATCHES).alias("found"))
         return F.aggregate(F.sequence(F.lit(0), F.size(v["every"]) - 1), none, step, lambda acc: acc["found"])
 
-    return T.let({"c": c, "every": F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), "parts": F.split(c, pattern, -1)}, cut)
+    return T.let({"c": c, "every": F.regexp_extract_all(c, pattern, F.lit(0)), "parts": F.split(c, pattern, -1)}, cut)
 
 
-def matches(c: Column, low: Column | None = None) -> Column:
-    """All matches of all patterns: array of (pattern, nth, severity, description, snippet), in the order of patterns and places.
+def matches(rows: DataFrame, text: str) -> DataFrame:
+    """A row for each match of each pattern in a text column: the other columns, pattern, nth, severity, description and snippet.
 
-    A match's place follows from the lengths of the pieces around the matches, so no Python is needed.
+    A match's place follows from the lengths of the pieces around the matches, so no Python is needed. Which patterns occur is found first; the
+    places are worked out for these only, in an expression that stands in the plan once.
     """
-    low, found = folded(c) if low is None else low, []
-    for k, (p, description, severity) in enumerate(INJECTIONS, 1):
-        found.append(F.when(_may(low, k - 1) & c.rlike(regex(p)), _places(c, regex(p), k, description, severity)).otherwise(F.array().cast(_MATCHES)))
-    return F.concat(*found)
+    low = rows.where(F.col(text) != "").withColumn("_low", folded(F.col(text)))
+    which = F.array_compact(F.array(*(F.when(_may(F.col("_low"), k) & F.col(text).rlike(regex(p)), k + 1) for k, (p, _, _) in enumerate(INJECTIONS))))
+    kept = [c for c in rows.columns if c != text]
+    each = low.select(*kept, text, F.explode(which).alias("pattern"))
+    own = lambda k: F.element_at(F.array(*(F.lit(regex(x[k]) if k == 0 else x[k]) for x in INJECTIONS)), F.col("pattern"))
+    each = each.select(*kept, "pattern", F.explode(_places(F.col(text), own(0))).alias("m"))
+    return each.select(*kept, "pattern", "m.nth", own(2).alias("severity"), own(1).alias("description"), "m.snippet")
 
 
 def _texts(rows: DataFrame, text: Column, step: int, item: Column, location: Column, page: Column | None = None) -> DataFrame:
@@ -95,12 +98,10 @@ def _texts(rows: DataFrame, text: Column, step: int, item: Column, location: Col
 
 def pattern_findings(texts: DataFrame) -> DataFrame:
     """Pattern findings of texts as ``_texts`` gives them: doc, seq, severity, category, description, page, text_snippet, location."""
-    rows = texts.where("text <> ''").withColumn("low", folded(F.col("text")))
-    rows = rows.where(any_pattern(F.col("text"), F.col("low")))
-    each = rows.select("doc", "step", "page", "item", "location", F.explode(matches(F.col("text"), F.col("low"))).alias("m"))
+    each = matches(texts, "text")
     category = F.when(F.col("location").startswith("page"), "visible_injection").otherwise("metadata_injection")
-    order = F.struct("step", F.coalesce("page", F.lit(0)).alias("page"), "item", F.lit(1).alias("part"), F.col("m.pattern").alias("pattern"), F.col("m.nth").alias("nth"))
-    return each.select("doc", order.alias("seq"), F.col("m.severity").alias("severity"), category.alias("category"), F.col("m.description").alias("description"), "page", F.col("m.snippet").alias("text_snippet"), "location")
+    order = F.struct("step", F.coalesce("page", F.lit(0)).alias("page"), "item", F.lit(1).alias("part"), "pattern", "nth")
+    return each.select("doc", order.alias("seq"), "severity", category.alias("category"), "description", "page", F.col("snippet").alias("text_snippet"), "location")
 
 
 def text_findings(rows: DataFrame, text: str, location: Column, page: Column, seq: int) -> DataFrame:
