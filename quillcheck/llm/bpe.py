@@ -39,17 +39,29 @@ _OTHER, _SPACE, _LETTER, _DIGIT = range(4)
 _KINDS: list[np.ndarray] = []
 
 
+# First and last code points of the letters and digits that version 16 of Unicode adds to version 15.1, which Python's
+# tables have; tokenizers of these rank files split by version 16.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+DIGITS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+
+
 def _kinds() -> np.ndarray:
     """The kind of every code point."""
     if not _KINDS:
-        import regex
+        from unicodedata import category
 
         kinds = np.zeros(0x110000, np.uint8)
+        known = {"L": _LETTER, "N": _DIGIT}
         for low in range(0, 0x110000, 0x8000):
-            some = "".join(chr(c) for c in range(low, low + 0x8000) if not 0xD800 <= c < 0xE000)
-            for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+")):
-                for m in regex.finditer(pattern, some):
-                    kinds[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+            kinds[low : low + 0x8000] = [known.get(category(chr(c))[0], _OTHER) for c in range(low, low + 0x8000)]
+        for kind, added in ((_LETTER, LETTERS_16), (_DIGIT, DIGITS_16)):
+            for first, last in added:
+                kinds[first : last + 1] = kind
+        kinds[[c for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]] = _SPACE
         _KINDS.append(kinds)
     return _KINDS[0]
 
