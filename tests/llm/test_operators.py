@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
 import time
@@ -605,6 +606,145 @@ def test_fixity(spark, tmp_path):
     assert sum(r["length"] for r in rows) == len(record)
 
 
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@needs_tables
+def test_near_classes_on_documents(spark):
+    """Every link of 0.8 or more between documents is within a class, and classes are no larger than their links."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("text is not null")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(texts)
+    sides = []
+    for i in ids:
+        code, weight, _, _ = probminhash.shingles(*flat(pa.array([texts[i]])))
+        sides.append((code, weight))
+    label = list(range(len(ids)))
+
+    def find(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for j in range(len(ids)):
+        for i in range(j):
+            if find(i) != find(j) and probminhash.probability_jaccard(*sides[i], *sides[j]) >= 0.8 - probminhash.ROUNDING:
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    want = {ids[k]: ids[find(k)] for k in range(len(ids))}
+    got = {r["id"]: r["class_id"] for r in probminhash.near_classes(docs).collect()}
+    assert got == want and len({*want.values()}) < len(want)
+
+
+@needs_tables
+def test_language_of_held_out_documents(spark):
+    text = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    right = []
+    for r in QUERIES["op2_ppm_language"](spark, SF).collect():
+        d = text[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
+        if not any(c.isalpha() for c in d["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif r["held_out"] and d["lang"] is not None:
+            right.append(r["lang_pred"] == d["lang"])
+    assert len(right) > 40 and np.mean(right) > 0.95
+
+
+@needs_tables
+def test_toxicity_of_documents(spark):
+    larger = SF.replace("0.001", "0.01")  # with enough labels
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = QUERIES["op9_toxicity"](spark, larger).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    known = [(r["score"], marks[r["doc_id"]]) for r in rows if marks.get(r["doc_id"]) is not None]
+    toxic, clean = ([s for s, m in known if m == k] for k in (1, 0))
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.75 and np.mean([s >= 0.5 for s in clean]) < 0.05
+
+
+def test_toxicity_finds_disguised_words(spark):
+    """Held-out texts whose bad words are written in signs are scored like those that write them out."""
+    rng = random.Random(21)
+    bad, good = ["idiot", "moron", "scumbag", "loser"], EN.split()
+    disguise = lambda w: rng.choice((w.replace("i", "1").replace("o", "0"), w.replace("s", "$").replace("o", "0"), " ".join(w), ".".join(w), w[:2] + w[1] * 2 + w[2:]))
+    docs, marks = [], []
+    for i in range(400):
+        words = rng.choices(good, k=30)
+        if i % 2:
+            for w in rng.choices(bad, k=3):
+                words.insert(rng.randrange(30), w if i < 200 else disguise(w))
+        docs.append((i, " ".join(words)))
+        marks.append((i, i % 2))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(frame.where("doc_id < 200"), spark.createDataFrame(marks[:200], "doc_id long, toxic int"), toxicity.letter_costs(toxicity.count_letters(frame)))
+    late = frame.where("doc_id >= 200").select("doc_id", toxicity.toxicity(spark, F.col("text"), model)["score"].alias("s")).collect()
+    assert np.mean([r["s"] >= 0.5 for r in late if r["doc_id"] % 2]) > 0.9 and not any(r["s"] >= 0.5 for r in late if r["doc_id"] % 2 == 0)
+
+
+def test_simhash_query(spark, odd):
+    """Edited texts, counts and likenesses by plain Python."""
+    docs = sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter()
+    fps = [int(x.tobytes().hex(), 16) for x in simhash.fingerprints(pa.array([t for _, t in docs]))]
+    for k, (i, t) in enumerate(docs):
+        n = (k + 1) % len(docs)
+        half = len(t) // 2
+        edited = t[: len(t) - half] + docs[n][1][:half]
+        own = int(simhash.fingerprints(pa.array([edited]))[0].tobytes().hex(), 16)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{fps[k]:032x}", f"{own:032x}", 1 - (fps[k] ^ own).bit_count() / 128, 1 - (fps[k] ^ fps[n]).bit_count() / 128] += 1
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in QUERIES["op4_simhash"](spark, odd).collect())
+    assert got == want
+
+
+def test_license_query(spark, tmp_path):
+    rng = random.Random(22)
+    bits = ["mit", "license", "MIT", "License", "apache", "general", "public", "the", "é", "x", "gnu", "-", "general public license", "mit  license,"]
+    docs = [(i, " ".join(rng.choices(bits, k=rng.randrange(30)))) for i in range(120)] + [(120, None), (121, ""), (121, "mit license")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for i, t in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        places = [(k, label) for phrase, label in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in places]
+        want[i, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))] += 1
+    rows_ = QUERIES["op7_license_scan"](spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows_) == want
+    assert all({*filter(None, r["base_labels"].split(","))} <= {*r["labels"].split(",")} and 0 <= r["score"] <= 1 for r in rows_)
+
+
+def test_bpe_on_code_points():
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = bpe.tokenizer()
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # whether a character makes one piece with a letter, a digit, a sign or white space, by ranks that join last bytes and these
+    joined = {bytes([b]): b for b in range(256)} | {bytes([b, t]): 256 * (k + 1) + b for k, t in enumerate(b"a1!\n ") for b in range(256)}
+    pieces = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=joined, special_tokens={})
+    ours = bpe.Bpe(joined, pattern)
+    edges = {c + k for first, last in bpe.LETTERS_16 + bpe.DIGITS_16 for c in (first, last) for k in (-1, 0, 1)}
+    some = sorted(edges | {*range(0x400), *range(0x2000, 0x2070), 0x3000, *random.Random(3).sample(range(0x20000), 3000)})
+    for after in "a1!\n ":
+        texts = [chr(c) + after for c in some if not 0xD800 <= c < 0xE000]
+        ids, ends = ours.encode(texts)
+        theirs_ = pieces.encode_ordinary_batch(texts)
+        assert [len(x) for x in theirs_] == np.diff(ends).tolist()
+    texts = ["".join(chr(c) + " a"[c % 2] for c in range(low, low + 256) if not 0xD800 <= c < 0xE000) for low in range(0, 0x20000, 1024)]
+    ids, ends = bpe.Bpe.load(path, pattern).encode(texts)
+    assert all(ids[a:b].tolist() == theirs.encode_ordinary(t) for t, a, b in zip(texts, ends, ends[1:]))
+
+
+def test_training_is_bounded(spark):
+    docs = [(i, "word " * 100, f"l{i % 3}") for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        ppm.train(frame, max_langs=2)
+    model = ppm.train(frame, max_docs=10, max_bytes=1200)
+    assert [int(t.totals[0].sum()) for t in model.trees] == [1500] * 3  # whole texts, until there are 1,200 bytes
+
+
 def test_no_import_outside():
     import pathlib
 
