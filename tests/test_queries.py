@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from quillcheck.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["token_jaccard_dups", "duplicate_issues", "latex_strip", "match_title", "match_authors", "match_venue", "validate_match", "title_search_top1", "verdicts", "cite_extract", "tex_phantom", "injection_counts", "injection_findings", "invisible_runs", "metadata_scan", "ref_split", "bib_render", "autofixed", "feedback_stats"]
+QUICK = [n for n in ORACLES if n not in ("checks", "cascade", "phantom_ids", "suggested_fixes", "status_pivot", "source_coverage", "fail_summary", "json_summary")]
 
 
 def same(frame, relation):
