@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, stash, table
 
 WEIGHTS = (5, 2, 1)
 EPOCHS, LIMIT = 1.5, 2
@@ -106,14 +106,15 @@ def plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = s.join(r, F.col("s.source").eqNullSafe(F.col("r.source")) & (F.col("s.slot") == F.col("r.slot"))).select("s.source", "s.block", "pass", "shard")
     shards = dealt.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"].cast("int")).alias("shards"))
     p = b.alias("p").join(shards.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.block") == F.col("s.block")), "left")
-    p = p.select("p.source", "p.block", "words", "source_size", "target", "passes", "draws", "shards").checkpoint()
+    # written as tables, whose sizes Spark knows: it sends them to all tasks where they are small enough, and texts stay where they are
+    p, _ = stash(p.select("p.source", "p.block", "words", "source_size", "target", "passes", "draws", "shards"))
     # what a block gives, its parts give in a permuted order
     some = p.where(PARTLY).select("source", "block", "draws")
     each = parts.alias("w").join(some.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source")) & (F.col("w.block") == F.col("p.block"))).select("w.source", "w.block", "part", "own", "draws")
     turn = Window.partitionBy("source", "block").orderBy(_md5(F.lit("part"), name, F.col("block"), F.col("part")), "part")
     earlier = F.coalesce(F.sum("own").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     drawn = F.greatest(F.lit(0.0), F.least(F.col("draws") - earlier, F.col("own").cast("double")))
-    return p, each.select("source", "block", "part", F.col("own").alias("part_words"), drawn.alias("part_draws")).checkpoint()
+    return p, stash(each.select("source", "block", "part", F.col("own").alias("part_words"), drawn.alias("part_draws")))[0]
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
