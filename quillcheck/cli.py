@@ -1,6 +1,6 @@
 """Command line: verify a bibliography, scan documents, extract references, keep feedback.
 
-Catalogs are Parquet tables (``--catalog``); documents are Parquet tables of pages, or PDF files where PyMuPDF is installed.
+Catalogs are Parquet tables (``--catalog``); documents are Parquet tables of pages, or PDF files.
 Exit codes: 0 fine, 1 something failed, 2 a file is missing.
 """
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import matchers as M
 from ..functions import text as T
 from ..operators import autofix, feedback, injection, lookup, references, report, similarity, texaudit, verdict
-from ..sources import bibtex, records
+from ..sources import bibtex, pdf, records
 from .inputs import load
+from .pdfinput import pdf_files
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -306,6 +307,24 @@ def author_fold(spark, d):
     return _entries(spark, d).select("id", T.fold_accents(names).alias("folded"))
 
 
+def pdf_pages(spark, d):
+    """Every document as a PDF file, read back page by page."""
+    read = pdf.pages(pdf.read_spans(pdf_files(spark, d)))
+    return read.select(F.col("doc").cast("long").alias("doc"), F.col("page").cast("long").alias("page"), "text", "width", "height", F.size("blocks").cast("long").alias("blocks"))
+
+
+def pdf_hidden(spark, d):
+    """What the scan finds in the layout of the same files."""
+    read = pdf.pages(pdf.read_spans(pdf_files(spark, d)))
+    off = injection.offpage_texts(read)[0].select("doc", "page", F.col("text_snippet").alias("text"), F.lit("off the page").alias("reason"), "severity")
+    hidden = injection.hidden_spans(read).select("doc", "page", "text", "reason", "severity")
+    return hidden.unionByName(off).withColumn("doc", F.col("doc").cast("long")).withColumn("page", F.col("page").cast("long"))
+
+
+def pdf_metadata(spark, d):
+    return pdf.metadata(pdf_files(spark, d)).select(F.col("doc").cast("long").alias("doc"), "title", "author", "producer", F.col("pages").cast("long").alias("pages"), "error")
+
+
 def feedback_stats(spark, d):
     return feedback.stats(load(spark, d, "feedback"))
 
@@ -314,4 +333,4 @@ def feedback_latest(spark, d):
     return feedback.latest(load(spark, d, "feedback"), 20).select("file", "issue", "severity")
 
 
-QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_summary, scan_report, annotation_findings, scan_verdict, bib_parse, tex_includes, tex_audit, fail_summary, json_summary, author_fold, ref_split, ref_parse, bib_render, resolve_refs, autofixed, feedback_stats, feedback_latest)}
+QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_summary, scan_report, annotation_findings, scan_verdict, bib_parse, tex_includes, tex_audit, fail_summary, json_summary, author_fold, ref_split, ref_parse, bib_render, resolve_refs, pdf_pages, pdf_hidden, pdf_metadata, autofixed, feedback_stats, feedback_latest)}

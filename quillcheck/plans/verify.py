@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lineage import cut
 from ..operators import autofix, injection, lookup, references, report, similarity, texaudit, verdict
-from ..sources import bibtex, files
+from ..sources import bibtex, files, pdf
 
 
 def audit_tex(spark: SparkSession, tex: str, entries: DataFrame) -> DataFrame:
@@ -52,12 +52,12 @@ def fixed_bib(spark: SparkSession, bib: str, results: DataFrame) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of a Parquet table, or of PDF files."""
-    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else files.read_pdf_pages(spark, path)
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else pdf.pages(cut(pdf.read_spans(pdf.files(spark, path))))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame | None:
     """Metadata of PDF files; a table of pages has none."""
-    return None if path.rstrip("/").endswith(".parquet") else files.read_pdf_metadata(spark, path)
+    return None if path.rstrip("/").endswith(".parquet") else pdf.metadata(pdf.files(spark, path))
 
 
 def scan_pages(pages: DataFrame, meta: DataFrame | None = None, **which: bool) -> tuple[DataFrame, DataFrame]:

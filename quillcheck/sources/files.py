@@ -1,11 +1,10 @@
-"""Other files: TeX, PDF and JSON lines."""
+"""Other files: TeX and JSON lines; texts of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGES = "doc string, page int, text string, width double, height double, blocks array<struct<type:int,x0:double,y0:double,x1:double,y1:double,lines:array<struct<spans:array<struct<text:string,size:double,color:int>>>>>>, annotations array<string>"
 
 
 def read_tex(spark: SparkSession, path: str) -> DataFrame:
@@ -13,60 +12,6 @@ def read_tex(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of PDF files with their layout, where the library PyMuPDF is installed on the workers.
-
-    Raises ImportError with a hint where it is not. One task reads one file at a time.
-    """
-    try:
-        import fitz  # noqa: F401
-    except ImportError as e:
-        raise ImportError("Reading PDF files needs PyMuPDF; without it, pass pages as a DataFrame") from e
-
-    def parse(batches):
-        import fitz
-        import pandas as pd
-
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                rows = []
-                for number, page in enumerate(fitz.open(stream=content, filetype="pdf"), 1):
-                    blocks = [
-                        {"type": b["type"], **dict(zip(("x0", "y0", "x1", "y1"), map(float, b["bbox"]))), "lines": [{"spans": [{"text": s["text"], "size": float(s["size"]), "color": int(s["color"])} for s in line["spans"]]} for line in b.get("lines", [])]}
-                        for b in page.get_text("dict", flags=fitz.TEXT_PRESERVE_WHITESPACE)["blocks"]
-                    ]
-                    rows.append((name, number, page.get_text("text"), float(page.rect.width), float(page.rect.height), blocks, [a.info.get("content", "") for a in page.annots() or []]))
-                yield pd.DataFrame(rows, columns=["doc", "page", "text", "width", "height", "blocks", "annotations"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, PAGES)
-
-
-META = "doc string, title string, author string, subject string, keywords string, creator string, producer string"
-
-
-def read_pdf_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata of PDF files, where the library PyMuPDF is installed on the workers; raises ImportError as ``read_pdf_pages`` does."""
-    try:
-        import fitz  # noqa: F401
-    except ImportError as e:
-        raise ImportError("Reading PDF files needs PyMuPDF; without it, pass metadata as a DataFrame") from e
-
-    names = [c.split()[0] for c in META.split(", ")]
-
-    def parse(batches):
-        import fitz
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch["path"], batch["content"]):
-                found = fitz.open(stream=content, filetype="pdf").metadata or {}
-                rows.append((name, *(found.get(n) or "" for n in names[1:])))
-            yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, META)
-
-
 def document_text(pages: DataFrame) -> DataFrame:
     """Pages (doc, page, text) as whole documents: doc, text, a line feed after each page."""
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
