@@ -18,7 +18,7 @@ tab, form feed and carriage return.
    of (shard, position), as ``shuffled`` deals them, are shuffled within the shard.
 
 All choices come from md5 of ids (of the text where the id is null), so reruns agree, and repeated rows are interchangeable:
-equal ids of one source share a part, where ties go by size. Documents are counted by (source, block, part) before anything moves.
+equal ids of one source share a part, where ties go by size. Sources whose ratios tie fill up together, whatever their number. Documents are counted by (source, block, part) before anything moves.
 What becomes of a document follows from its block, but for the one block of a source that is drawn in part: only its documents are
 joined to parts and sorted. Slots are bounded by ``BLOCKS`` times twice the number of sources, the plan by ``BLOCKS`` times that number, with
 ``BLOCKS`` parts a source. Null texts have size 0 and
@@ -59,16 +59,17 @@ def targets(sources: DataFrame) -> DataFrame:
     """``sources`` (source, source_size) with each source's target in words."""
     everywhere = Window.partitionBy()
     place = F.row_number().over(everywhere.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((place - 1) % len(WEIGHTS) + 1).cast("int"))
-    t = sources.withColumn("weight", weight)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("place") - 1) % len(WEIGHTS) + 1).cast("int"))
+    t = sources.withColumn("place", place).withColumn("weight", weight)
     t = t.withColumn("total", EPOCHS * F.sum("source_size").over(everywhere)).withColumn("most", LIMIT * F.col("source_size").cast("double"))
     t = t.withColumn("ratio", F.col("most") / F.col("weight"))
-    order = everywhere.orderBy("ratio", F.col("source").asc_nulls_last())
+    order = everywhere.orderBy("ratio", "place")
     before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     t = t.withColumn("level", (F.col("total") - before) / rest)
-    # the first source whose share at its level stays below its limit sets the level for all
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everywhere)["level"]
+    # the first source, in the order of the sums, whose share at its level stays below its limit sets the level for all; of sources of one
+    # ratio the first counts, as the levels of the others leave out what those before it may still take
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))).over(everywhere)["level"]
     target = F.least(F.col("most"), F.coalesce(level * F.col("weight"), F.col("most")))
     return t.select("source", "source_size", target.alias("target"))
 
@@ -167,10 +168,10 @@ rb AS (SELECT *, CAST('0x' || substr(digest, 1, 2) AS INTEGER) AS block, CAST('0
 bp AS (SELECT source, block, part, sum(size)::BIGINT AS own FROM rb GROUP BY source, block, part),
 b0 AS (SELECT source, block, sum(own)::BIGINT AS words FROM bp GROUP BY source, block),
 s0 AS (SELECT source, sum(words)::BIGINT AS source_size FROM b0 GROUP BY source),
-s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total, 2 * source_size::DOUBLE AS most FROM s0),
+s1 AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total, 2 * source_size::DOUBLE AS most FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s0)),
 s2 AS (SELECT *, most / weight AS ratio FROM s1),
-s3 AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM s2),
-s4 AS (SELECT source, source_size, least(most, coalesce((SELECT min_by(level, ratio) FROM s3 WHERE level <= ratio) * weight, most)) AS target FROM s3),
+s3 AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM s2),
+s4 AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM s3 WHERE level <= ratio ORDER BY ratio, place LIMIT 1) * weight, most)) AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INTEGER ELSE 1 END AS passes FROM s4),
 b1 AS (SELECT b0.*, coalesce('s:' || b0.source, 'null') AS name, source_size, target, passes, target - passes * source_size AS rest FROM b0 JOIN s5 ON b0.source IS NOT DISTINCT FROM s5.source),
 b2 AS (SELECT *, rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY md5('block:' || name || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM b1),
