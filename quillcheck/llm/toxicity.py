@@ -6,12 +6,12 @@ meant. Its characters make a lattice: a sign or digit may stand for a letter (le
 repeated letter may be one; a space or dot between single letters may be nothing. A character trigram model, counted over
 all documents, and the costs of the channel score every path, and Viterbi's algorithm finds the best, with back-pointers,
 in time and memory linear in the token. Signs at the ends of a token that may stand for letters are steps of the
-lattice, too; where they may be decoration around a plain word, that word counts beside what was restored. A run of more
-than ``RUN`` signs and digits parts a token, and three of a sign that may be any vowel are none. Tokens without a letter are read as letters throughout, and dropped where the
-reading is unlikelier than letters at random or longer than ``LONGEST``.
+lattice, too; where they may be decoration around a plain word, that word counts beside what was restored. Three of a sign that may
+be any vowel are none. Tokens without a letter are read as letters and breaks throughout, as a whole and between other marks; of
+their words, those count that are likelier than letters at random. Tokens of any length and with any number of signs are taken whole.
 
 Scoring: restored texts become sets of words and word beginnings; a logistic regression on the features that go most with
-the label gives the score. It is fitted on at most ``max_docs`` labelled rows of each class (those of least hash), on whole
+the label gives the score. It is fitted on at most ``max_docs`` labelled documents of each class (those of least hash, one text of each id), on whole
 texts, and its intercept is then moved to the share of the label among all labelled rows.
 
 A null text counts as empty; a null id is not held out. Where there are no labels, every score is 0; where all labels are
@@ -46,8 +46,6 @@ SWAP, GUESS, DROP, BREAK, JOIN, SHRINK = 0.5, 3.0, 3.5, 1.5, 0.2, 0.3
 
 # Cost from which a doubled letter is unexpected, and of a letter at random.
 ODD, RANDOM = 5.0, float(np.log(28))
-#: Signs and digits in a row within a word at most, and characters of a word without letters.
-RUN, LONGEST = 8, 40
 #: Characters of a token up to which its words are remembered.
 REMEMBERED = 64
 
@@ -195,7 +193,6 @@ _STRETCH = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _SIGNS = re.compile("[%s]+" % re.escape("".join(LEET)))
 _EMPTY = re.compile(r"\A([*#%&])\1\1+|(?<![*#%&])([*#%&])\2\2+\Z")  # signs that stand for no letter, at the ends
-_APART = re.compile(r"[\W\d_]{%d,}" % (RUN + 1))
 # Punctuation around words; at the beginning and at the end it may be decoration.
 _MARKS, _AROUND, _BEFORE, _AFTER = ".,;:?", "\"'[{.,;:?)]}>~_-", "\"'([{<.,;:?-", "\"')]}>.,;:?!-"
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\s]\s+){2,}[^\s](?=\s|$)")
@@ -248,19 +245,24 @@ class Restorer:
         own = (inner,) if _PLAIN.fullmatch(inner) and not _STRETCH.search(inner) else ()
         if core == inner and self.plain(core):
             return own, ()
-        found: list[str] = []
-        for part in _APART.split(core) if len(core) > RUN and any(map(str.isalpha, core)) else [core]:
-            found += [w for w in self._part(part) if w not in own]
-        return own, tuple(found)
-
-    def _part(self, part: str) -> list[str]:
-        if any(map(str.isalpha, part)):
-            return restore(part, self.costs).split()
-        if not _SIGNS.fullmatch(part) or len(part) > LONGEST:
-            return []
-        cost, text = decode(part, self.costs)
-        channel = sum(SWAP if len(LEET[c]) < 3 else GUESS for c in part)
-        return [text] if text.isalpha() and cost - channel < RANDOM * (len(text) + 1) else []
+        return own, tuple(w for w in self._read(core) if w not in own)
+
+    def _read(self, core: str) -> list[str]:
+        if any(map(str.isalpha, core)):
+            return restore(core, self.costs).split()
+        # what stands between signs and digits may join words or part them
+        runs = _SIGNS.findall(core)
+        readings = [core, *runs] if runs and runs != [core] else runs
+        return [w for part in readings for w in restore(part, self.costs).split() if self.likely(w)]
+
+    def likely(self, word: str) -> bool:
+        """Whether a word of letters is likelier than as many letters at random."""
+        a = b = 0
+        total = 0.0
+        for k in [*(_INDEX.get(c, 27) for c in word), 0]:
+            total += self.costs[a][b][k]
+            a, b = b, k
+        return total < RANDOM * (len(word) + 1)
 
     def words(self, text: str) -> tuple[set[str], set[str]]:
         """Distinct words of a text, and those that come from noisy tokens."""
@@ -344,8 +346,9 @@ def train(docs: DataFrame, labels: DataFrame, costs: list, key: str = "doc_id",
     draw = F.pmod(F.xxhash64("k", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     place = F.row_number().over(Window.partitionBy("y").orderBy("u", "k"))
     few = marks.withColumn("u", draw).where(F.col("u") < share).withColumn("place", place).where(F.col("place") <= max_docs).select("k", "y")
-    # at most 2 * max_docs ids: small by the parameter
+    # at most 2 * max_docs ids: small by the parameter; of several rows of one id the text of least hash
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k")
+    sample = sample.groupBy("k").agg(F.max("y").alias("y"), F.min_by("t", F.struct(F.xxhash64("t"), F.col("t"))).alias("t"))
     sent = spark.sparkContext.broadcast(costs)
 
     def extract(batches):
