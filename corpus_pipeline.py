@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, toxicity, near duplicates, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage before it kept. All but the last return
-the columns of ``documents``.
+the columns of ``documents``; other columns that a table may have go no further.
 """
 
 from __future__ import annotations
@@ -44,18 +44,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near duplicates. Rows without an id stay, and so do rows of one id with different
-    texts; of rows with one id and one text, the least of the other columns stays."""
+    """Keeps one row of each class of near duplicates: that of the least id (rows without an id come last; ties by text, then by the
+    other columns). Classes are of rows, so rows of one id with different texts are documents of their own, and a row goes only where
+    one of its class stays. Texts without words are near to nothing and stay; an empty table gives an empty result."""
     _prepare(spark)
-    classes = probminhash.near_classes(docs)
-    copies = classes.where("id <> class_id").select(F.col("id").alias("doc_id"))
-    kept = docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi")
-    one = again.groupBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text")).agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(one)
+    rows, _ = common.stash(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    classes = probminhash.near_classes(rows, key="_row").select(F.col("id").alias("_row"), "class_id")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"), F.xxhash64(*others).alias("others"), "_row")
+    best = rows.select("_row", order.alias("order")).join(classes, "_row").groupBy("class_id").agg(F.min("order").alias("best")).select("best._row")
+    return rows.join(best, "_row", "left_semi").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
