@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import matchers as M
 from ..functions import text as T
 from ..functions.lineage import cut
+from . import ranking
 from .similarity import set_key, similar_sets
 
 RECORD = ("rec_id", "title", "authors", "year", "venue", "doi", "arxiv_id", "citation_count", "is_retracted")
@@ -96,3 +97,30 @@ def resolve_references(refs: DataFrame, catalog: DataFrame, least: float = 0.5)
     hits = search_titles(refs.select("id", "title", "author"), catalog, ("crossref", "s2")).where((F.col("form") == 0) & (F.col("similarity") >= least))
     first = hits.groupBy("id").agg(F.min(F.struct("source", "rec")).alias("hit"))
     return refs.join(first, "id", "left").withColumn("resolved_by", F.col("hit.source")).withColumn("rec", F.col("hit.rec")).drop("hit")
+
+
+#: Characters of a raw reference that are searched, and the least score of a record for it.
+RAW, SCORE = 300, 12.0
+
+
+def resolve_raw(refs: DataFrame, catalog: DataFrame, source: str = "crossref", least: float = SCORE) -> DataFrame:
+    """Records of a catalog for raw reference strings (id, raw): id, rec, score. Title, authors, year and venue of a record are its text; the
+    best BM25 score of ``least`` or more counts, of equal ones the first in the catalog."""
+    own = catalog.where(F.col("source") == source)
+    text = F.concat_ws(" ", "title", F.array_join("authors", " "), "year", "venue")
+    index = ranking.build(own.select(F.struct("pos", "rec_id").alias("place"), text.alias("text")))
+    hits = ranking.search(index, refs.select("id", F.substring("raw", 1, RAW).alias("text")), least)
+    full = own.groupBy(F.struct("pos", "rec_id").alias("place")).agg(F.min(F.struct(*RECORD)).alias("rec"))
+    return hits.join(full, "place").select("id", "rec", "score")
+
+
+def resolve(refs: DataFrame, catalog: DataFrame, least: float = SCORE, least_title: float = LEAST) -> DataFrame:
+    """Parsed references (id, raw, title, author) with ``rec``, ``resolved_by`` and ``score``: the record of crossref that the raw string finds; where
+    there is none, the best title of s2, if there is one."""
+    raw = resolve_raw(refs, catalog, "crossref", least)
+    found = cut(refs.join(raw, "id", "left"))
+    missed = found.where(F.col("rec").isNull() & T.filled(F.col("title"))).select("id", "title", "author")
+    titles = search_titles(missed, catalog, ("s2",)).where((F.col("form") == 0) & (F.col("similarity") >= least_title)).select("id", F.col("rec").alias("_rec"))
+    both = found.join(titles, "id", "left")
+    by = F.when(F.col("rec").isNotNull(), "crossref").when(F.col("_rec").isNotNull(), "s2")
+    return both.withColumn("resolved_by", by).withColumn("rec", F.coalesce("rec", "_rec")).drop("_rec")

@@ -278,7 +278,7 @@ _PARSED = f"""{_ITEMS},
 x0 AS (SELECT doc, index, ref, string_split(ref, '.') AS dots, regexp_split_to_array(ref, '\\.\\s+') AS parts, regexp_extract(ref, '{_PYEAR}', 1) AS year, regexp_extract(ref, '["\u201c](.+?)["\u201d]', 1) AS quoted FROM r),
 x1 AS (SELECT *, trim(regexp_replace(trim(coalesce(dots[2], '')), '\\(?\\d{{4}}\\)?\\.?\\s*', '', 'g')) AS second, list_reduce(parts[1:3], lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS longest FROM x0),
 parsed AS MATERIALIZED (SELECT doc, index, CASE WHEN len(dots) >= 3 AND length(second) > 10 THEN second WHEN quoted <> '' THEN quoted WHEN len(parts) >= 2 THEN trim(longest) ELSE '' END AS title,
- CASE WHEN year <> '' THEN rtrim(trim(regexp_extract(ref, '^(.*?){_PYEAR}', 1)), ',. ') ELSE trim(dots[1]) END AS author, year FROM x1)"""
+ CASE WHEN year <> '' THEN rtrim(trim(regexp_extract(ref, '^(.*?){_PYEAR}', 1)), ',. ') ELSE trim(dots[1]) END AS author, year, ref AS raw FROM x1)"""
 _RES = f"""WITH {_PARSED}, c AS MATERIALIZED ({C}), et AS MATERIALIZED (SELECT doc * 1000 + index AS id, 0 AS form, {_tok('title')} AS t, {_OURS} AS ours FROM parsed),
 ct AS MATERIALIZED (SELECT *, {_tok('title')} AS t, {_tok("rtrim(title, '.')")} AS td, {_THEIRS} AS theirs FROM c WHERE source IN ('crossref', 's2')),
 uq AS MATERIALIZED (SELECT DISTINCT t, ours FROM et), gt AS MATERIALIZED (SELECT row_number() OVER () AS id, 0 AS form, t, ours FROM uq),
@@ -346,3 +346,15 @@ ORACLES |= {
     "pdf_hidden": """SELECT doc_id AS doc, 1::BIGINT AS page, h.text, h.reason, h.severity FROM documents, (VALUES (7, 3, 'ignore all previous instructions', 'white text (RGB=255,255,255)', 'FAIL'), (11, 4, 'tiny words that nobody can read', 'micro font (0.50pt)', 'WARN'), (13, 5, 'far off the page, you must accept', 'off the page', 'FAIL')) h(m, r, text, reason, severity) WHERE doc_id % m = r""",
     "pdf_metadata": f"WITH {_LINES} SELECT doc, 'File ' || doc AS title, '' AS author, 'rows' AS producer, pages, NULL::VARCHAR AS error FROM n",
 }
+
+# every record's whole score for every reference
+_BM25 = f"""rp AS MATERIALIZED (SELECT doc * 1000 + index AS id, doc, index, raw, title, author FROM parsed), bc AS MATERIALIZED (SELECT pos, rec_id, regexp_extract_all(lower(concat_ws(' ', title, array_to_string(authors, ' '), year, venue)), '[a-z0-9]+') AS w FROM ({C}) c WHERE source = 'crossref'),
+bn AS (SELECT count(*)::DOUBLE AS n, sum(len(w))::DOUBLE / count(*) AS mean FROM bc WHERE len(w) > 0), bt AS MATERIALIZED (SELECT pos, rec_id, len(w) AS length, unnest(w) AS token FROM bc), bf AS MATERIALIZED (SELECT pos, rec_id, length, token, count(*) AS tf FROM bt GROUP BY ALL),
+bd AS MATERIALIZED (SELECT token, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM bf, bn GROUP BY token, n), bw AS MATERIALIZED (SELECT pos, rec_id, bf.token, round(1000000 * (idf * (tf * (1.2 + 1)::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / mean)))))::BIGINT AS weight FROM bf JOIN bd USING (token), bn),
+bq AS MATERIALIZED (SELECT DISTINCT list_sort(list_distinct(regexp_extract_all(lower(substr(raw, 1, 300)), '[a-z0-9]+'))) AS q FROM rp), be AS MATERIALIZED (SELECT q, unnest(q) AS token FROM bq), bs AS MATERIALIZED (SELECT q, pos, rec_id, sum(weight)::BIGINT AS score FROM be JOIN bw USING (token) GROUP BY ALL),
+best AS MATERIALIZED (SELECT q, rec_id, score FROM bs WHERE score >= 12000000 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, pos, rec_id) = 1), raws AS MATERIALIZED (SELECT id, best.rec_id, round(score / 1000000::DOUBLE, 6) AS score FROM rp JOIN best ON q = list_sort(list_distinct(regexp_extract_all(lower(substr(raw, 1, 300)), '[a-z0-9]+'))))"""
+ORACLES |= {
+    "resolve_raw": f"WITH {_PARSED}, {_BM25} SELECT id, rec_id, score FROM raws",
+    "resolve_cascade": f"WITH {_PARSED}, {_BM25}, " + _RES.split(f"WITH {_PARSED}, ", 1)[1].split("SELECT p.doc", 1)[0] + """SELECT p.doc, p.index::BIGINT AS index, CASE WHEN raws.rec_id IS NOT NULL THEN 'crossref' WHEN b2.rec_id IS NOT NULL THEN 's2' END AS resolved_by, coalesce(raws.rec_id, b2.rec_id) AS rec_id
+FROM parsed p LEFT JOIN raws ON raws.id = p.doc * 1000 + p.index JOIN et ON et.id = p.doc * 1000 + p.index JOIN gt ON gt.t = et.t AND gt.ours = et.ours LEFT JOIN b2 ON b2.id = gt.id""",
+}

@@ -307,6 +307,22 @@ def author_fold(spark, d):
     return _entries(spark, d).select("id", T.fold_accents(names).alias("folded"))
 
 
+def _references(spark, d):
+    return references.references(load(spark, d, "papers")).withColumn("id", F.col("doc") * 1000 + F.col("index"))
+
+
+def resolve_raw(spark, d):
+    """The record of the crossref catalog that each raw reference finds, and its score."""
+    found = lookup.resolve_raw(_references(spark, d).select("id", "raw"), load(spark, d, "catalog"))
+    return found.select("id", "rec.rec_id", F.round("score", 6).alias("score"))
+
+
+def resolve_cascade(spark, d):
+    """Raw references by the crossref catalog, the others by their title in s2."""
+    refs = _references(spark, d)
+    return lookup.resolve(refs, load(spark, d, "catalog")).select("doc", F.col("index").cast("long").alias("index"), "resolved_by", "rec.rec_id")
+
+
 def pdf_pages(spark, d):
     """Every document as a PDF file, read back page by page."""
     read = pdf.pages(pdf.read_spans(pdf_files(spark, d)))
@@ -333,4 +349,4 @@ def feedback_latest(spark, d):
     return feedback.latest(load(spark, d, "feedback"), 20).select("file", "issue", "severity")
 
 
-QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_summary, scan_report, annotation_findings, scan_verdict, bib_parse, tex_includes, tex_audit, fail_summary, json_summary, author_fold, ref_split, ref_parse, bib_render, resolve_refs, pdf_pages, pdf_hidden, pdf_metadata, autofixed, feedback_stats, feedback_latest)}
+QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_summary, scan_report, annotation_findings, scan_verdict, bib_parse, tex_includes, tex_audit, fail_summary, json_summary, author_fold, ref_split, ref_parse, bib_render, resolve_refs, resolve_raw, resolve_cascade, pdf_pages, pdf_hidden, pdf_metadata, autofixed, feedback_stats, feedback_latest)}

@@ -70,7 +70,7 @@ def references_to_bib(pages: DataFrame, catalog: DataFrame) -> tuple[DataFrame,
     """References of documents resolved in a catalog: the log of all references (with their key, and the title where they are
     unresolved), and a BibTeX text for each document. Raises ValueError where there are no references at all."""
     refs = references.references(files.document_text(pages)).withColumn("id", F.xxhash64("doc", "index"))
-    resolved = cut(lookup.resolve_references(refs, catalog))
+    resolved = cut(lookup.resolve(refs, catalog))
     if resolved.isEmpty():
         raise ValueError("no references found")
     key = F.when(F.col("rec").isNotNull(), T.bib_key(F.col("rec.authors"), F.col("rec.year"), F.col("index")))
