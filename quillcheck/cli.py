@@ -11,10 +11,12 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__, ship
 from .operators import feedback, report
 from .plans import verify as plans
+from .sources import documents
 
 _FEEDBACK = "QUILLCHECK_FEEDBACK_DIR"
 
@@ -27,6 +29,11 @@ def _write(text: str, path: str | None) -> None:
         print(text)
 
 
+def _write_each(made: DataFrame, key: str, kind: str, folder: str) -> None:
+    """A report for each document, written by the tasks that make them."""
+    documents.write_documents(made.withColumn("_name", F.concat(F.regexp_replace(F.col(key).cast("string"), "^.*/", ""), F.lit(f".{kind}"))), folder, "_name", "report")
+
+
 def _counts(results: DataFrame) -> str:
     n = report.status_counts(results).first()
     return f"{report.ICONS['OK']} {n['ok']}  {report.ICONS['WARN']} {n['warn']}  {report.ICONS['FAIL']} {n['fail']}  ({n['total']} entries)"
@@ -38,7 +45,10 @@ def _verify(spark: SparkSession, a: argparse.Namespace) -> int:
     for r in report.fail_summary(made["results"]).orderBy("file", "ord").toLocalIterator():
         print(f"  {report.ICONS['FAIL']} {r['key']} \u2014 {r['reason']}")
     kind = "json" if a.json else "markdown"
-    _write("\n".join(r["report"] for r in made[kind].orderBy("file").toLocalIterator()), a.out)
+    if a.out_dir:
+        _write_each(made[kind], "file", "json" if a.json else "md", a.out_dir)
+    else:
+        _write("\n".join(r["report"] for r in made[kind].orderBy("file").toLocalIterator()), a.out)
     if a.fix:
         _write("\n".join(r["text"] for r in plans.fixed_bib(spark, a.bib, made["results"]).orderBy("file").toLocalIterator()), a.fix)
     bad = not made["results"].where("overall = 'FAIL'").isEmpty()
@@ -52,7 +62,10 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
     for r in summary.select("doc", report.scan_line(summary).alias("line")).toLocalIterator():
         print(f"{r['doc']}: {r['line']}")
     made = report.scan_json(summary, found) if a.json else report.scan_report(summary, found)
-    _write("\n".join(r["report"] for r in made.orderBy("doc").toLocalIterator()), a.out)
+    if a.out_dir:
+        _write_each(made, "doc", "json" if a.json else "txt", a.out_dir)
+    else:
+        _write("\n".join(r["report"] for r in made.orderBy("doc").toLocalIterator()), a.out)
     return int(not summary.where("verdict = 'FAIL'").isEmpty())
 
 
@@ -107,7 +120,7 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     v = sub.add_parser("verify", help="check a bibliography")
     v.add_argument("bib")
-    for flag in ("--tex", "--out", "--fix"):
+    for flag in ("--tex", "--out", "--fix", "--out-dir"):
         v.add_argument(flag)
     v.add_argument("--catalog", required=True)
     v.add_argument("--json", action="store_true")
@@ -115,6 +128,7 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("scan", help="look for instructions aimed at reviewers")
     s.add_argument("pdf")
     s.add_argument("--out")
+    s.add_argument("--out-dir", help="a report for each document in this folder, instead of one text")
     s.add_argument("--meta", help="Parquet table of the documents' metadata")
     for flag in ("--json", "--no-visible", "--no-hidden", "--no-metadata"):
         s.add_argument(flag, action="store_true")

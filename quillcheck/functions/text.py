@@ -88,22 +88,65 @@ def strip_latex(c: Column) -> Column:
     return squeeze(F.translate(marked, "{}$", ""))
 
 
-def fold_accents(c: Column) -> Column:
-    """Compatibility decomposition without combining marks, lower case. Spark has no normalisation, so this runs in Arrow batches."""
+def _base(c: str) -> str:
+    """Compatibility decomposition without combining marks, and with a dotted i."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c).replace("\u0131", "i") if not unicodedata.combining(x))
 
-    @F.arrow_udf("string")
-    def fold(texts):
-        import pyarrow as pa
 
-        def one(s):
-            if s is None or s.isascii():
-                return s and s.lower()
-            s = unicodedata.normalize("NFKD", s).replace("\u0131", "i")
-            return "".join(x for x in s if not unicodedata.combining(x)).lower()
+#: Hangul syllables decompose by arithmetic: first and last, and the letters that they consist of.
+_SYLLABLES = (0xAC00, 0xD7A3)
+_JAMO = tuple("".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+@lru_cache
+def _folding() -> tuple[str, str, str, str, str]:
+    """What folding does to characters, as the Unicode tables of this Python tell: characters that become one other or (at the end) none, what
+    they become; characters that become several, these joined by a mark; and the latter with the Hangul syllables as a class of a pattern.
+
+    A capital sigma is left to the lower-casing of the whole text, which knows where a word ends."""
+    one, become, gone, many, several = [], [], [], [], []
+    for code in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)):
+        if 0x4E00 <= code < 0xA000 or 0x20000 <= code < 0x2F800 or 0x30000 <= code < 0xE0000 or code >= 0xF0000:
+            continue  # nothing there decomposes
+        c = chr(code)
+        base = _base(c)
+        if not base:
+            gone.append(c)
+        elif len(base) > 1:
+            many.append(c)
+            several.append(base)
+        elif (low := base if base == "\u03a3" else base.lower()) != c:
+            one.append(c)
+            become.append(low)
+    ranges, at = [], [*map(ord, many), 0]
+    while len(at) > 1:
+        stop = next(k for k in range(len(at)) if at[k + 1] != at[k] + 1)
+        ranges.append(f"\\x{{{at[0]:x}}}-\\x{{{at[stop]:x}}}")
+        at = at[stop + 1 :]
+    capitals = [chr(k) for k in range(65, 91)]
+    return "".join(capitals + one + gone), "".join(capitals).lower() + "".join(become), "".join(many), _MARK.join(several), "".join(ranges) + f"\\x{{{_SYLLABLES[0]:x}}}-\\x{{{_SYLLABLES[1]:x}}}"
+
+
+def _syllable(c: Column) -> Column:
+    at = F.ascii(c) - _SYLLABLES[0]
+    pick = lambda letters, k: F.substr(F.lit(letters), k.cast("int") + 1, F.lit(1))
+    last = at % 28
+    return F.concat(pick(_JAMO[0], F.floor(at / 588)), pick(_JAMO[1], F.floor(at % 588 / 28)), F.when(last > 0, pick(_JAMO[2], last - 1)).otherwise(""))
+
 
-        return pa.array([one(s) for s in texts.to_pylist()], pa.string())
+def fold_accents(c: Column) -> Column:
+    """Compatibility decomposition without combining marks, lower case, by tables and expressions of the JVM."""
+    one, become, many, several, kinds = _folding()
+
+    def expand(piece: Column) -> Column:
+        at = F.instr(F.lit(many), piece)
+        known = F.when(at > 0, F.get(F.split(F.lit(several), _MARK), at - 1)).otherwise(_syllable(piece))
+        return F.when((F.length(piece) == 1) & piece.rlike(f"[{kinds}]"), known).otherwise(piece)
 
-    return fold(c)
+    pieces = F.regexp_extract_all(c, F.lit(f"[{kinds}]|[^{kinds}]+"), F.lit(0))
+    whole = F.when(c.rlike(f"[{kinds}]"), F.array_join(F.transform(pieces, expand), "")).otherwise(c)
+    folded = F.translate(whole, one, become)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).when(folded.contains("\u03a3"), F.lower(folded)).otherwise(folded)
 
 
 def tokens(c: Column) -> Column:
@@ -117,21 +160,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(sizes, lambda n: F.when((n["a"] == 0) | (n["b"] == 0), 0.0).otherwise(n["both"] / (n["a"] + n["b"] - n["both"])))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Token-set ratio (0 to 1) of the library RapidFuzz, where the workers have it; raises ImportError where this process has not."""
-    import importlib.util
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts, a row of bits for each character of one of them."""
+
+    def length(x: str, y: str) -> int:
+        if len(x) > len(y):
+            x, y = y, x
+        places: dict[str, int] = {}
+        for i, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << i
+        every = (1 << len(x)) - 1
+        row = every  # a zero bit where the subsequence grows by that character
+        for c in y:
+            met = row & places.get(c, 0)
+            row = (row + met | row - met) & every
+        return len(x) - row.bit_count()
+
+    @F.arrow_udf("int")
+    def count(lefts, rights):
+        import pyarrow as pa
 
-    if importlib.util.find_spec("rapidfuzz") is None:
-        raise ImportError("The token-set ratio needs RapidFuzz; without it, titles are compared by their token sets")
+        return pa.array([None if x is None or y is None else length(x, y) for x, y in zip(lefts.to_pylist(), rights.to_pylist())], pa.int32())
 
-    @F.arrow_udf("double")
-    def ratio(lefts, rights):
-        import pyarrow as pa
-        from rapidfuzz import fuzz
+    return count(a, b)
 
-        return pa.array([fuzz.token_set_ratio(x or "", y or "") / 100 for x, y in zip(lefts.to_pylist(), rights.to_pylist())], pa.float64())
 
-    return ratio(strip_latex(a), strip_latex(b))
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Token-set ratio (0 to 1) of two titles: the best agreement, in insertions and deletions, among what their token sets share and what they
+    share followed by the rest of each. 1 where one set holds the other, 0 where either has no token; tokens are parted by white space, and case counts."""
+    pieces = lambda c: F.array_distinct(F.filter(F.split(strip_latex(c), f"{WS}+"), lambda t: t != ""))
+    x, y = pieces(a), pieces(b)
+    line = lambda tokens: F.array_join(F.array_sort(tokens), " ")
+    rest_x, rest_y = line(F.array_except(x, y)), line(F.array_except(y, x))
+    both = line(F.array_intersect(x, y))
+    common = common_subsequence(rest_x, rest_y)
+    whole = lambda distance, total: F.when(total > 0, 1 - distance / total).otherwise(1.0)
+    m, n, k = (F.length(t).cast("double") for t in (rest_x, rest_y, both))
+    gap = F.when(k > 0, 1.0).otherwise(0.0)
+    full = whole(m + n - 2 * common, 2 * (k + gap) + m + n)
+    shared = lambda r: F.when(k > 0, whole(gap + r, 2 * k + gap + r)).otherwise(0.0)
+    ratio = F.when((k > 0) & ((m == 0) | (n == 0)), 1.0).otherwise(F.greatest(full, shared(m), shared(n)))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(ratio)
 
 
 def title_similarity(a: Column, b: Column, fuzzy: bool = False) -> Column:

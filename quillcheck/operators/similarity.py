@@ -1,13 +1,19 @@
 """Exact token-similarity join by rare-first prefixes.
 
-Rows with the same token set are one side's group, so copies never multiply. Within a set, tokens stand in one order for all
-sets: those that are not among the ``FREQUENT`` most frequent first, then these, the most frequent last. Two sets of Jaccard similarity t or
-more share a token among their first n - ceil(t n) + 1 tokens, whatever the order is, and differ in size by a factor of t at most;
-candidates that meet so are verified. Only the list of frequent tokens goes to all tasks.
+Rows with the same token set are one side's group, so copies never multiply. Tokens stand in one order for all sets: by the number of sets
+that have them, then by name. Two sets of Jaccard similarity t or more differ in size by a factor of t at most and share a token among their first
+n - ceil(t n) + 1 tokens. They meet under the first token that they share, with size classes in the key: the ratio of two classes is
+t, so similar sets are in the same class or in neighbouring ones. At that token, at places i and j, what is left of both must
+be as long as the overlap that t asks for (positional filter). A pair counts under its first shared token only, so none has to be made distinct; what is left is verified.
+
+Counts of tokens are joined, those of the most frequent ones by broadcast (a bounded list), so that no token gathers its sets in one
+task. A key with more than ``PART`` sets of the right side is dealt in parts, with the left side's rows in each.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +26,35 @@ def set_key(tokens):
     return F.array_join(F.array_sort(tokens), " ")
 
 
-#: Tokens whose frequencies count, and the longest of them: the size of what is broadcast.
+#: Tokens whose counts are sent to all tasks, and the longest of them: the size of what is broadcast.
 FREQUENT, LONGEST = 20_000, 64
+#: Sets of a key that meet the left side's rows at once.
+PART = 2_000
 
 
-def frequent_tokens(sets: DataFrame) -> DataFrame:
-    """The most frequent tokens of all sets: token, df. At most ``FREQUENT`` rows of at most ``LONGEST`` characters."""
-    each = sets.select(F.explode("tokens").alias("token")).where(F.length("token") <= LONGEST)
-    return cut(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").orderBy(F.desc("df"), "token").limit(FREQUENT))
+def token_counts(sets: DataFrame) -> DataFrame:
+    """In how many sets each token is: token, df."""
+    return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def _prefixes(sets: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
+def _prefixes(sets: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """For each set, its first tokens in the order of all: set, n, prefix."""
+    often = counts.where((F.length("token") <= LONGEST) & (F.col("df") > 1)).orderBy(F.desc("df"), "token").limit(FREQUENT)
     each = sets.select("set", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(F.broadcast(often), "token", "left")
-    ranked = each.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("order"))
+    # tokens whose count is known have keys of their own, which nothing meets
+    key = F.when(F.col("df").isNull(), F.concat(F.lit("="), "token")).otherwise(F.concat(F.lit("-"), F.xxhash64("set", "token").cast("string")))
+    rest = counts.select(F.concat(F.lit("="), "token").alias("_key"), F.col("df").alias("_df"))
+    each = each.withColumn("_key", key).join(rest, "_key", "left").select("set", "n", F.coalesce("df", "_df").alias("df"), "token")
     keep = F.col("n") - F.ceil(F.lit(threshold).cast("decimal(6,4)") * F.col("n")).cast("int") + 1
-    return ranked.select("set", "n", F.explode(F.slice("order", F.lit(1), keep)).alias("o")).select("set", "n", "o.token")
+    ranked = each.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    return ranked.select("set", "n", F.transform(F.slice("order", F.lit(1), keep), lambda o: o["token"]).alias("prefix"))
+
+
+def _size_class(n, threshold: float):
+    """Sizes whose ratio is the threshold at least are in one class or in neighbouring ones."""
+    if threshold >= 1:
+        return n.cast("int")
+    return F.floor(F.log(n.cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
 
 
 def similar_sets(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
@@ -44,13 +64,25 @@ def similar_sets(left: DataFrame, right: DataFrame | None, threshold: float) ->
     """
     left = left.select("set", "tokens").where("size(tokens) > 0").dropDuplicates(["set"])
     other = left if right is None else right.select("set", "tokens").where("size(tokens) > 0").dropDuplicates(["set"])
-    every = left if right is None else left.unionByName(other)
-    often = frequent_tokens(every)
-    a = _prefixes(left, often, threshold).select("token", F.col("set").alias("a"), F.col("n").alias("na"))
-    b = _prefixes(other, often, threshold).select("token", F.col("set").alias("b"), F.col("n").alias("nb"))
+    counts = cut(token_counts(left if right is None else left.unionByName(other)))
+    one = cut(_prefixes(left, counts, threshold))
+    two = one if right is None else cut(_prefixes(other, counts, threshold))
+    place = F.posexplode("prefix").alias("i", "token")
+    own = _size_class(F.col("n"), threshold)
+    a = one.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"), own.alias("own"), place)
+    a = a.select("a", "na", "pa", "token", F.col("i").alias("ia"), F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)).alias("class"))
+    b = two.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"), own.alias("class"), place).withColumnRenamed("i", "ib")
+    at = ["token", "class"]
+    large = b.groupBy(*at).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    b = b.join(large, at, "left").withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("parts")
+    a = a.join(large, at, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     t = F.lit(threshold).cast("decimal(6,4)")
     fits = (F.col("na") >= t * F.col("nb")) & (F.col("nb") >= t * F.col("na"))
-    met = a.join(b, "token").where(fits & (F.col("a") < F.col("b")) if right is None else fits).select("a", "b").distinct()
+    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    reach = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= overlap
+    first = ~F.arrays_overlap(F.slice("pa", F.lit(1), F.col("ia")), F.slice("pb", F.lit(1), F.col("ib")))
+    met = a.join(b, [*at, "part"]).where(fits & reach & (F.col("a") < F.col("b")) if right is None else fits & reach).where(first).select("a", "b")
     split = lambda c: F.split(c, " ")
     return met.withColumn("similarity", T.jaccard(split(F.col("a")), split(F.col("b")))).where(F.col("similarity") >= threshold)
 
@@ -76,7 +108,7 @@ def duplicate_classes(entries: DataFrame, key: str, title: str, threshold: float
 
 def duplicate_issues(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Issues within each bibliography file: every pair of entries (file, ord, key, title) with similar titles, in file order."""
-    # tokens carry their file, so that only titles of one file meet
+    # tokens carry their file, so that only titles of one file meet, and their order is that of the file
     own = F.concat(F.hex(F.xxhash64(F.col("file"))), F.lit(":"))
     rows = entries.select("file", "ord", "key", F.transform(T.tokens(T.strip_latex(F.col("title"))), lambda t: F.concat(own, t)).alias("tokens"))
     rows = cut(rows.withColumn("set", set_key(F.col("tokens"))).where("size(tokens) > 0"))

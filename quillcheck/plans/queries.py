@@ -60,6 +60,13 @@ def match_title(spark, d):
     return _matched(spark, d, lambda p: M.match_title(F.col("title"), F.col("rec.title")))
 
 
+def title_ratio(spark, d):
+    """Token-set ratio of each entry's title and that of its s2 record, words in another order."""
+    p = _pairs(spark, d).where("rec is not null")
+    turned = F.array_join(F.reverse(F.split("rec.title", " ")), " ")
+    return p.select("id", T.token_set_ratio(F.col("title"), F.when(F.col("id") % 2 == 0, turned).otherwise(F.concat(F.substring("rec.title", 3, 60), F.lit(" xyz")))).alias("ratio"))
+
+
 def match_authors(spark, d):
     return _matched(spark, d, lambda p: M.match_authors(F.col("author"), F.col("rec.authors")))
 
@@ -349,4 +356,4 @@ def feedback_latest(spark, d):
     return feedback.latest(load(spark, d, "feedback"), 20).select("file", "issue", "severity")
 
 
-QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_summary, scan_report, annotation_findings, scan_verdict, bib_parse, tex_includes, tex_audit, fail_summary, json_summary, author_fold, ref_split, ref_parse, bib_render, resolve_refs, resolve_raw, resolve_cascade, pdf_pages, pdf_hidden, pdf_metadata, autofixed, feedback_stats, feedback_latest)}
+QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, title_ratio, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_summary, scan_report, annotation_findings, scan_verdict, bib_parse, tex_includes, tex_audit, fail_summary, json_summary, author_fold, ref_split, ref_parse, bib_render, resolve_refs, resolve_raw, resolve_cascade, pdf_pages, pdf_hidden, pdf_metadata, autofixed, feedback_stats, feedback_latest)}
