@@ -1,7 +1,7 @@
 """BibTeX files as entries.
 
-Braces nest and strings join with ``#``, which no regular expression reads, so a small scanner runs over whole files in Arrow batches (a file is
-the unit of distribution); everything after it is column expressions. Entries of every type are kept. ``@string`` definitions and month
+Braces nest and strings join with ``#``, which no regular expression reads, so a small scanner runs in Arrow batches: over short texts as a whole, and over
+files in the ranges in which Spark reads them (``bibsplit``); everything after it is column expressions. Entries of every type are kept. ``@string`` definitions and month
 names are filled in, ``@comment`` and ``@preamble`` are skipped, field names are in lower case, and the last of a repeated field counts.
 """
 
@@ -18,7 +18,7 @@ _RAW = "file string, ord int, key string, type string, raw map<string,string>"
 
 
 def _balanced(text: str, at: int) -> int:
-    """The place after the brace that closes the one at ``at``."""
+    """The place after the brace that closes the one at ``at``; one after the text's end where none does."""
     depth = 0
     for i in range(at, len(text)):
         if text[i] == "{":
@@ -27,7 +27,7 @@ def _balanced(text: str, at: int) -> int:
             depth -= 1
             if not depth:
                 return i + 1
-    return len(text)
+    return len(text) + 1
 
 
 def _value(text: str, at: int, names: dict[str, str]) -> tuple[str, int]:
@@ -58,47 +58,71 @@ def _value(text: str, at: int, names: dict[str, str]) -> tuple[str, int]:
     return "".join(parts), at
 
 
+def _header(text: str, at: int) -> tuple[str, int]:
+    """Kind (lower case) of the entry that may begin with the sign at ``at``, and where its bracket stands (-1: no entry)."""
+    brace = at + 1
+    while brace < len(text) and (text[brace].isalnum() or text[brace] in "_-"):
+        brace += 1
+    kind, start = text[at + 1 : brace].lower(), brace
+    while start < len(text) and text[start].isspace():
+        start += 1
+    return kind, start if kind and start < len(text) and text[start] in "{(" else -1
+
+
+def _end(text: str, start: int) -> int:
+    """The place after the entry whose bracket stands at ``start``; one after the text's end where it is not closed."""
+    if text[start] == "{":
+        return _balanced(text, start)
+    stop = text.find("\n)", start)
+    return stop + 2 if stop >= 0 else len(text) + 1
+
+
+def _closed(text: str, start: int, end: int) -> str:
+    """What stands between an entry's brackets."""
+    return text[start + 1 : end - 1]
+
+
+def _fields(body: str, kind: str, names: dict[str, str]) -> tuple[str, dict[str, str]]:
+    """Key and fields of an entry; names that ``names`` knows are filled in."""
+    key, place = "", 0
+    if kind != "string":
+        comma = body.find(",")
+        key, place = (body if comma < 0 else body[:comma]).strip(), len(body) if comma < 0 else comma + 1
+    fields: dict[str, str] = {}
+    while place < len(body):
+        equals = body.find("=", place)
+        if equals < 0:
+            break
+        name = body[place:equals].strip(" \t\r\n,").lower()
+        fields[name], place = _value(body, equals + 1, names)
+        place += 1
+    return key, fields
+
+
 def scan(text: str) -> list[tuple[str, str, dict[str, str]]]:
     """Entries of a BibTeX text: key, type (lower case) and fields."""
     out, names, at = [], dict(MONTHS), 0
     while (at := text.find("@", at)) >= 0:
-        brace = at + 1
-        while brace < len(text) and (text[brace].isalnum() or text[brace] in "_-"):
-            brace += 1
-        kind, start = text[at + 1 : brace].lower(), brace
-        while start < len(text) and text[start].isspace():
-            start += 1
-        if not kind or start >= len(text) or text[start] not in "{(":
+        kind, start = _header(text, at)
+        if start < 0:
             at += 1
             continue
-        end = _balanced(text, start) if text[start] == "{" else (text.find("\n)", start) + 2 or len(text))
-        body = text[start + 1 : end - 1]
-        at = end
+        at = end = _end(text, start)
         if kind in ("comment", "preamble"):
             continue
-        key, place = "", 0
-        if kind != "string":
-            comma = body.find(",")
-            key, place = (body if comma < 0 else body[:comma]).strip(), len(body) if comma < 0 else comma + 1
-        fields: dict[str, str] = {}
-        while place < len(body):
-            equals = body.find("=", place)
-            if equals < 0:
-                break
-            name = body[place:equals].strip(" \t\r\n,").lower()
-            value, place = _value(body, equals + 1, names)
-            fields[name] = " ".join(value.split()) if kind != "string" else value
-            place += 1
+        key, fields = _fields(_closed(text, start, end), kind, names)
         if kind == "string":
             names |= fields
         else:
-            out.append((key, kind, fields))
+            out.append((key, kind, {k: " ".join(v.split()) for k, v in fields.items()}))
     return out
 
 
 def read_bib(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of BibTeX files; see ``parse_texts``."""
-    return parse_texts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    """Entries of BibTeX files of any size; see ``bibsplit``."""
+    from .bibsplit import read_split
+
+    return typed(read_split(spark, path))
 
 
 def parse_texts(files: DataFrame) -> DataFrame:

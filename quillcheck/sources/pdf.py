@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPANS = "doc string, page int, width double, height double, annotations array<string>, seq int, text string, x0 double, y0 double, x1 double, y1 double, base double, size double, color int"
+#: What ``pages`` gives, for tables of pages that come from elsewhere.
+PAGES = "doc string, page int, text string, width double, height double, blocks array<struct<type:int,x0:double,y0:double,x1:double,y1:double,lines:array<struct<spans:array<struct<text:string,size:double,color:int>>>>>>, annotations array<string>"
 META = ("title", "author", "subject", "keywords", "creator", "producer")
 #: Spans of a batch that a task sends at once.
 SENT = 5000
