@@ -70,14 +70,18 @@ def match_year(year: Column, found: Column) -> Column:
     )
 
 
+def _pairs(pairs) -> Column:
+    """Pairs of texts as an array of short and full, in one expression."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("array(" + ", ".join(f"named_struct('short', {quoted(a)}, 'full', {quoted(b)})" for a, b in pairs) + ")")
+
+
 def normal_venue(c: Column) -> Column:
     """A venue in lower case, short forms spelled out."""
 
     def spell(s: Column) -> Column:
-        v, out = s["v"], None
-        for short, full in SHORT_VENUES:
-            out = F.when(v.startswith(short), full) if out is None else out.when(v.startswith(short), full)
-        return out.otherwise(v)
+        v = s["v"]
+        return F.coalesce(F.get(F.filter(_pairs(SHORT_VENUES), lambda k: v.startswith(k["short"])), F.lit(0))["full"], v)
 
     return T.let({"v": T.strip(F.lower(T.strip_latex(c)))}, spell)
 
@@ -85,7 +89,7 @@ def normal_venue(c: Column) -> Column:
 def match_venue(venue: Column, found: Column) -> Column:
     """Venues by names, tokens and abbreviations; never FAIL."""
     preprint = lambda v: v.contains("arxiv") | v.contains("corr")
-    known = F.array(*(F.struct(F.lit(x).alias("short"), F.lit(y).alias("full")) for x, y in VENUES))
+    known = _pairs(VENUES)
     has = lambda v, k: v.contains(k["short"]) | v.contains(k["full"])
 
     def compare(v: Column) -> Column:

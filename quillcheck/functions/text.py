@@ -27,7 +27,7 @@ def spelled(pattern: str) -> str:
 
 def let(values: dict[str, Column], body) -> Column:
     """``body`` of a struct of values, each of which is worked out once a row, however often the body uses it."""
-    bound = F.array(F.struct(*(c.alias(k) for k, c in values.items())))
+    bound = F.array(F.named_struct(*(x for k, c in values.items() for x in (F.lit(k), c))))
     return F.get(F.transform(bound, body), F.lit(0))
 
 
@@ -48,26 +48,27 @@ def strip(c: Column) -> Column:
 
 
 @lru_cache
-def _composed(mark: str) -> tuple[str, str]:
-    """Letters that have a composed form with a combining mark, and those forms."""
-    bases, forms = [], []
-    for code in range(0x41, 0x250):
-        base = chr(code)
-        form = unicodedata.normalize("NFC", base + mark)
-        if len(form) == 1:
-            bases.append(base)
-            forms.append(form)
-    return "".join(bases), "".join(forms)
+def _composed() -> tuple[str, str, str, str]:
+    """Pairs of an accent command and a letter that have a composed form, each after a mark; these forms; the commands, and their combining marks."""
+    pairs, forms = [], []
+    for command, mark in ACCENTS.items():
+        for code in range(0x41, 0x250):
+            form = unicodedata.normalize("NFC", chr(code) + mark)
+            if len(form) == 1:
+                pairs.append(_MARK + command + chr(code))
+                forms.append(form)
+    return "".join(pairs), "".join(forms), "".join(ACCENTS), "".join(ACCENTS.values())
 
 
 def _compose(part: Column) -> Column:
-    accent, base = F.substring(part, 1, 1), F.substring(part, 2, 1)
-    out: Column = base
-    for command, mark in ACCENTS.items():
-        bases, forms = _composed(mark)
-        made = F.when(F.instr(F.lit(bases), base) > 0, F.translate(base, bases, forms)).otherwise(F.concat(base, F.lit(mark)))
-        out = F.when(accent == command, made).otherwise(out)
-    return F.concat(out, F.substr(part, F.lit(3)))
+    """A command's letter with its accent, and what follows."""
+    pairs, forms, commands, marks = _composed()
+
+    def made(v: Column) -> Column:
+        single = F.substr(F.lit(forms), ((v["at"] - 2) / 3).cast("int") + 1, F.lit(1))
+        return F.when(v["at"] > 0, single).otherwise(F.concat(F.substring(part, 2, 1), F.translate(F.substring(part, 1, 1), commands, marks)))
+
+    return F.concat(let({"at": F.instr(F.lit(pairs), F.substring(part, 1, 2))}, made), F.substr(part, F.lit(3)))
 
 
 def _accents(c: Column, pattern: str) -> Column:
@@ -143,10 +144,14 @@ def fold_accents(c: Column) -> Column:
         known = F.when(at > 0, F.get(F.split(F.lit(several), _MARK), at - 1)).otherwise(_syllable(piece))
         return F.when((F.length(piece) == 1) & piece.rlike(f"[{kinds}]"), known).otherwise(piece)
 
-    pieces = F.regexp_extract_all(c, F.lit(f"[{kinds}]|[^{kinds}]+"), F.lit(0))
-    whole = F.when(c.rlike(f"[{kinds}]"), F.array_join(F.transform(pieces, expand), "")).otherwise(c)
-    folded = F.translate(whole, one, become)
-    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).when(folded.contains("\u03a3"), F.lower(folded)).otherwise(folded)
+    def fold(v: Column) -> Column:
+        c = v["c"]
+        pieces = F.regexp_extract_all(c, F.lit(f"[{kinds}]|[^{kinds}]+"), F.lit(0))
+        whole = F.when(c.rlike(f"[{kinds}]"), F.array_join(F.transform(pieces, expand), "")).otherwise(c)
+        folded = let({"f": F.translate(whole, one, become)}, lambda w: F.when(w["f"].contains("\u03a3"), F.lower(w["f"])).otherwise(w["f"]))
+        return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(folded)
+
+    return let({"c": c}, fold)
 
 
 def tokens(c: Column) -> Column:

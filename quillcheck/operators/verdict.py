@@ -94,6 +94,7 @@ def _phantom(kind: str, name: str, what: str, source: str) -> Column:
 def fold(gathered: DataFrame) -> DataFrame:
     """Per entry: id, key, title, overall, sources_tried, sources_hit, checks (array in order), suggested_fixes (array), and lookup_errors where
     these were asked for."""
+    gathered = cut(gathered)  # read for the checks and for the entries themselves
     hit = lambda s: F.col(f"rec_{s}").isNotNull()
     no_hit = ~(hit("arxiv") | hit("crossref") | hit("dblp") | hit("s2"))
     tried = F.array_compact(F.array(F.when(T.filled(F.col("arxiv_id")), "arxiv"), F.when(T.filled(F.col("doi")), "crossref"), F.lit("dblp"), F.lit("s2"), F.when(no_hit, "openalex")))

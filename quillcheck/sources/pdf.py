@@ -18,6 +18,7 @@ SPANS = "doc string, page int, width double, height double, annotations array<st
 #: What ``pages`` gives, for tables of pages that come from elsewhere.
 PAGES = "doc string, page int, text string, width double, height double, blocks array<struct<type:int,x0:double,y0:double,x1:double,y1:double,lines:array<struct<spans:array<struct<text:string,size:double,color:int>>>>>>, annotations array<string>"
 META = ("title", "author", "subject", "keywords", "creator", "producer")
+METADATA = "doc string, " + ", ".join(f"{k} string" for k in META)
 #: Spans of a batch that a task sends at once.
 SENT = 5000
 #: Gaps, in sizes of the font: between words; between lines of a block, and between columns of a line.
@@ -119,4 +120,4 @@ def metadata(content: DataFrame) -> DataFrame:
         said = [text_of(pdf, info.get(k.capitalize())) if isinstance(info, dict) and not locked else "" for k in META]
         yield (doc, *said, n, "encrypted" if locked else None if n else "no pages")
 
-    return content.select("doc", "content").mapInArrow(lambda batches: _rows(batches, rows_of, schema), "doc string, " + ", ".join(f"{k} string" for k in META) + ", pages int, error string")
+    return content.select("doc", "content").mapInArrow(lambda batches: _rows(batches, rows_of, schema), METADATA + ", pages int, error string")
