@@ -358,3 +358,8 @@ ORACLES |= {
     "resolve_cascade": f"WITH {_PARSED}, {_BM25}, " + _RES.split(f"WITH {_PARSED}, ", 1)[1].split("SELECT p.doc", 1)[0] + """SELECT p.doc, p.index::BIGINT AS index, CASE WHEN raws.rec_id IS NOT NULL THEN 'crossref' WHEN b2.rec_id IS NOT NULL THEN 's2' END AS resolved_by, coalesce(raws.rec_id, b2.rec_id) AS rec_id
 FROM parsed p LEFT JOIN raws ON raws.id = p.doc * 1000 + p.index JOIN et ON et.id = p.doc * 1000 + p.index JOIN gt ON gt.t = et.t AND gt.ours = et.ours LEFT JOIN b2 ON b2.id = gt.id""",
 }
+
+ORACLES["bench_crosstab"] = f"""WITH m AS ({ORACLES['match_title']}), l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id), s2 AS (SELECT DISTINCT pos FROM ({C}) c WHERE source = 's2'),
+k AS (SELECT m.id, status, CASE WHEN s2.pos IS NULL THEN 'hallucinated' WHEN toxic = 1 THEN 'retracted' WHEN m.id % 7 = 0 THEN 'chimera' ELSE 'real' END AS category FROM m LEFT JOIN l ON m.id = l.doc_id LEFT JOIN s2 ON s2.pos = m.id),
+t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5('42:' || id), id) <= 50), g AS (SELECT category, status, count(*) AS n, GROUPING(category, status) AS level FROM t GROUP BY GROUPING SETS ((category, status), (category), (status), ()))
+SELECT category, status, n, n / CASE WHEN level < 2 THEN sum(CASE WHEN level = 0 THEN n ELSE 0 END) OVER (PARTITION BY category) ELSE (SELECT max(n) FROM g) END AS share, level::BIGINT AS level FROM g"""

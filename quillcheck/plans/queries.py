@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matchers as M
 from ..functions import text as T
-from ..operators import autofix, feedback, injection, lookup, references, report, similarity, texaudit, verdict
+from ..operators import autofix, crosstab, feedback, injection, lookup, references, report, similarity, texaudit, verdict
 from ..sources import bibtex, pdf, records
 from .inputs import load
 from .pdfinput import pdf_files
@@ -71,6 +71,15 @@ def match_authors(spark, d):
     return _matched(spark, d, lambda p: M.match_authors(F.col("author"), F.col("rec.authors")))
 
 
+def bench_crosstab(spark, d):
+    """Title matches of labelled entries: at most 50 of each category, by category and status."""
+    marks = spark.read.parquet(f"{d}/labels.parquet").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    rows = _pairs(spark, d).join(marks, "id", "left")
+    kind = F.when(F.col("rec").isNull(), "hallucinated").when(F.col("toxic") == 1, "retracted").when(F.col("id") % 7 == 0, "chimera").otherwise("real")
+    made = rows.select("id", kind.alias("category"), M.match_title(F.col("title"), F.col("rec.title"))["status"].alias("status"))
+    return crosstab.crosstab(crosstab.stratified(made, "category", "id", 50), "category", "status")
+
+
 def match_year(spark, d):
     return _matched(spark, d, lambda p: M.match_year(F.col("year"), F.col("rec.year")))
 
@@ -356,4 +365,4 @@ def feedback_latest(spark, d):
     return feedback.latest(load(spark, d, "feedback"), 20).select("file", "issue", "severity")
 
 
-QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, title_ratio, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_summary, scan_report, annotation_findings, scan_verdict, bib_parse, tex_includes, tex_audit, fail_summary, json_summary, author_fold, ref_split, ref_parse, bib_render, resolve_refs, resolve_raw, resolve_cascade, pdf_pages, pdf_hidden, pdf_metadata, autofixed, feedback_stats, feedback_latest)}
+QUERIES = {f.__name__: f for f in (*RECORDS, token_jaccard_dups, duplicate_issues, latex_strip, accent_fold, surname, arxiv_ids, match_title, bench_crosstab, title_ratio, match_authors, match_year, match_venue, validate_match, doi_lookup, arxiv_lookup, title_search_top1, cascade, phantom_ids, verdicts, checks, suggested_fixes, status_pivot, source_coverage, markdown_report, cite_extract, comment_strip, tex_phantom, tex_orphan, injection_counts, injection_findings, invisible_runs, hidden_spans, offpage, metadata_scan, scan_findings, scan_summary, scan_report, annotation_findings, scan_verdict, bib_parse, tex_includes, tex_audit, fail_summary, json_summary, author_fold, ref_split, ref_parse, bib_render, resolve_refs, resolve_raw, resolve_cascade, pdf_pages, pdf_hidden, pdf_metadata, autofixed, feedback_stats, feedback_latest)}
