@@ -64,11 +64,10 @@ def _compose(part: Column) -> Column:
     """A command's letter with its accent, and what follows."""
     pairs, forms, commands, marks = _composed()
 
-    def made(v: Column) -> Column:
-        single = F.substr(F.lit(forms), ((v["at"] - 2) / 3).cast("int") + 1, F.lit(1))
-        return F.when(v["at"] > 0, single).otherwise(F.concat(F.substring(part, 2, 1), F.translate(F.substring(part, 1, 1), commands, marks)))
-
-    return F.concat(let({"at": F.instr(F.lit(pairs), F.substring(part, 1, 2))}, made), F.substr(part, F.lit(3)))
+    at = F.instr(F.lit(pairs), F.substring(part, 1, 2))
+    single = F.substr(F.lit(forms), ((at - 2) / 3).cast("int") + 1, F.lit(1))
+    made = F.when(at > 0, single).otherwise(F.concat(F.substring(part, 2, 1), F.translate(F.substring(part, 1, 1), commands, marks)))
+    return F.concat(made, F.substr(part, F.lit(3)))
 
 
 def _accents(c: Column, pattern: str) -> Column:

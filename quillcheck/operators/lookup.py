@@ -116,11 +116,11 @@ def resolve_raw(refs: DataFrame, catalog: DataFrame, source: str = "crossref", l
 
 def resolve(refs: DataFrame, catalog: DataFrame, least: float = SCORE, least_title: float = LEAST) -> DataFrame:
     """Parsed references (id, raw, title, author) with ``rec``, ``resolved_by`` and ``score``: the record of crossref that the raw string finds; where
-    there is none, the best title of s2, if there is one."""
+    there is none (small catalogs give low scores), the best title of crossref, then of s2."""
     raw = resolve_raw(refs, catalog, "crossref", least)
     found = cut(refs.join(raw, "id", "left"))
     missed = found.where(F.col("rec").isNull() & T.filled(F.col("title"))).select("id", "title", "author")
-    titles = search_titles(missed, catalog, ("s2",)).where((F.col("form") == 0) & (F.col("similarity") >= least_title)).select("id", F.col("rec").alias("_rec"))
+    titles = search_titles(missed, catalog, ("crossref", "s2")).where((F.col("form") == 0) & (F.col("similarity") >= least_title))
+    titles = titles.groupBy("id").agg(F.min(F.struct("source", "rec")).alias("hit"))
     both = found.join(titles, "id", "left")
-    by = F.when(F.col("rec").isNotNull(), "crossref").when(F.col("_rec").isNotNull(), "s2")
-    return both.withColumn("resolved_by", by).withColumn("rec", F.coalesce("rec", "_rec")).drop("_rec")
+    return both.withColumn("resolved_by", F.when(F.col("rec").isNotNull(), "crossref").otherwise(F.col("hit.source"))).withColumn("rec", F.coalesce("rec", "hit.rec")).drop("hit")

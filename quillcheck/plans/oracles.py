@@ -355,8 +355,8 @@ bq AS MATERIALIZED (SELECT DISTINCT list_sort(list_distinct(regexp_extract_all(l
 best AS MATERIALIZED (SELECT q, rec_id, score FROM bs WHERE score >= 12000000 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, pos, rec_id) = 1), raws AS MATERIALIZED (SELECT id, best.rec_id, round(score / 1000000::DOUBLE, 6) AS score FROM rp JOIN best ON q = list_sort(list_distinct(regexp_extract_all(lower(substr(raw, 1, 300)), '[a-z0-9]+'))))"""
 ORACLES |= {
     "resolve_raw": f"WITH {_PARSED}, {_BM25} SELECT id, rec_id, score FROM raws",
-    "resolve_cascade": f"WITH {_PARSED}, {_BM25}, " + _RES.split(f"WITH {_PARSED}, ", 1)[1].split("SELECT p.doc", 1)[0] + """SELECT p.doc, p.index::BIGINT AS index, CASE WHEN raws.rec_id IS NOT NULL THEN 'crossref' WHEN b2.rec_id IS NOT NULL THEN 's2' END AS resolved_by, coalesce(raws.rec_id, b2.rec_id) AS rec_id
-FROM parsed p LEFT JOIN raws ON raws.id = p.doc * 1000 + p.index JOIN et ON et.id = p.doc * 1000 + p.index JOIN gt ON gt.t = et.t AND gt.ours = et.ours LEFT JOIN b2 ON b2.id = gt.id""",
+    "resolve_cascade": f"WITH {_PARSED}, {_BM25}, " + _RES.split(f"WITH {_PARSED}, ", 1)[1].split("SELECT p.doc", 1)[0] + """SELECT p.doc, p.index::BIGINT AS index, CASE WHEN coalesce(raws.rec_id, b1.rec_id) IS NOT NULL THEN 'crossref' WHEN b2.rec_id IS NOT NULL THEN 's2' END AS resolved_by, coalesce(raws.rec_id, b1.rec_id, b2.rec_id) AS rec_id
+FROM parsed p LEFT JOIN raws ON raws.id = p.doc * 1000 + p.index JOIN et ON et.id = p.doc * 1000 + p.index JOIN gt ON gt.t = et.t AND gt.ours = et.ours LEFT JOIN b1 ON b1.id = gt.id LEFT JOIN b2 ON b2.id = gt.id""",
 }
 
 ORACLES["bench_crosstab"] = f"""WITH m AS ({ORACLES['match_title']}), l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id), s2 AS (SELECT DISTINCT pos FROM ({C}) c WHERE source = 's2'),
