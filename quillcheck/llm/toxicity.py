@@ -192,6 +192,8 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 _STRETCH = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _SIGNS = re.compile("[%s]+" % re.escape("".join(LEET)))
+_SEGMENT = re.compile("[%s._~'-]+" % re.escape("".join(LEET)))
+_NUMBER = re.compile(r"\+?\d[\d.,:/-]*")  # dates, times and numbers with marks are no words
 _EMPTY = re.compile(r"\A([*#%&])\1\1+|(?<![*#%&])([*#%&])\2\2+\Z")  # signs that stand for no letter, at the ends
 # Punctuation around words; at the beginning and at the end it may be decoration.
 _MARKS, _AROUND, _BEFORE, _AFTER = ".,;:?", "\"'[{.,;:?)]}>~_-", "\"'([{<.,;:?-", "\"')]}>.,;:?!-"
@@ -250,10 +252,15 @@ class Restorer:
     def _read(self, core: str) -> list[str]:
         if any(map(str.isalpha, core)):
             return restore(core, self.costs).split()
-        # what stands between signs and digits may join words or part them
-        runs = _SIGNS.findall(core)
-        readings = [core, *runs] if runs and runs != [core] else runs
-        return [w for part in readings for w in restore(part, self.costs).split() if self.likely(w)]
+        if _NUMBER.fullmatch(core) and not core.isdigit():
+            return []
+        # marks that no step of the lattice joins part segments; within one, what joins may part as well
+        out = []
+        for segment in _SEGMENT.findall(core):
+            runs = _SIGNS.findall(segment)
+            for part in [segment, *runs] if len(runs) > 1 else runs:
+                out += [w for w in restore(part, self.costs).split() if self.likely(w)]
+        return out
 
     def likely(self, word: str) -> bool:
         """Whether a word of letters is likelier than as many letters at random."""
