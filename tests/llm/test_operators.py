@@ -486,7 +486,7 @@ def restored_cost(text, noisy, may, costs):
 def test_toxicity_takes_long_tokens():
     restorer, rng = _restorer("idiot chapter moron " * 40 + EN * 40), random.Random(14)
     soup = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
-    cases = {"chapter" + "." * 1_000_000 + "12": "chapter", "i d i o t " * 30_000: None, soup("!@#$%^&*1234", 1_000_000): None, soup("abcdefgh0123+/", 200_000): None, "a" + "****a" * 50_000: None, "o" * 300_000: None, "1d10t" + "-" * 1_000_000: "idiot", "!?" * 500_000 + "moron": "moron"}
+    cases = {"chapter" + "." * 1_000_000 + "12": "chapter", "i d i o t " * 30_000: None, soup("!@#$%^&*1234", 300_000): None, soup("abcdefgh0123+/", 200_000): None, "a" + "****a" * 50_000: None, "o" * 300_000: None, "1d10t" + "-" * 1_000_000: "idiot", "!?" * 500_000 + "moron": "moron"}
     for text, word in cases.items():
         began = time.time()
         found = restorer.words(text)[0]
