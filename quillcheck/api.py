@@ -66,9 +66,10 @@ def verify_entry(entry: dict, catalog: DataFrame, spark: SparkSession | None = N
     return VerificationResult.of(verdict.verify(one, catalog).first())
 
 
-def audit_tex_bib(tex: str, entries: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Cited keys without an entry, and entries that are never cited; a TeX file that is not there cites nothing."""
-    return plans.audit_tex(_session(spark), tex, entries)
+def audit_tex_bib(tex: str, entries: DataFrame, spark: SparkSession | None = None, per_folder: bool = False) -> DataFrame:
+    """Cited keys without an entry, and entries that are never cited; a TeX file that is not there cites nothing. ``per_folder``: TeX files stand
+    against the bibliographies of their own folder."""
+    return plans.audit_tex(_session(spark), tex, entries, per_folder)
 
 
 def detect_duplicates(entries: DataFrame) -> DataFrame:

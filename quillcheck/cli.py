@@ -40,7 +40,7 @@ def _counts(results: DataFrame) -> str:
 
 
 def _verify(spark: SparkSession, a: argparse.Namespace) -> int:
-    made = plans.verify_bib(spark, a.bib, spark.read.parquet(a.catalog), a.tex)
+    made = plans.verify_bib(spark, a.bib, spark.read.parquet(a.catalog), a.tex, per_folder=a.per_folder)
     print(_counts(made["results"]))
     for r in report.fail_summary(made["results"]).orderBy("file", "ord").toLocalIterator():
         print(f"  {report.ICONS['FAIL']} {r['key']} \u2014 {r['reason']}")
@@ -123,6 +123,7 @@ def parser() -> argparse.ArgumentParser:
     for flag in ("--tex", "--out", "--fix", "--out-dir"):
         v.add_argument(flag)
     v.add_argument("--catalog", required=True)
+    v.add_argument("--per-folder", action="store_true", help="TeX files stand against the bibliographies of their own folder")
     v.add_argument("--json", action="store_true")
     v.add_argument("-w", "--workers", type=int, help="taken for the sake of old command lines; Spark's tasks do the work")
     s = sub.add_parser("scan", help="look for instructions aimed at reviewers")

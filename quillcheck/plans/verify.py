@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,33 +13,39 @@ from ..operators import autofix, injection, lookup, references, report, similari
 from ..sources import bibtex, files, pdf
 
 
-def audit_tex(spark: SparkSession, tex: str, entries: DataFrame) -> DataFrame:
+def _folder(path: str) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def audit_tex(spark: SparkSession, tex: str, entries: DataFrame, per_folder: bool = False) -> DataFrame:
     """TeX files, includes read in, against all entries: every entry is taken as one bibliography, whose name is that of its first file.
 
-    A path without TeX files cites nothing, so that all entries are orphans."""
-    folder = tex.rsplit("/", 1)[0] + "/*.tex" if "/" in tex and not any(c in tex for c in "*?[") else tex
+    ``per_folder``: each folder is a project of its own, whose TeX files stand against the bibliographies of the same folder; cited keys of a
+    folder without a bibliography are under the folder's name. A path without TeX files cites nothing, so that all entries are orphans."""
+    folder = tex.rsplit("/", 1)[0] + "/*.tex" if "/" in tex and (per_folder or not any(c in tex for c in "*?[")) else tex
+    project = _folder if per_folder else lambda _: F.lit("")
     try:
         every = files.read_tex(spark, folder)
         main = files.read_tex(spark, tex).select("path")
-        sources = texaudit.with_includes(every).join(main, "path", "left_semi").select(F.lit("").alias("file"), "text")
+        sources = texaudit.with_includes(every).join(main, "path", "left_semi").select(project("path").alias("file"), "text")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         sources = spark.createDataFrame([], "file string, text string")
-    audited = texaudit.audit(sources, entries.withColumn("file", F.lit("")))
-    first = entries.agg(F.min("file").alias("_file"))
-    return audited.join(F.broadcast(first)).select(F.col("_file").alias("file"), "type", "category", "key", "message")
+    audited = texaudit.audit(sources, entries.withColumn("file", project("file")))
+    first = entries.groupBy(project("file").alias("_project")).agg(F.min("file").alias("_file"))
+    return audited.join(first, F.col("file") == F.col("_project"), "left").select(F.coalesce("_file", "file").alias("file"), "type", "category", "key", "message")
 
 
-def verify_bib(spark: SparkSession, bib: str, catalog: DataFrame, tex: str | None = None, errors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Entries of BibTeX files against a catalog: results, tex_issues, dup_issues, markdown, json (one row a file)."""
+def verify_bib(spark: SparkSession, bib: str, catalog: DataFrame, tex: str | None = None, errors: DataFrame | None = None, per_folder: bool = False) -> dict[str, DataFrame]:
+    """Entries of BibTeX files against a catalog: results, tex_issues (``per_folder``: see ``audit_tex``), dup_issues, markdown, json (one row a file)."""
     from .. import __version__
 
     began = time.time()
     entries = cut(bibtex.read_bib(spark, bib))
     results = cut(verdict.verify(entries, catalog, errors=errors).join(entries.select("id", "file", "ord"), "id"))
     dups = similarity.duplicate_issues(entries)
-    issues = cut(audit_tex(spark, tex, entries)) if tex else None
+    issues = cut(audit_tex(spark, tex, entries, per_folder)) if tex else None
     made = {"entries": entries, "results": results, "tex_issues": issues, "dup_issues": dups}
     return made | {"markdown": report.markdown(results, issues, dups), "json": report.json_report(results, __version__, issues, dups, time.time() - began)}
 
