@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import ACCENTS, ARXIV_FIELDS, ARXIV_FORMS
+from .fixed import ACCENTS, ARXIV_FIELDS, ARXIV_FORMS, LATEX_ACCENTS, LATEX_COMMAND, LATEX_ESCAPE, LATEX_TEXT
 
 WS = r"[\p{IsWhite_Space}\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
@@ -20,9 +20,9 @@ _MARK = "\ue000"
 
 
 def spelled(pattern: str) -> str:
-    """A pattern with \\s, \\w and \\d spelled out."""
+    """A pattern with \\s, \\w, \\W and \\d spelled out."""
     inside = pattern.replace(r"[:\s]", rf"[:\p{{IsWhite_Space}}\x1c-\x1f]")
-    return inside.replace(r"\s", WS).replace(r"\w", WORD).replace(r"\d", r"\p{Nd}")
+    return inside.replace(r"\s", WS).replace(r"\w", WORD).replace(r"\W", WORD.replace("[", "[^")).replace(r"\d", r"\p{Nd}")
 
 
 def let(values: dict[str, Column], body) -> Column:
@@ -78,12 +78,11 @@ def _accents(c: Column, pattern: str) -> Column:
 def strip_latex(c: Column) -> Column:
     """Plain text of LaTeX markup; null gives the empty text."""
     c = F.coalesce(c, F.lit(""))
-    commands = "[`'^~\"=.vc]"
-    t = F.regexp_replace(c, rf"\\text{WORD}+\{{([^}}]*)\}}", "$1")
-    t = _accents(t, rf"\\({commands})\{{({WORD})\}}")
-    t = _accents(t, rf"\\({commands})({WORD})")
-    t = F.regexp_replace(t, r"\\([^\p{L}\p{N}_])", "$1")
-    t = F.regexp_replace(t, rf"\\[a-zA-Z]+{WS}*", "")
+    t = F.regexp_replace(c, spelled(LATEX_TEXT), "$1")
+    for pattern in LATEX_ACCENTS:
+        t = _accents(t, spelled(pattern))
+    t = F.regexp_replace(t, spelled(LATEX_ESCAPE), "$1")
+    t = F.regexp_replace(t, spelled(LATEX_COMMAND), "")
     marked = F.when(c.contains("\\"), t).otherwise(c)
     return squeeze(F.translate(marked, "{}$", ""))
 

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fixed import NEXT_SECTION, REF_HEADING
+from ..functions.fixed import NEXT_SECTION, REF_HEADING, REF_ITEMS, REF_YEAR
 
 _MANY = "(?m)(?d)"
-_BRACKET = rf"{_MANY}^{T.WS}*\[\p{{Nd}}+\]{T.WS}*"
-_DOT = rf"{_MANY}^{T.WS}*\p{{Nd}}+\.{T.WS}+(?=[A-Z])"
-_YEAR = rf"[\(\.,]{T.WS}*((?:19|20)\p{{Nd}}{{2}}){T.WS}*[\)\.,]"
+_BRACKET, _DOT = (_MANY + T.spelled(p) for p in REF_ITEMS)
+_YEAR = T.spelled(REF_YEAR)
 
 
 def section(text: Column) -> Column:
