@@ -165,3 +165,25 @@ def test_raw_references_resolve(spark):
     refs = [(1, "[1] Vaswani, A., Shazeer, N.: Attention is all you need (2017)", "", ""), (2, "He, K. Deep residual learning for image recogition. CVPR 2016", "He", "He"), (3, "Green, C. A survey of quiet gardens. W, 2001.", "A survey of quiet gardens", "Green, C."), (4, "nothing like it", "nothing like it", "")]
     got = {r.id: (r.resolved_by, r.rec and r.rec.rec_id) for r in lookup.resolve(spark.createDataFrame(refs, "id int, raw string, title string, author string"), catalog, least=1.5).collect()}
     assert got == {1: ("crossref", "r0"), 2: ("crossref", "r1"), 3: ("s2", "s9"), 4: (None, None)}
+
+
+def _moved(spark):
+    """Rows that the stages so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    jvm = spark.sparkContext._jvm
+    empty = jvm.java.util.ArrayList
+    stages = sc.statusStore().stageList(empty(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), empty())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_search_moves_no_pairs(spark):
+    """Queries that share frequent words with every record, and have no good one among them."""
+    n = 700
+    records = spark.createDataFrame([(k, f"alpha{k % 3} beta{k % 4} gamma{k % 5} own{k}") for k in range(n)], "place int, text string")
+    queries = spark.createDataFrame([(k, f"alpha{k % 3} beta{k % 4} gamma{k % 5} alpha{(k + 1) % 3} beta{(k + 1) % 4} x{k}") for k in range(n)], "id int, text string")
+    index = ranking.build(records)
+    before = _moved(spark)
+    got = ranking.search(index, queries, 0.5).collect()
+    assert len(got) == n
+    assert _moved(spark) - before < 100 * n
