@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.fixed import INJECTIONS, INVISIBLE
+from ..functions.lineage import cut
 
 AROUND = 40
 METADATA = ("title", "author", "subject", "keywords", "creator", "producer")
@@ -172,10 +173,22 @@ def hidden_texts(pages: DataFrame, seq: int = 3) -> tuple[DataFrame, DataFrame]:
     return own, _texts(h.where("severity = 'FAIL'"), F.col("text"), seq, F.col("item"), _on_page(" (hidden: ", F.col("reason"), ")"))
 
 
+def _outside(block: Column) -> Column:
+    return (block["x0"] > F.col("width") + 50) | (block["x1"] < -50) | (block["y0"] > F.col("height") + 50) | (block["y1"] < -50)
+
+
+def suspicious(pages: DataFrame) -> DataFrame:
+    """Pages with only those blocks that lie off the page or have a span that does not show, written once, so that files are read once for all
+    that looks for these. Places count the blocks that are left."""
+    hides = lambda block: F.exists(block["lines"], lambda line: F.exists(line["spans"], lambda s: hidden_reason(F.coalesce(s["size"], F.lit(12.0)), F.coalesce(s["color"], F.lit(0))).isNotNull()))
+    left = pages.withColumn("blocks", F.filter("blocks", lambda b: F.coalesce(_outside(b), F.lit(False)) | F.coalesce(hides(b), F.lit(False))))
+    return cut(left.select("doc", "page", "width", "height", "blocks").where("size(blocks) > 0"))
+
+
 def offpage_blocks(pages: DataFrame) -> DataFrame:
     """Text blocks more than 50 units outside the page: doc, page, item, text, x0, y0."""
     b = pages.select("doc", "page", "width", "height", F.posexplode("blocks").alias("item", "block")).where("block.type = 0")
-    outside = (F.col("block.x0") > F.col("width") + 50) | (F.col("block.x1") < -50) | (F.col("block.y0") > F.col("height") + 50) | (F.col("block.y1") < -50)
+    outside = _outside(F.col("block"))
     words = F.flatten(F.transform("block.lines", lambda line: F.transform(line["spans"], lambda s: F.coalesce(s["text"], F.lit("")))))
     out = b.where(outside).select("doc", "page", "item", F.array_join(words, "").alias("text"), "block.x0", "block.y0")
     return out.where(F.length(T.strip(F.col("text"))) > 10)

@@ -194,3 +194,24 @@ def test_scan_of_files(spark, tmp_path):
     assert ("white", "hidden_text") in reasons and ("off", "offpage_text") in reasons and ("meta", "metadata_injection") in reasons
     hidden = injection.hidden_spans(pages).collect()
     assert [(h.reason, h.severity) for h in hidden] == [("micro font (0.50pt)", "FAIL")]
+
+
+def test_hidden_text_query_reads_files_once(spark):
+    from quillcheck.plans.queries import QUERIES
+
+    found = QUERIES["pdf_hidden"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0
+
+
+def test_fonts_are_read_once_a_file(spark, monkeypatch):
+    from quillcheck.plans.pdfinput import pdf_files
+    from quillcheck.sources import pdftext
+    from quillcheck.sources.pdfobjects import File
+
+    data = max((bytes(r.content) for r in pdf_files(spark, "/root/testdata/sf0.001").collect()), key=len)
+    made, init = [], pdftext.Font.__init__
+    monkeypatch.setattr(pdftext.Font, "__init__", lambda self, *a: (made.append(1), init(self, *a))[1])
+    pdf = File(data)
+    shown = [len([*pdftext.Page(pdf, node).spans()]) for node in pdf.pages()]
+    assert len(shown) > 1 and all(shown) and len(made) == 1
