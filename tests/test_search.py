@@ -116,6 +116,26 @@ def test_one_token_in_every_title(spark):
     assert keys.every is None and keys.n <= 30
 
 
+def test_frequent_tokens_meet_in_combinations(spark):
+    """Where every token is in many sets, no key of sets is large: several tokens make a key, and pairs are those of all against all."""
+    rng = random.Random(4)
+    words = [f"t{k}" for k in range(60)]
+    sets = [*{tuple(sorted(rng.sample(words, rng.randint(1, 14)))) for _ in range(4000)}]
+    sets += [*{tuple(sorted({*s[1:], "t0"})) for s in sets[:400] if len(s) > 1} - {*sets}]
+    frame = spark.createDataFrame([(" ".join(s), list(s)) for s in sets], "set string, tokens array<string>")
+    rows = frame.select(F.monotonically_increasing_id().alias("at"), "tokens")
+    first = similarity._prefixes(rows, similarity.token_counts(rows), 0.6, 3)
+    keys = similarity._keys(first, len(sets), 0.6, ("own", "other"))
+    asked = similarity._keys(first, len(sets), 0.6, ("other", "own"))
+    pairs = keys.groupBy("key").count().join(asked.groupBy("key").agg(F.count("*").alias("n")), "key").agg(F.sum(F.col("count") * F.col("n"))).head()[0]
+    single = sum(n * n for n in Counter(t for s in sets for t in s[: len(s) - math.ceil(0.6 * len(s)) + 1]).values())
+    assert pairs < single / 10
+    got = similarity.similar_sets(frame, None, 0.6).collect()
+    own = [(" ".join(s), {*s}) for s in sets]
+    want = {(min(a, b), max(a, b)) for k, (a, x) in enumerate(own) for b, y in own[:k] if 5 * len(x & y) >= 3 * len(x | y)}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 300
+
+
 def plain_bm25(records, query, least):
     docs = [re.findall("[a-z0-9]+", t.lower()) for _, t in records]
     n, mean = sum(map(bool, docs)), sum(map(len, docs)) / max(1, sum(map(bool, docs)))
